@@ -1,15 +1,19 @@
 """Queries of the corpus operators, by name, and their SQL where SQL expresses them."""
 
+from waybill.llm.chat import OP1_SQL, op1_chat
 from waybill.llm.decontaminate import OP7_SQL, op7_decontaminate
 from waybill.llm.mixing import OP9_SQL, op9_mixing
+from waybill.llm.sharding import op2_sharding
 
 
 def queries():
     return {
+        "op1_chat": op1_chat,
+        "op2_sharding": op2_sharding,
         "op7_decontaminate": op7_decontaminate,
         "op9_mixing": op9_mixing,
     }
 
 
 def oracle_sql():
-    return {"op7_decontaminate": OP7_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_chat": OP1_SQL, "op7_decontaminate": OP7_SQL, "op9_mixing": OP9_SQL}
