@@ -129,18 +129,17 @@ def text_slices(column: pa.Array, lower: bool = True, most: int = 4 << 20):
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b: long); the component is its smallest node.
+    """(node, component) for every node of ``links`` (a, b: of any orderable type); the component is its smallest node.
 
     Large-star and small-star by turns (Kiveris and others, 2014): each round joins neighbours to the smallest one seen, so
     rounds grow with the logarithm of a component's size. Neighbour minima are aggregated before the shuffle and joined
     back, never gathered, so that a node with very many links is no single task's work. Rounds are cut by written tables.
     """
-    spark = links.sparkSession
     edges = table(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     if edges.isEmpty():
-        return spark.createDataFrame([], "node long, component long")
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     for _ in range(most_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -162,3 +161,49 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct()
+
+
+# ---------------------------------------------------------------- fitting on bounded samples
+
+#: Bytes that end a word of letters and digits.
+APART = np.ones(256, bool)
+APART[128:] = False
+APART[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, use: Column, per_class: int) -> tuple[list[str], np.ndarray]:
+    """Texts and 0/1 labels of at most ``per_class`` documents of each class, those whose key's digest is smallest.
+
+    Only rows of ``labels`` where ``use`` holds take part. The keys, at most 2 * per_class, are broadcast to fetch the texts.
+    Of repeated keys, one label and one text count.
+    """
+    ranked = labels.where(use & F.col("doc_id").isNotNull()).select("doc_id", F.col(target).alias("label"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("at"))
+    ids: dict[int, int] = {}
+    for label in (0, 1):
+        for r in ranked.where(F.col("label") == label).orderBy("at", "doc_id").limit(per_class).collect():
+            ids.setdefault(r.doc_id, label)
+    if not ids:
+        return [], np.zeros(0)
+    keys = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, label int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()
+    texts = [t or "" for t in rows.column("text").to_pylist()]
+    return texts, np.array([ids[i] for i in rows.column("doc_id").to_pylist()], float)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 25, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression on soft labels, by damped Newton steps."""
+    n, d = x.shape
+    weight = np.ones(n) if weight is None else weight
+    total = max(float(weight.sum()), 1e-9)
+    wide = np.column_stack((x, np.ones(n)))
+    penalty = np.append(np.full(d, ridge), 1e-9)
+    w = np.zeros(d + 1)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(wide @ w, -30, 30)))
+        slope = wide.T @ (weight * (p - y)) / total + penalty * w
+        bend = (wide * (weight * np.maximum(p * (1 - p), 1e-5))[:, None]).T @ wide / total
+        step = np.linalg.solve(bend + np.diag(penalty + 1e-9), slope)
+        w -= step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w[:d], float(w[d])

@@ -3,15 +3,19 @@
 from waybill.llm.chat import OP1_SQL, op1_chat
 from waybill.llm.decontaminate import OP7_SQL, op7_decontaminate
 from waybill.llm.mixing import OP9_SQL, op9_mixing
+from waybill.llm.ngram_join import op4_ngram_join
 from waybill.llm.sharding import op2_sharding
+from waybill.llm.toxicity import op10_toxicity
 
 
 def queries():
     return {
         "op1_chat": op1_chat,
         "op2_sharding": op2_sharding,
+        "op4_ngram_join": op4_ngram_join,
         "op7_decontaminate": op7_decontaminate,
         "op9_mixing": op9_mixing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
