@@ -18,7 +18,7 @@ PER_CLASS = 4_000
 #: Terms of the mined lexicons, at most.
 TERMS = 1_024
 #: Lexicon voters that the mined terms are dealt to.
-VOTERS = 12
+VOTERS = 24
 #: General English insults: one voter a line.
 LEXICONS = (
     "idiot moron imbecile fool stupid dumb brainless cretin",
@@ -27,7 +27,7 @@ LEXICONS = (
     "clown joke liar coward freak creep jerk",
 )
 #: Leading bytes of words that are terms beside whole words: inflected forms share them.
-STEMS = (4, 5)
+STEMS = (4, 5, 6)
 
 
 def _terms(words: Words) -> list[np.ndarray]:
@@ -62,8 +62,8 @@ def _present(column: pa.Array, terms: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, len(terms) + 1), np.float32)
 
 
-def mine_terms(texts: list[str], y: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """Sorted hashes of terms that go with label 1, by the likelihood ratio of their document counts."""
+def mine_terms(texts: list[str], y: np.ndarray, most: int = TERMS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of terms that go with label 1, chosen by the likelihood ratio of their document counts, and their log odds."""
     seen, owner = [], []
     for row, n, data, offsets in text_slices(pa.array(texts, pa.large_string())):
         words = Words(data, offsets, APART)
@@ -73,7 +73,7 @@ def mine_terms(texts: list[str], y: np.ndarray, most: int = TERMS) -> np.ndarray
             owner.append(pair[0].astype(np.int64))
             seen.append(pair[1])
     if not seen:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0)
     token, inverse = np.unique(np.concatenate(seen), return_inverse=True)
     label = y[np.concatenate(owner)]
     ones = np.bincount(inverse, label, len(token))
@@ -84,38 +84,51 @@ def mine_terms(texts: list[str], y: np.ndarray, most: int = TERMS) -> np.ndarray
     ratio = 2 * (ones * np.log(np.maximum(ones, 0.5) / expect1) + zeros * np.log(np.maximum(zeros, 0.5) / expect0))
     good = (ratio > 18) & (ones / n1 > 8 * (zeros + 0.5) / n0)
     best = np.flatnonzero(good)[np.argsort(-ratio[good], kind="stable")[:most]]
-    return np.sort(token[best])
+    order = best[np.argsort(token[best])]
+    return token[order], np.log((ones[order] + 0.5) / n1) - np.log((zeros[order] + 0.5) / n0)
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
-    """Posterior of label 1 from voters' votes (1, -1, 0: abstains), learned from the votes alone.
-
-    Expectation maximisation over each voter's rates of the three votes under either label. Voters that agree beyond what
-    the label explains are one group: their evidence is divided by the group's effective size, found from the correlation of
-    their residuals, so that a lexicon that is dealt to many voters doesn't count many times.
+def lone(texts: list[str]) -> np.ndarray:
+    """Places of texts without the near copies of an earlier one: those with the same least shingle of three words."""
+    least = np.zeros(len(texts), np.uint64)
+    for row, n, data, offsets in text_slices(pa.array(texts, pa.large_string())):
+        words = Words(data, offsets, APART)
+        h = words.hashes()
+        h = np.concatenate((h, np.zeros(2, np.uint64)))
+        shingles = mix(h[:-2] * np.uint64(3) + mix(h[1:-1]) * np.uint64(5) + mix(mix(h[2:])))
+        for i in range(n):
+            own = shingles[words.first[i] : words.first[i + 1]]
+            least[row + i] = own.min() if len(own) else 0
+    return np.sort(np.unique(least, return_index=True)[1])
+
+
+def label_model(votes: np.ndarray, known: np.ndarray, drift: float = 0.25, rounds: int = 50) -> np.ndarray:
+    """Posterior of label 1 from voters' votes (1, -1, 0: abstains).
+
+    Expectation maximisation over each voter's rates of the three votes under either label: its accuracy. The ``known`` labels
+    of the rows anchor the rates, and what the voters make of each row moves them by ``drift``. Voters that agree beyond what
+    the label explains are correlated: their evidence is divided by the effective size of their group, found from the
+    correlation of their residuals, so that terms that come together don't count many times.
     """
     n, m = votes.shape
-    total = votes.sum(1)
-    post = np.clip(prior + np.where(total > 0, 0.6, np.where(total < 0, -prior / 2, 0)), 0.01, 0.99)
+    prior = float(np.clip(known.mean(), 0.02, 0.98))
     kinds = [(votes == v).astype(float) for v in (1, -1, 0)]
+    post = known.astype(float)
     share = np.ones(m)
     for k in range(rounds):
-        on, off = post.sum(), (1 - post).sum()
+        one, zero = known + drift * post, (1 - known) + drift * (1 - post)
+        on, off = one.sum(), zero.sum()
         gain = np.zeros((n, m))
         for kind in kinds:
-            p1 = (post @ kind + 0.5) / (on + 1.5)
-            p0 = ((1 - post) @ kind + 0.5) / (off + 1.5)
-            gain += kind * np.log(p1 / p0)
-        if k % 10 == 5:
-            p1 = post @ votes / max(on, 1e-9)
-            p0 = (1 - post) @ votes / max(off, 1e-9)
-            rest = votes - post[:, None] * p1 - (1 - post)[:, None] * p0
+            gain += kind * np.log(((one @ kind + 0.5) / (on + 1.5)) / ((zero @ kind + 0.5) / (off + 1.5)))
+        if k % 10 == 0:
+            rest = votes - np.outer(one / (one + zero), one @ votes / on) - np.outer(zero / (one + zero), zero @ votes / off)
             spread = np.sqrt((rest**2).mean(0)) + 1e-6
             tied = np.clip((rest.T @ rest) / n / spread[:, None] / spread, 0, 1)
             share = 1 / np.maximum(1, (tied**2).sum(1))
         logit = np.log(prior / (1 - prior)) + gain @ share
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
+        if k and np.abs(new - post).max() < 1e-6:
             break
         post = new
     return post
@@ -135,19 +148,21 @@ class Model:
 def fit(texts: list[str], y: np.ndarray) -> Model:
     """A model from labelled texts. Without any, the general lexicons alone vote."""
     general = [_lexicon_terms(line) for line in LEXICONS]
-    mined = mine_terms(texts, y)
+    apart = lone(texts)
+    texts, y = [texts[i] for i in apart], y[apart]
+    mined, odds = mine_terms(texts, y)
     terms = np.unique(np.concatenate([mined, *general]))
     if not len(y):
         return Model(terms, np.append(np.full(len(terms), 5.0), 0.0), -3.0)
     x = _present(pa.array(texts, pa.large_string()), terms).astype(float)
-    deal = np.where(np.isin(terms, mined), (mix(terms) % np.uint64(VOTERS)).astype(int), -1)
+    # terms of like odds vote together
+    deal = np.full(len(terms), -1)
+    deal[np.searchsorted(terms, mined)] = np.argsort(np.argsort(odds, kind="stable")) * VOTERS // max(1, len(mined))
     columns = [np.sign(x[:, :-1][:, deal == v].sum(1)) for v in range(VOTERS)]
     columns += [np.sign(x[:, :-1][:, np.isin(terms, g)].sum(1)) for g in general]
-    held = x[:, :-1].sum(1)
-    columns += [(held >= 3).astype(float), -(held == 0).astype(float), np.where(x[:, -1] > 0.3, -1.0, 0.0)]
-    prior = float(np.clip(y.mean(), 0.02, 0.98))
-    post = label_model(np.stack(columns, 1), prior)
-    w, b = logistic(x, post, ridge=1e-4)
+    columns += [-(x[:, :-1].sum(1) == 0).astype(float), np.where(x[:, -1] > 0.3, -1.0, 0.0)]
+    post = label_model(np.stack(columns, 1), y)
+    w, b = logistic(x, post, ridge=1e-3)
     # the scale and place of the scores are set on the labels, so that they read as chances; far scores say no more there
     z = x @ w + b
     middle = np.median(np.concatenate((z[y == 1], [0.0])))
