@@ -12,83 +12,102 @@ from pyspark.sql import functions as F
 
 from waybill.llm.common import Words, components, mix, read, table, text_slices
 
-#: Frequent shingles that are ordered last: at most this many (16 bytes each are broadcast). Any order gives the same links.
+#: Frequent shingles and words that order the others: at most this many of each (16 bytes each are broadcast). Any order gives
+#: the same links.
 MOST_FREQUENT = 500_000
 #: Documents of a batch that must hold a shingle for it to be reported as frequent.
 OFTEN = 3
 #: Documents whose sets are needed, up to which their keys are broadcast (8 bytes each).
 MOST_BROADCAST = 1_000_000
+#: Classes that a class is compared with before the full join.
+LEADS = 3
 _NO_ID = -(1 << 63)
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """Each text's distinct shingle hashes, sorted. A text of fewer words than ``width``, but not none, is one shingle."""
+def shingle_sets(column: pa.Array, width: int, rarity: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator:
+    """Each text's distinct shingle hashes, sorted. A text of fewer words than ``width``, but not none, is one shingle.
+
+    With ``rarity`` (sorted word hashes, weights) also the sum of the weights of each shingle's words; other words weigh 0.
+    """
     for _, n, data, offsets in text_slices(column):
         words = Words(data, offsets)
         h = words.hashes()
+        weight = np.zeros(len(h), np.float32)
+        if rarity is not None and len(rarity[0]) and len(h):
+            at = np.minimum(np.searchsorted(rarity[0], h), len(rarity[0]) - 1)
+            weight = np.where(rarity[0][at] == h, rarity[1][at], 0).astype(np.float32)
         joined = np.zeros(len(h), np.uint64)
+        heavy = np.zeros(len(h), np.float32)
         if len(h) >= width:
             full = np.zeros(len(h) - width + 1, np.uint64)
             for k in range(width):
                 full = mix(full * _P2 + h[k : len(h) - width + 1 + k] * _P1 + np.uint64(k))
+                heavy[: len(full)] += weight[k : len(h) - width + 1 + k]
             joined[: len(full)] = full
         for i in range(n):
             a, b = words.first[i], words.first[i + 1]
             if b - a >= width:
-                yield np.unique(joined[a : b - width + 1])
-            elif b > a:
-                short = _P3 * np.full(1, b - a, np.uint64)
-                for k in range(a, b):
-                    short = mix(short * _P2 + h[k : k + 1] * _P1)
-                yield short
+                if rarity is None:
+                    yield np.unique(joined[a : b - width + 1])
+                else:
+                    own, at = np.unique(joined[a : b - width + 1], return_index=True)
+                    yield own, heavy[a + at]
             else:
-                yield np.zeros(0, np.uint64)
+                short = np.zeros(0, np.uint64)
+                if b > a:
+                    short = _P3 * np.full(1, b - a, np.uint64)
+                    for k in range(a, b):
+                        short = mix(short * _P2 + h[k : k + 1] * _P1)
+                yield short if rarity is None else (short, np.zeros(len(short), np.float32))
 
 
 def _digest(*parts: bytes) -> bytes:
     return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
 
 
-def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and their ranks (rare to frequent) of shingles that are common somewhere in the corpus.
+def frequent(docs: DataFrame, width: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Common shingles (hashes, sorted, and ranks, rare to frequent) and common words (hashes, sorted, and logarithms of counts).
 
-    Every text is counted, a batch at a time; what fewer than OFTEN documents of a batch hold is not reported. The list
-    only puts shingles in an order in which prefixes are rare ones.
+    Every text is counted, a batch at a time; what fewer than OFTEN documents of a batch hold is not reported. The two lists
+    only put shingles in an order in which prefixes are rare ones: by their words, but common shingles last.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0), width))
-            token, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            often = n >= OFTEN
-            yield pa.record_batch([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
-    token = top.column("token").to_numpy().astype(np.int64).view(np.uint64)
-    rank = np.arange(len(token), 0, -1, dtype=np.uint64)
-    order = np.argsort(token)
-    return token[order], rank[order]
+            for kind, size in (("shingle", width), ("word", 1)):
+                sets = list(shingle_sets(batch.column(0), size))
+                token, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+                often = n >= OFTEN
+                token, n = token[often].view(np.int64), n[often].astype(np.int64)
+                yield pa.record_batch([pa.array([kind] * len(token), pa.string()), pa.array(token), pa.array(n)], names=["kind", "token", "n"])
+
+    counted = table(docs.select("text").mapInArrow(count, "kind string, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")))
+    lists = []
+    for kind in ("shingle", "word"):
+        top = counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token", "n").toArrow()
+        token, n = top.column("token").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(np.int64)
+        order = np.argsort(token)
+        value = np.arange(len(token), 0, -1, dtype=np.uint64) if kind == "shingle" else np.log2(n + 1.0).astype(np.float32)
+        lists.append((token[order], value[order]))
+    return lists[0], lists[1]
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, cid, gid, prefix): a set's size and digest, its prefix, and the digest of prefix and size."""
-    token, rank = frequent_shingles(docs, width)
-    known = docs.sparkSession.sparkContext.broadcast((token, rank))
+    """(doc_id, n, cid, gid, prefix): a set's size and digest, the digest of prefix and size, and the prefix."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, ranks = known.value
-        top = np.uint64(1 << 63)
+        (often, ranks), rarity = known.value
         for batch in batches:
             n, cid, gid, flat, ends = [], [], [], [], [0]
-            for s in shingle_sets(batch.column(1), width):
+            for s, heavy in shingle_sets(batch.column(1), width, rarity):
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                place = s >> np.uint64(1)
+                place = heavy.astype(np.float64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    place = np.where(often[at] == s, top | ranks[at], place)
-                prefix = s[np.argsort(place, kind="stable")[:keep]]
+                    place = np.where(often[at] == s, 1e6 + ranks[at], place)
+                prefix = s[np.argsort(place, kind="stable")[:keep]]  # equal places by hash
                 n.append(len(s))
                 cid.append(_digest(s.tobytes()))
                 gid.append(int.from_bytes(_digest(len(s).to_bytes(8, "little"), prefix.tobytes())[:8], "little", signed=True))
@@ -164,6 +183,9 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     alike = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)  # noqa: E731  sizes that allow a link
     stars = live.where((F.col("gid") != F.col("lead.gid")) & alike(F.col("n"), F.col("lead.n")))
     stars = stars.groupBy(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c * 40 >= n")
+    # of a class's leads, those that share most of its prefix
+    stars = stars.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), asc=False), 1, LEADS).alias("leads"))
+    stars = stars.select(F.explode("leads.a").alias("a"), "b")
     crowded = groups.where("m > 1").select("gid", F.col("cid").alias("a"))
     inside = members.join(crowded, "gid").select("a", F.col("cid").alias("b")).where("a <> b")
     first_links = _verified(stars.select("a", "b").union(inside).distinct(), docs, classes, width, percent)
