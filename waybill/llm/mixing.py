@@ -30,14 +30,16 @@ def source_targets(totals: DataFrame, most_copies: int = MOST_COPIES) -> DataFra
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.partitionBy()
     w = totals.withColumn("weight", weight_cycle(F.row_number().over(by_name))).withColumn("cap", F.col("source_size") * float(most_copies))
-    full_first = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    by_fill = [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()]
+    full_first = Window.orderBy(*by_fill).rowsBetween(Window.unboundedPreceding, -1)
     w = w.withColumn("total", F.sum("source_size").over(everything).cast("double")).withColumn("weights", F.sum("weight").over(everything))
     w = w.withColumn(
         "level",
         (F.col("total") - F.coalesce(F.sum("cap").over(full_first), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(full_first), F.lit(0.0))),
-    )
+    ).withColumn("place", F.row_number().over(Window.orderBy(*by_fill)))
     # the level of the first source that its share does not fill; the capped sources come before it
-    w = w.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
+    unfilled = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("place", "level"))
+    w = w.withColumn("level", F.min(unfilled).over(everything)["level"])
     return w.select("source", "source_size", F.least("cap", F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
@@ -116,10 +118,10 @@ WITH d AS (
 ), w AS (
   SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM t
 ), l AS (
-  SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+  SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
   FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), g AS (
-  SELECT source, source_size, least(cap, coalesce(min(CASE WHEN level * weight <= cap THEN level END) OVER (), 0.0) * weight) AS target FROM l
+  SELECT source, source_size, least(cap, coalesce(arg_min(level, place) FILTER (level * weight <= cap) OVER (), 0.0) * weight) AS target FROM l
 ), r AS (
   SELECT k.doc_id, k.size, g.source_size, g.target,
     CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
