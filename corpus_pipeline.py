@@ -1,10 +1,62 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``: each takes all that the one before it kept."""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waybill.llm import decontaminate, mixing, ngram_join, sharding, toxicity
+from waybill.llm.common import crc_mod, read, table
+
+TOXIC = 0.7
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score less than TOXIC."""
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
+    return toxicity.with_score(docs, model, "_toxic").where(F.col("_toxic") < TOXIC).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of shingle sets (five words) that are at least 0.8 alike."""
+    return ngram_join.one_of_each(docs, width=5, percent=80).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark passages don't contaminate."""
+    found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: 0 to 3 times, as rows."""
+    own = [c for c in docs.columns if c != "text"]
+    words = docs.select(*own, "text", F.regexp_count("text", F.lit(mixing.WORD)).alias("_words"))
+    taken = mixing.mix(words, F.col("_words"))
+    times = taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return times.select(*docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard and slot, shards of near equal bytes, equal texts together."""
+    return sharding.assign(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("ngram_jaccard_join", without_near_copies),
+    ("benchmark_decontamination", without_benchmark),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
+
+#: The first stage's scores aren't SQL; tests/llm holds each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; what one returns is written as Parquet and read again for the next."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,6 +15,8 @@ WINDOW = 13
 GRAM = 5
 #: Distinct benchmark windows up to which they are broadcast (about 150 bytes each); beyond it both sides are shuffled.
 MOST_BROADCAST = 200_000
+#: Documents with hits up to which their results (about 120 bytes each) are broadcast to the documents.
+MOST_FOUND = 200_000
 _POSITION_BITS = 30
 
 
@@ -145,7 +147,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     """
     result = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     own = [c for c in docs.columns if c not in result and c != "_text_hash"]
-    found = contamination(docs.select("doc_id", "text"), benchmark, window, gram)
+    found = table(contamination(docs.select("doc_id", "text"), benchmark, window, gram))
+    if found.count() <= MOST_FOUND:
+        found = F.broadcast(found)
     d = docs.select(*own).withColumn("_text_hash", F.xxhash64("text")).withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long"))
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._text_hash") == F.col("f.text_hash"))
     n_hit = F.coalesce("n_hit", F.lit(0))

@@ -94,7 +94,7 @@ def frequent(docs: DataFrame, width: int) -> tuple[tuple[np.ndarray, np.ndarray]
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, cid, gid, prefix): a set's size and digest, the digest of prefix and size, and the prefix."""
+    """(doc_id, text_hash, n, cid, gid, prefix): a set's size and digest, the digest of prefix and size, and the prefix."""
     known = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +115,12 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 ends.append(ends[-1] + len(prefix))
             prefixes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*flat, np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(cid, pa.binary()), pa.array(gid, pa.int64()), prefixes],
-                names=["doc_id", "n", "cid", "gid", "prefix"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(cid, pa.binary()), pa.array(gid, pa.int64()), prefixes],
+                names=["doc_id", "text_hash", "n", "cid", "gid", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n int, cid binary, gid long, prefix array<long>")
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return own.mapInArrow(sign, "doc_id long, text_hash long, n int, cid binary, gid long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -150,10 +151,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
 
 
 def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, cid, component_id) for every row of ``docs`` (doc_id, text).
+    """(doc_id, text_hash, n_shingles, cid, component, component_id) for every row of ``docs`` (doc_id, text).
 
     Two documents link when their sets of ``width``-word shingles are at least ``percent`` percent alike; component_id is the
-    smallest doc_id reachable by links. Sets are of 64-bit hashes; texts without words link with nothing.
+    smallest doc_id reachable by links, and ``component`` names the component. Sets are of 64-bit hashes; texts without words
+    link with nothing and have neither class nor component name.
 
     Equal sets are one class. Classes of equal size and equal prefix (the rarest shingles, of which two linked sets share
     at least one) are one group. Groups that share a prefix shingle are paired if their sizes allow a link and if they share as
@@ -217,13 +219,39 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     component = components(links)
     labelled = classes.select("cid", "label").join(component.select(F.col("node").alias("cid"), "component"), "cid")
     least = labelled.groupBy("component").agg(F.min("label").alias("least"))
-    joined = labelled.join(least, "component").select("cid", "least")
-    own_least = classes.select("cid", "label").join(joined, "cid", "left").select("cid", F.coalesce("least", "label").alias("component_id"))
+    joined = labelled.join(least, "component").select("cid", "component", "least")
+    own_least = (
+        classes.select("cid", "label")
+        .join(joined, "cid", "left")
+        .select("cid", F.coalesce("component", "cid").alias("component"), F.coalesce("least", "label").alias("component_id"))
+    )
     return (
-        signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
+        signed.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
         .join(own_least, "cid", "left")
-        .select("doc_id", "n_shingles", "cid", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        .select("doc_id", "text_hash", "n_shingles", "cid", "component", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component of ``similar``: its smallest doc_id, of equal ones the smallest text hash.
+
+    Texts without words all stay. A null doc_id comes after all others. The rows that go are joined against the documents,
+    broadcast up to MOST_BROADCAST of them.
+    """
+    found = table(similar(docs, width, percent).where("n_shingles > 0").select("doc_id", "text_hash", "component"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    first = found.groupBy("component").agg(F.min(order).alias("first")).select("component", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    keys = found.join(first, "component").groupBy("doc_id", "text_hash").agg(
+        F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).alias("stays")
     )
+    gone = table(keys.where("not stays or n > 1"))
+    side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._text_hash") == F.col("g.text_hash"))
+    rest = hashed.join(side.alias("g"), same, "left_anti")
+    # of repeated rows one stays
+    again = hashed.join(side.where("stays").alias("g"), same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    return rest.unionByName(again).drop("_text_hash")
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:

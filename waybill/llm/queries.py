@@ -2,10 +2,13 @@
 
 from waybill.llm.chat import OP1_SQL, op1_chat
 from waybill.llm.decontaminate import OP7_SQL, op7_decontaminate
+from waybill.llm.langid import op6_language
 from waybill.llm.mixing import OP9_SQL, op9_mixing
 from waybill.llm.ngram_join import op4_ngram_join
+from waybill.llm.quality import op8_quality
 from waybill.llm.sharding import op2_sharding
 from waybill.llm.toxicity import op10_toxicity
+from waybill.llm.vector_dedup import op5_vector_dedup
 
 
 def queries():
@@ -13,7 +16,10 @@ def queries():
         "op1_chat": op1_chat,
         "op2_sharding": op2_sharding,
         "op4_ngram_join": op4_ngram_join,
+        "op5_vector_dedup": op5_vector_dedup,
+        "op6_language": op6_language,
         "op7_decontaminate": op7_decontaminate,
+        "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_toxicity": op10_toxicity,
     }
