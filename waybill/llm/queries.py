@@ -3,6 +3,7 @@
 from waybill.llm.chat import OP1_SQL, op1_chat
 from waybill.llm.decontaminate import OP7_SQL, op7_decontaminate
 from waybill.llm.langid import op6_language
+from waybill.llm.licenses import op3_licenses
 from waybill.llm.mixing import OP9_SQL, op9_mixing
 from waybill.llm.ngram_join import op4_ngram_join
 from waybill.llm.quality import op8_quality
@@ -15,6 +16,7 @@ def queries():
     return {
         "op1_chat": op1_chat,
         "op2_sharding": op2_sharding,
+        "op3_licenses": op3_licenses,
         "op4_ngram_join": op4_ngram_join,
         "op5_vector_dedup": op5_vector_dedup,
         "op6_language": op6_language,
