@@ -20,7 +20,7 @@ OFTEN = 3
 #: Documents whose sets are needed, up to which their keys are broadcast (8 bytes each).
 MOST_BROADCAST = 1_000_000
 #: Classes that a class is compared with before the full join.
-LEADS = 3
+LEADS = 2
 _NO_ID = -(1 << 63)
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -141,13 +141,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are at least ``percent`` alike."""
+    """The pairs (a, b, ...) of classes whose sets are at least ``percent`` alike."""
     pairs = table(pairs)
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
     sets = table(_sets(docs, table(ids.join(classes.select("cid", "label"), "cid")), width))
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    return table(both.where((100 + percent) * common >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b"))
+    return table(both.where((100 + percent) * common >= percent * (F.size("set_a") + F.size("set_b"))).select(pairs["*"]))
 
 
 def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -198,33 +198,31 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     placed = table(live.select("token", "gid", "n").join(of_group, "gid"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("comp").alias("k"), F.count("*").alias("df")).where("k < df or lo <> hi")
-    open_lists = placed.join(mixed.select("token"), "token", "left_semi")
+    open_lists = table(placed.join(mixed.select("token"), "token", "left_semi").join(groups.select("gid", "prefix"), "gid"))
     x, y = open_lists.alias("x"), open_lists.alias("y")
     # the larger set's side first; equal sizes by gid
     ahead = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") > F.col("y.gid")))
     apart = F.col("x.comp").isNull() | F.col("y.comp").isNull() | (F.col("x.comp") != F.col("y.comp"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & ahead & apart & (F.col("y.n") * 100 >= F.col("x.n") * percent))
-    counted = met.groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).agg(F.count("*").alias("c"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
     # a common shingle beyond both prefixes is in the rest of the set whose prefix ends first
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
     rest = lambda n: F.ceil(F.lit(percent) * n / F.lit(100)) - 1
-    group_pairs = counted.where(F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb"))) >= need).select("ga", "gb")
+    # a pair is made at its first common shingle alone, and only if it has enough of them
+    enough = lambda z: (F.get(z, F.lit(0)) == F.col("x.token")) & (F.size(z) + F.greatest(rest(F.col("x.n")), rest(F.col("y.n"))) >= need)
+    fits = F.exists(F.array(F.array_intersect("x.prefix", "y.prefix")), enough)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & ahead & apart & (F.col("y.n") * 100 >= F.col("x.n") * percent) & fits)
+    group_pairs = met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
     own = of_group.where("comp is null").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     ca = of_class.select(F.col("gid").alias("ga"), F.col("cid").alias("a"), F.col("comp").alias("comp_a"))
     cb = of_class.select(F.col("gid").alias("gb"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = group_pairs.union(own).join(ca, "ga").join(cb, "gb").where("comp_a <> comp_b and (ga <> gb or a < b)").select("a", "b")
+    pairs = group_pairs.union(own).join(ca, "ga").join(cb, "gb").where("comp_a <> comp_b and (ga <> gb or a < b)").select("a", "b", "comp_a", "comp_b")
     more = _verified(pairs, docs, classes, width, percent)
 
-    links = first_links.union(more)
-    component = components(links)
-    labelled = classes.select("cid", "label").join(component.select(F.col("node").alias("cid"), "component"), "cid")
-    least = labelled.groupBy("component").agg(F.min("label").alias("least"))
-    joined = labelled.join(least, "component").select("cid", "component", "least")
-    own_least = (
-        classes.select("cid", "label")
-        .join(joined, "cid", "left")
-        .select("cid", F.coalesce("component", "cid").alias("component"), F.coalesce("least", "label").alias("component_id"))
-    )
+    # what the second round links are components of the first
+    wider = components(more.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    component = of_class.join(wider.select(F.col("node").alias("comp"), "component"), "comp", "left").select("cid", F.coalesce("component", "comp").alias("component"))
+    labelled = classes.select("cid", "label").join(component, "cid")
+    least = labelled.groupBy("component").agg(F.min("label").alias("component_id"))
+    own_least = labelled.select("cid", "component").join(least, "component")
     return (
         signed.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
         .join(own_least, "cid", "left")
