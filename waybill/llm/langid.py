@@ -120,7 +120,7 @@ class Model:
                 to = flat[s * width + c]
                 miss = to < 0
                 again = root[c]
-                count[:n] += (miss & (s > 0)) + (miss & (again < 0))
+                count[:n] += miss * ((s > 0).astype(np.int64) + (again < 0))
                 state[:n] = np.where(miss, np.maximum(again, 0), to)
             count += state > 0
             out[:, k] = np.bincount(owner, count, len(lengths))
