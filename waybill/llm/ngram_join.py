@@ -176,18 +176,23 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     )
     members = classes.select("gid", "cid")
     groups = classes.groupBy("gid").agg(F.first("n").alias("n"), F.min("cid").alias("cid"), F.count("*").alias("m"), F.first("prefix").alias("prefix"))
-    tokens = groups.select("gid", "n", "cid", F.explode("prefix").alias("token"))
+    tokens = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     # lists of one are the most by far: they go before anything is paired
     dealt = tokens.repartition("token")
-    lists = dealt.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("gid", "cid", "n")).alias("lead")).where("df > 1")
+    lists = dealt.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("gid", "n")).alias("lead")).where("df > 1")
     live = table(dealt.join(lists, "token"))
 
     alike = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)  # noqa: E731  sizes that allow a link
     stars = live.where((F.col("gid") != F.col("lead.gid")) & alike(F.col("n"), F.col("lead.n")))
-    stars = stars.groupBy(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c * 40 >= n")
+    stars = stars.groupBy(F.col("lead.gid").alias("ga"), F.col("gid").alias("gb")).agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c * 40 >= n")
     # of a class's leads, those that share most of its prefix
-    stars = stars.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), asc=False), 1, LEADS).alias("leads"))
-    stars = stars.select(F.explode("leads.a").alias("a"), "b")
+    stars = stars.groupBy("gb").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "ga")), asc=False), 1, LEADS).alias("leads"))
+    first_of = groups.select("gid", "cid")
+    stars = (
+        stars.select(F.explode("leads.ga").alias("ga"), "gb")
+        .join(first_of.select(F.col("gid").alias("ga"), F.col("cid").alias("a")), "ga")
+        .join(first_of.select(F.col("gid").alias("gb"), F.col("cid").alias("b")), "gb")
+    )
     crowded = groups.where("m > 1").select("gid", F.col("cid").alias("a"))
     inside = members.join(crowded, "gid").select("a", F.col("cid").alias("b")).where("a <> b")
     first_links = _verified(stars.select("a", "b").union(inside).distinct(), docs, classes, width, percent)
@@ -196,10 +201,15 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # a group whose classes are in several components has none; such groups are paired with all
     of_group = of_class.groupBy("gid").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("comp"))
 
-    placed = table(live.select("token", "gid", "n").join(of_group, "gid"))
+    placed = table(live.select("token", "gid", "n", "pos").join(of_group, "gid"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("comp").alias("k"), F.count("*").alias("df")).where("k < df or lo <> hi")
-    open_lists = table(placed.join(mixed.select("token"), "token", "left_semi").join(groups.select("gid", "prefix"), "gid"))
-    x, y = open_lists.alias("x"), open_lists.alias("y")
+    open_rows = table(placed.join(mixed.select("token"), "token", "left_semi"))
+    # groups in different components share open shingles alone: of a prefix only those go along, in their order
+    prefixes = open_rows.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("pos", "token")))["token"].alias("prefix"))
+    open_lists = open_rows.join(prefixes, "gid")
+    # the smaller set's first common shingle is early enough for all that must follow, also if the sizes are equal
+    early = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
+    x, y = open_lists.alias("x"), open_lists.where(early).alias("y")
     # the larger set's side first; equal sizes by gid
     ahead = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") > F.col("y.gid")))
     apart = F.col("x.comp").isNull() | F.col("y.comp").isNull() | (F.col("x.comp") != F.col("y.comp"))
