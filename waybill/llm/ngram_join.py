@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill.llm.common import Words, components, mix, read, table, text_slices
@@ -21,6 +23,8 @@ OFTEN = 3
 MOST_BROADCAST = 1_000_000
 #: Classes that a class is compared with before the full join.
 LEADS = 2
+#: Longs of a set's parity bitmap.
+BITMAP = 16
 _NO_ID = -(1 << 63)
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -62,6 +66,22 @@ def shingle_sets(column: pa.Array, width: int, rarity: tuple[np.ndarray, np.ndar
                 yield short if rarity is None else (short, np.zeros(len(short), np.float32))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """BITMAP longs; a bit is set if an odd number of the hashes falls on it."""
+    odd = np.bincount((hashes & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sets with columns ``n`` and ``bits`` of the frames named x and y may be alike enough.
+
+    Two sets differ in at least as many elements as their parity bitmaps in bits, so no link is lost. Without a bitmap: yes.
+    """
+    apart = reduce(add, (F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i)))) for i in range(BITMAP)))
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return F.coalesce((100 + percent) * (n - apart) >= 2 * percent * n, F.lit(True))
+
+
 def _digest(*parts: bytes) -> bytes:
     return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
 
@@ -94,13 +114,13 @@ def frequent(docs: DataFrame, width: int) -> tuple[tuple[np.ndarray, np.ndarray]
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, text_hash, n, cid, gid, prefix): a set's size and digest, the digest of prefix and size, and the prefix."""
+    """(doc_id, text_hash, n, cid, gid, prefix, bits): a set's size and digest, the digest of prefix and size, the prefix, the parity bitmap."""
     known = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (often, ranks), rarity = known.value
         for batch in batches:
-            n, cid, gid, flat, ends = [], [], [], [], [0]
+            n, cid, gid, flat, ends, bits = [], [], [], [], [0], [np.zeros(0, np.int64)]
             for s, heavy in shingle_sets(batch.column(1), width, rarity):
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 place = heavy.astype(np.float64)
@@ -113,14 +133,16 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 gid.append(int.from_bytes(_digest(len(s).to_bytes(8, "little"), prefix.tobytes())[:8], "little", signed=True))
                 flat.append(prefix)
                 ends.append(ends[-1] + len(prefix))
+                bits.append(parity(s))
+            bitmaps = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(bits)))
             prefixes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*flat, np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.record_batch(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(cid, pa.binary()), pa.array(gid, pa.int64()), prefixes],
-                names=["doc_id", "text_hash", "n", "cid", "gid", "prefix"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(cid, pa.binary()), pa.array(gid, pa.int64()), prefixes, bitmaps],
+                names=["doc_id", "text_hash", "n", "cid", "gid", "prefix", "bits"],
             )
 
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return own.mapInArrow(sign, "doc_id long, text_hash long, n int, cid binary, gid long, prefix array<long>")
+    return own.mapInArrow(sign, "doc_id long, text_hash long, n int, cid binary, gid long, prefix array<long>, bits array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -142,7 +164,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b, ...) of classes whose sets are at least ``percent`` alike."""
-    pairs = table(pairs)
+    c = classes.select("cid", "n", "bits")
+    both = pairs.join(c.select(F.col("cid").alias("a"), F.struct("n", "bits").alias("x")), "a").join(c.select(F.col("cid").alias("b"), F.struct("n", "bits").alias("y")), "b")
+    pairs = table(both.where(may_link("x", "y", percent)).select(pairs["*"]).distinct())
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
     sets = table(_sets(docs, table(ids.join(classes.select("cid", "label"), "cid")), width))
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
@@ -158,8 +182,8 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     link with nothing and have neither class nor component name.
 
     Equal sets are one class. Classes of equal size and equal prefix (the rarest shingles, of which two linked sets share
-    at least one) are one group. Groups that share a prefix shingle are paired if their sizes allow a link and if they share as
-    many prefix shingles as it needs. Pairs expand to their classes, which are verified on the whole sets.
+    at least one) are one group. Groups that share a prefix shingle are paired if their sizes and parity bitmaps allow a link. Pairs
+    expand to their classes, of which those that the bitmaps allow are verified on the whole sets.
 
     A shingle list or group of thousands of near copies would give all its pairs. So each list first links its members to
     its first one alone, and what that connects is verified. The full join then takes only pairs of classes that are still in
@@ -172,10 +196,12 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     signed = table(signatures(docs, width, percent))
     worded = signed.where("n > 0")
     classes = table(
-        worded.groupBy("cid").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"))
+        worded.groupBy("cid").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     )
     members = classes.select("gid", "cid")
     groups = classes.groupBy("gid").agg(F.first("n").alias("n"), F.min("cid").alias("cid"), F.count("*").alias("m"), F.first("prefix").alias("prefix"))
+    # the bitmap of a group of one class
+    bitmaps = classes.groupBy("gid").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
     tokens = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     # lists of one are the most by far: they go before anything is paired
     dealt = tokens.repartition("token")
@@ -195,7 +221,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     )
     crowded = groups.where("m > 1").select("gid", F.col("cid").alias("a"))
     inside = members.join(crowded, "gid").select("a", F.col("cid").alias("b")).where("a <> b")
-    first_links = _verified(stars.select("a", "b").union(inside).distinct(), docs, classes, width, percent)
+    first_links = _verified(stars.select("a", "b").union(inside), docs, classes, width, percent)
     found = components(first_links)
     of_class = table(members.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("gid", "cid", F.coalesce("component", "cid").alias("comp")))
     # a group whose classes are in several components has none; such groups are paired with all
@@ -204,23 +230,15 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     placed = table(live.select("token", "gid", "n", "pos").join(of_group, "gid"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("comp").alias("k"), F.count("*").alias("df")).where("k < df or lo <> hi")
     open_rows = table(placed.join(mixed.select("token"), "token", "left_semi"))
-    # groups in different components share open shingles alone: of a prefix only those go along, in their order
-    prefixes = open_rows.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("pos", "token")))["token"].alias("prefix"))
-    open_lists = open_rows.join(prefixes, "gid")
+    open_lists = open_rows.join(bitmaps, "gid")
     # the smaller set's first common shingle is early enough for all that must follow, also if the sizes are equal
     early = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
     x, y = open_lists.alias("x"), open_lists.where(early).alias("y")
     # the larger set's side first; equal sizes by gid
     ahead = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") > F.col("y.gid")))
     apart = F.col("x.comp").isNull() | F.col("y.comp").isNull() | (F.col("x.comp") != F.col("y.comp"))
-    # a common shingle beyond both prefixes is in the rest of the set whose prefix ends first
-    need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
-    rest = lambda n: F.ceil(F.lit(percent) * n / F.lit(100)) - 1
-    # a pair is made at its first common shingle alone, and only if it has enough of them
-    enough = lambda z: (F.get(z, F.lit(0)) == F.col("x.token")) & (F.size(z) + F.greatest(rest(F.col("x.n")), rest(F.col("y.n"))) >= need)
-    fits = F.exists(F.array(F.array_intersect("x.prefix", "y.prefix")), enough)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & ahead & apart & (F.col("y.n") * 100 >= F.col("x.n") * percent) & fits)
-    group_pairs = met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & ahead & apart & (F.col("y.n") * 100 >= F.col("x.n") * percent) & may_link("x", "y", percent))
+    group_pairs = met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
     own = of_group.where("comp is null").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     ca = of_class.select(F.col("gid").alias("ga"), F.col("cid").alias("a"), F.col("comp").alias("comp_a"))
     cb = of_class.select(F.col("gid").alias("gb"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
