@@ -85,7 +85,7 @@ def in_order(items: Column, *wanted: str) -> Column:
 
 def split_label(text: Column) -> Column:
     """Parts of a name joined by slashes, full-width ones as well, without empty ones."""
-    return F.filter(F.transform(F.split(text, "[/／]"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, "[/／]"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def label(text: Column, names: dict[str, str]) -> Column:

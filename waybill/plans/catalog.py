@@ -1,4 +1,4 @@
 """All queries: importing their modules registers them."""
 
-from waybill.plans import events, journeys, relations  # noqa: F401
+from waybill.plans import events, journeys, places, relations  # noqa: F401
 from waybill.plans.registry import QUERIES, SQL  # noqa: F401

@@ -135,10 +135,10 @@ def q_occurrence_suffix(t):
 
 
 @query("""
-WITH m AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 5 = 0 THEN NULL ELSE ((epoch(ts)::BIGINT - epoch(TIMESTAMP '2024-01-01')::BIGINT) / 60 - 240)::BIGINT END AS m FROM events),
+WITH m AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (floor(epoch(ts))::BIGINT - epoch(TIMESTAMP '2024-01-01')::BIGINT) // 60 - 240 END AS m FROM events),
 d AS (SELECT *, floor(m / 1440.0)::BIGINT AS d, max(floor(m / 1440.0)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM m)
 SELECT event_id, coalesce(greatest(d, p), -99) AS day, coalesce(d > p, false) AS breaks FROM d
-""".replace("(epoch(ts)::BIGINT - epoch(TIMESTAMP '2024-01-01')::BIGINT) / 60 - 240)::BIGINT", "(epoch(ts)::BIGINT - epoch(TIMESTAMP '2024-01-01')::BIGINT) // 60 - 240)::BIGINT"))
+""")
 def q_day_breaks(t):
     minutes = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / 60) - 240
     own = t.events.select("event_id", "user_id", "ts", F.when(F.col("event_id") % 5 != 0, minutes).alias("m"))

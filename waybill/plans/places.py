@@ -224,7 +224,7 @@ WITH p AS ({POINTS_SQL}), s AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS
 d AS (SELECT label, vec_id, x, y, px, py, sum(coalesce(sqrt(pow(x - px, 2) + pow(y - py, 2)), 0)) OVER (PARTITION BY label ORDER BY vec_id) AS m FROM s),
 e AS (SELECT *, lag(m) OVER (PARTITION BY label ORDER BY vec_id) AS pm FROM d)
 SELECT label, round(m, 6) AS measure, round(x, 6) AS x, round(y, 6) AS y FROM e WHERE m BETWEEN 3.0 AND 7.5
-UNION ALL SELECT label, round(at, 6), round(px + (at - pm) / (m - pm) * (x - px), 6), round(py + (at - pm) / (m - pm) * (y - py), 6) FROM e, (VALUES (3.0::DOUBLE), (7.5::DOUBLE)) v(at) WHERE pm < at AND at < m
+UNION ALL SELECT label, round(c, 6), round(px + (c - pm) / (m - pm) * (x - px), 6), round(py + (c - pm) / (m - pm) * (y - py), 6) FROM e, (VALUES (3.0::DOUBLE), (7.5::DOUBLE)) v(c) WHERE pm < c AND c < m
 """)
 def q_slice_measure(t):
     flat = lambda a, b, c, d: F.sqrt(F.pow(c - a, 2) + F.pow(d - b, 2))
