@@ -162,11 +162,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return own.select("text").mapInArrow(build, "cid binary, set array<long>").dropDuplicates(["cid"])
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that their bitmaps allow to link."""
+    of = lambda name, end: classes.select(F.col("cid").alias(end), F.struct("n", "bits").alias(name))
+    return pairs.join(of("x", "a"), "a").join(of("y", "b"), "b").where(may_link("x", "y", percent)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b, ...) of classes whose sets are at least ``percent`` alike."""
-    c = classes.select("cid", "n", "bits")
-    both = pairs.join(c.select(F.col("cid").alias("a"), F.struct("n", "bits").alias("x")), "a").join(c.select(F.col("cid").alias("b"), F.struct("n", "bits").alias("y")), "b")
-    pairs = table(both.where(may_link("x", "y", percent)).select(pairs["*"]).distinct())
+    pairs = table(pairs.distinct())
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
     sets = table(_sets(docs, table(ids.join(classes.select("cid", "label"), "cid")), width))
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
@@ -198,7 +202,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     classes = table(
         worded.groupBy("cid").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     )
-    members = classes.select("gid", "cid")
+    members = classes.select("gid", "cid", "n", "bits")
     groups = classes.groupBy("gid").agg(F.first("n").alias("n"), F.min("cid").alias("cid"), F.count("*").alias("m"), F.first("prefix").alias("prefix"))
     # the bitmap of a group of one class
     bitmaps = classes.groupBy("gid").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
@@ -221,9 +225,9 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     )
     crowded = groups.where("m > 1").select("gid", F.col("cid").alias("a"))
     inside = members.join(crowded, "gid").select("a", F.col("cid").alias("b")).where("a <> b")
-    first_links = _verified(stars.select("a", "b").union(inside), docs, classes, width, percent)
+    first_links = _verified(_possible(stars.select("a", "b").union(inside), classes, percent), docs, classes, width, percent)
     found = components(first_links)
-    of_class = table(members.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("gid", "cid", F.coalesce("component", "cid").alias("comp")))
+    of_class = table(members.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("gid", "cid", "n", "bits", F.coalesce("component", "cid").alias("comp")))
     # a group whose classes are in several components has none; such groups are paired with all
     of_group = of_class.groupBy("gid").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("comp"))
 
@@ -240,9 +244,11 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & ahead & apart & (F.col("y.n") * 100 >= F.col("x.n") * percent) & may_link("x", "y", percent))
     group_pairs = met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
     own = of_group.where("comp is null").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
-    ca = of_class.select(F.col("gid").alias("ga"), F.col("cid").alias("a"), F.col("comp").alias("comp_a"))
-    cb = of_class.select(F.col("gid").alias("gb"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = group_pairs.union(own).join(ca, "ga").join(cb, "gb").where("comp_a <> comp_b and (ga <> gb or a < b)").select("a", "b", "comp_a", "comp_b")
+    ca = of_class.select(F.col("gid").alias("ga"), F.col("cid").alias("a"), F.col("comp").alias("comp_a"), F.struct("n", "bits").alias("p"))
+    cb = of_class.select(F.col("gid").alias("gb2"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.struct("n", "bits").alias("q"))
+    # the bitmaps decide inside the join, so that what can't link is never a row
+    differ = (F.col("gb") == F.col("gb2")) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("ga") != F.col("gb")) | (F.col("a") < F.col("b")))
+    pairs = group_pairs.union(own).join(ca, "ga").join(cb, differ & may_link("p", "q", percent)).select("a", "b", "comp_a", "comp_b")
     more = _verified(pairs, docs, classes, width, percent)
 
     # what the second round links are components of the first
