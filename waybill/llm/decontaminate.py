@@ -57,7 +57,9 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GR
     lengths = [r[0] for r in items.select(F.least(F.size("w"), F.lit(window)).alias("n")).distinct().collect()]
     parts = []
     for n in sorted(lengths):
-        own = items.where(F.least(F.size("w"), F.lit(window)) == n).withColumn("pick", _picks(F.col("w"), n, _gram(n, gram)))
+        fits = F.least(F.size("w"), F.lit(window)) == n
+        # guarded once more: a filter on the exploded array may be put before this one
+        own = items.where(fits).withColumn("pick", F.when(fits, _picks(F.col("w"), n, _gram(n, gram))))
         parts.append(
             own.select("item_id", "w", F.posexplode("pick").alias("s", "pick")).select(
                 "item_id",
