@@ -226,7 +226,7 @@ def train(docs: DataFrame, most: int = UNKNOWN) -> Model:
 
     A paragraph that shares three words in a row with a template is left out.
     """
-    paragraph = F.expr("element_at(filter(split(text, '\\n'), p -> length(p) > 20 and length(p) < 1000), 1)")
+    paragraph = F.expr("try_element_at(filter(split(text, '\\n'), p -> length(p) > 20 and length(p) < 1000), 1)")
     drawn = docs.where("text is not null and doc_id is not null").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("at"), "doc_id", "text")
     rows = drawn.orderBy("at", "doc_id").limit(most).select(paragraph.alias("p")).where("p is not null").orderBy("p").collect()
     said = {" ".join(w[i : i + 3]) for own in TEMPLATES.values() for s in own for w in [s.lower().split()] for i in range(len(w) - 2)}
