@@ -195,13 +195,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 25
     n, d = x.shape
     weight = np.ones(n) if weight is None else weight
     total = max(float(weight.sum()), 1e-9)
-    wide = np.column_stack((x, np.ones(n)))
     penalty = np.append(np.full(d, ridge), 1e-9)
     w = np.zeros(d + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(wide @ w, -30, 30)))
-        slope = wide.T @ (weight * (p - y)) / total + penalty * w
-        bend = (wide * (weight * np.maximum(p * (1 - p), 1e-5))[:, None]).T @ wide / total
+        slope, bend = penalty * w, np.zeros((d + 1, d + 1))
+        for a in range(0, n, 1024):  # a block at a time: no copy of all rows
+            own = slice(a, a + 1024)
+            wide = np.column_stack((x[own], np.ones(len(x[own]))))
+            p = 1 / (1 + np.exp(-np.clip(wide @ w, -30, 30)))
+            slope += wide.T @ (weight[own] * (p - y[own])) / total
+            bend += (wide * (weight[own] * np.maximum(p * (1 - p), 1e-5))[:, None]).T @ wide / total
         step = np.linalg.solve(bend + np.diag(penalty + 1e-9), slope)
         w -= step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:

@@ -64,20 +64,22 @@ def _present(column: pa.Array, terms: np.ndarray) -> np.ndarray:
 
 def mine_terms(texts: list[str], y: np.ndarray, most: int = TERMS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of terms that go with label 1, chosen by the likelihood ratio of their document counts, and their log odds."""
-    seen, owner = [], []
+    token, ones, zeros = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
     for row, n, data, offsets in text_slices(pa.array(texts, pa.large_string())):
         words = Words(data, offsets, APART)
         doc = np.repeat(np.arange(row, row + n), words.counts)
         for h in _terms(words):
-            pair = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1)
-            owner.append(pair[0].astype(np.int64))
-            seen.append(pair[1])
-    if not seen:
+            order = np.lexsort((doc, h))
+            h, own = h[order], doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+            h, label = h[new], y[own[new]]
+            # counts so far and those of this slice, which holds whole documents
+            token, inverse = np.unique(np.concatenate((token, h)), return_inverse=True)
+            ones = np.bincount(inverse, np.concatenate((ones, label)), len(token))
+            zeros = np.bincount(inverse, np.concatenate((zeros, 1 - label)), len(token))
+    if not len(token):
         return np.zeros(0, np.uint64), np.zeros(0)
-    token, inverse = np.unique(np.concatenate(seen), return_inverse=True)
-    label = y[np.concatenate(owner)]
-    ones = np.bincount(inverse, label, len(token))
-    zeros = np.bincount(inverse, 1 - label, len(token))
     n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
     n = ones + zeros
     expect1, expect0 = n * n1 / (n1 + n0), n * n0 / (n1 + n0)
@@ -154,7 +156,7 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     terms = np.unique(np.concatenate([mined, *general]))
     if not len(y):
         return Model(terms, np.append(np.full(len(terms), 5.0), 0.0), -3.0)
-    x = _present(pa.array(texts, pa.large_string()), terms).astype(float)
+    x = _present(pa.array(texts, pa.large_string()), terms)
     # terms of like odds vote together
     deal = np.full(len(terms), -1)
     deal[np.searchsorted(terms, mined)] = np.argsort(np.argsort(odds, kind="stable")) * VOTERS // max(1, len(mined))
