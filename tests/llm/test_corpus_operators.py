@@ -224,6 +224,43 @@ def test_vector_dedup(spark):
     assert vector_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def lone_pairs(n=120):
+    """Pairs of near copies that nothing else is like, all of one label, and their vectors."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(n, 6))
+    vectors = np.vstack((base, base + rng.normal(size=base.shape) * 0.12)).astype(np.float32)
+    return [(i, v.tolist(), 0) for i, v in enumerate(vectors)], vectors.astype(float)
+
+
+def test_vector_audit_sees_classes_without_links(spark):
+    made, _ = lone_pairs()
+    d = spark.createDataFrame(made, "vec_id long, embedding array<float>, label int")
+    _, classes = vector_dedup.classes_of(d)
+    none = classes.selectExpr("cid", "0L as found", "0L as pairs")
+    assert vector_dedup._audit(classes, none, 0.98, 8) == 0.0
+    # thousands of copies beside one query do not hide what others lost
+    d = d.unionByName(spark.range(5000).selectExpr("id + 1000 as vec_id", "array(1f, 2f, 3f) as embedding", "1 as label"))
+    d = d.unionByName(spark.createDataFrame([(9000, [1.0, 2.0, 3.001], 1)], d.schema))
+    _, classes = vector_dedup.classes_of(d)
+    some = classes.selectExpr("cid", "if(size(vec) = 3, if(m > 1, 1L, 5000L), 0L) as found", "if(size(vec) = 3, 1L, 0L) as pairs")
+    assert vector_dedup._audit(classes, some, 0.98, 64) < 0.1
+
+
+@pytest.mark.parametrize("overlap", [1, 32])
+def test_vector_links_over_cell_borders_are_recovered(spark, overlap):
+    made, x = lone_pairs()
+    d = spark.createDataFrame(made, "vec_id long, embedding array<float>, label int")
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    assert want.sum() > 100
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(d, target=12, overlap=overlap).collect()}
+    assert sum(got[i] for i in got) >= vector_dedup.LEAST_RECALL * want.sum()
+    assert vector_dedup.near_duplicates.recall >= vector_dedup.LEAST_RECALL
+    _, classes = vector_dedup.classes_of(d)
+    links = vector_dedup._compared(classes, 0.98, 12).groupBy("a").sum("pairs").collect()
+    assert sorted(r[1] for r in links) == sorted(want)
+
+
 # ---------------------------------------------------------------- 6
 
 

@@ -24,6 +24,8 @@ BEAM = 24
 #: Shards that are split at once up to which their centres are broadcast (FAN vectors each).
 MOST_BROADCAST = 256
 AUDITED = 64
+#: Classes without a found link that are audited for each one with links: a lost link shows there, and few of them have one.
+AUDITED_BARE = 8
 LEAST_RECALL = 0.95
 _MORE = 1e-9
 
@@ -56,9 +58,11 @@ def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("vec_id", "cid"), table(one)
 
 
-def shards_of(classes: DataFrame, target: int, overlap: int) -> DataFrame:
+def shards_of(classes: DataFrame, target: int, overlap: int, margin: float = MARGIN, most: int | None = None) -> DataFrame | None:
     """(cid, shard, own): each class in one or more shards of about ``target``, in one of them as its owner.
 
+    None once there are more than ``most`` rows.
+
     Shards begin as the labels. One that is too large is split by centres drawn from it, FAN at most, again and again, so no
     table of centres grows with the input. A vector follows its nearest centre, and others that are nearly as near.
     """
@@ -67,6 +71,8 @@ def shards_of(classes: DataFrame, target: int, overlap: int) -> DataFrame:
         big = rows.groupBy("shard").count().where(F.col("count") > 2 * target)
         big = table(big.withColumn("k", F.least(F.lit(FAN), F.ceil(F.col("count") / target)).cast("int")))
         n_big = big.count()
+        if most is not None and rows.count() > most:
+            return None
         if not n_big:
             break
         # about four times as many as needed pass, so that no shard is ranked whole
@@ -93,7 +99,7 @@ def shards_of(classes: DataFrame, target: int, overlap: int) -> DataFrame:
                     order = np.argsort(-near, axis=1, kind="stable")[:, :k]
                     value = np.take_along_axis(near, order, 1)
                     for j in range(k):
-                        goes = value[:, j] >= value[:, 0] - MARGIN
+                        goes = value[:, j] >= value[:, 0] - margin
                         part = g.loc[goes, ["cid", "vec", "own"]].copy()
                         part["shard"] = [f"{shard}/{i}" for i in order[goes, j]]
                         if j:
@@ -201,19 +207,31 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, target: int = SHARD
     Vectors link when their labels are equal and their cosine, in double precision, is at least ``least``. Equal vectors of a
     label are one class. Each shard of classes builds a graph; the lists of a class from all its shards are united; each shard
     then searches, with the united lists, for its own classes' neighbours. The links leave a shard as counts and as links to the
-    smallest class of a local component, never as all pairs. A sample of classes is compared with every class; if fewer than
-    0.95 of its links were found, shards are made again with twice the overlap.
+    smallest class of a local component, never as all pairs. A sample of all classes, with links or not, is compared with every
+    class; if fewer than 0.95 of its links were found, shards are made again with twice the overlap and twice the margin. Where
+    that does not help, or would hold more rows than blocks of all with all, every class is compared with every other.
 
     Defined results: vectors that are null, zero or hold a null or non-finite component, and those without a label, have no
     links; vectors of different length never link; repeated rows are vectors of their own; a null vec_id has its component's
     smallest, or null; an empty table gives no rows.
     """
     keyed, classes = classes_of(vectors)
+    margin = MARGIN
+    most = classes.groupBy("shard").count().agg(F.sum(F.col("count") * F.ceil(F.col("count") / target))).first()[0] or 0
     while True:
-        of_class, recall = _linked(classes, least, target, overlap, audited)
-        if recall >= LEAST_RECALL or overlap >= 32:
+        members = shards_of(classes, target, overlap, margin, most)
+        if members is None:
+            recall = 0.0
+        else:
+            of_class, counts = _linked(classes, _searched(classes, table(members), least))
+            recall = _audit(classes, counts, least, audited)
+        if recall >= LEAST_RECALL:
+            break
+        if members is None or overlap >= 32:
+            of_class, _ = _linked(classes, _compared(classes, least, target))
+            recall = 1.0
             break
-        overlap *= 2
+        overlap, margin = 2 * overlap, 2 * margin
     near_duplicates.recall = recall
     size = classes.select("cid", "m", "least")
     result = of_class.join(size, "cid", "right").select(
@@ -227,10 +245,34 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, target: int = SHARD
     )
 
 
-def _linked(classes: DataFrame, least: float, target: int, overlap: int, audited: int) -> tuple[DataFrame, float]:
-    """(cid, found, component_id) of classes with links to others, and the recall of the audit."""
-    spark = classes.sparkSession
-    members = table(shards_of(classes, target, overlap))
+def _joined(cids: np.ndarray, m: np.ndarray, of: np.ndarray, found: list[np.ndarray]) -> pd.DataFrame:
+    """(a, b, found, pairs): of each place of ``of`` its rows and classes found; a and b of each place in a component, its smallest."""
+    parent = np.arange(len(cids))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    counts = np.zeros((2, len(cids)), np.int64)
+    for q, near in zip(of, found, strict=True):
+        counts[0, q] += m[near].sum()
+        counts[1, q] += len(near)
+        for j in near:
+            a, b = root(q), root(j)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    top = np.array([root(i) for i in range(len(cids))], np.int64)
+    told = np.union1d(of, np.flatnonzero(top != np.arange(len(cids)))).astype(np.int64)
+    return pd.DataFrame({"a": cids[told], "b": cids[top[told]], "found": counts[0, told], "pairs": counts[1, told]})
+
+
+LINKS = "a string, b string, found long, pairs long"
+
+
+def _searched(classes: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """(a, b, found, pairs) of classes, by the graphs of shards."""
 
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid", ignore_index=True)
@@ -252,59 +294,93 @@ def _linked(classes: DataFrame, least: float, target: int, overlap: int, audited
         adjacency = [np.array([place[c] for c in near if c in place], np.int64) for near in pdf.near]
         own = np.flatnonzero(pdf.own.to_numpy())
         found = search(x, norms, adjacency, own, least)
-        parent = np.arange(len(cids))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        m = pdf.m.to_numpy()
-        counts = np.zeros(len(own), np.int64)
-        for i, (q, near) in enumerate(zip(own, found, strict=True)):
-            near = near[raw[near] @ raw[q] / (norms[near] * norms[q]) >= least]
-            counts[i] = m[near].sum()
-            for j in near:
-                a, b = root(q), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        mine = pd.DataFrame({"a": cids[own], "b": [cids[root(i)] for i in own], "found": counts})
-        more = [(cids[i], cids[root(i)]) for i in range(len(cids)) if root(i) != i and not pdf.own.iloc[i]]
-        return pd.concat([mine, pd.DataFrame({"a": [p[0] for p in more], "b": [p[1] for p in more], "found": 0})]) if more else mine
-
-    links = table(with_lists.groupBy("shard").applyInPandas(find, "a string, b string, found long"))
-    counts = links.groupBy(F.col("a").alias("cid")).agg(F.sum("found").alias("found"))
+        found = [near[raw[near] @ raw[q] / (norms[near] * norms[q]) >= least] for q, near in zip(own, found, strict=True)]
+        return _joined(cids, pdf.m.to_numpy(), own, found)
+
+    return with_lists.groupBy("shard").applyInPandas(find, LINKS)
+
+
+def _compared(classes: DataFrame, least: float, target: int) -> DataFrame:
+    """(a, b, found, pairs) of classes, by comparing all of a shard with all, a pair of blocks of about ``target`` at a time."""
+    blocks = classes.groupBy("shard").agg(F.ceil(F.count("*") / target).cast("int").alias("k"))
+    block = F.pmod(F.xxhash64("cid", F.lit(2)), F.col("k")).cast("int")
+    dealt = classes.join(blocks, "shard").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("cid", "vec", "m", "shard", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cid", ignore_index=True)
+        raw = np.stack(pdf.vec.to_numpy()).astype(float)
+        norms = np.sqrt((raw * raw).sum(1))
+        within = pdf.i.iloc[0] == pdf.j.iloc[0]
+        of = pdf.block.to_numpy()
+        found = []
+        for a in range(0, len(raw), 256):
+            met = raw[a : a + 256] @ raw.T / (norms[a : a + 256, None] * norms) >= least
+            met[np.arange(len(met)), np.arange(a, a + len(met))] = False
+            if not within:
+                met &= of[a : a + 256, None] != of
+            found += [np.flatnonzero(r) for r in met]
+        return _joined(pdf.cid.to_numpy(), pdf.m.to_numpy(), np.arange(len(raw)), found)
+
+    return dealt.groupBy("shard", "i", "j").applyInPandas(compare, LINKS)
+
+
+def _linked(classes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cid, found, component_id) of classes, and (cid, found, pairs)."""
+    links = table(links)
+    counts = links.groupBy(F.col("a").alias("cid")).agg(F.sum("found").alias("found"), F.sum("pairs").alias("pairs"))
     found = components(links.select("a", "b"))
     labelled = found.select(F.col("node").alias("cid"), "component").join(classes.select("cid", "least"), "cid")
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = table(counts.join(labelled.join(smallest, "component").select("cid", "component_id"), "cid", "left"))
-    return of_class, _audit(classes, counts, least, audited)
+    of_class = counts.select("cid", "found").join(labelled.join(smallest, "component").select("cid", "component_id"), "cid", "left")
+    return table(of_class), counts
 
 
 def _audit(classes: DataFrame, counts: DataFrame, least: float, audited: int) -> float:
-    """Of the links of some classes to any others, the share that was found; every class is compared with them, in blocks."""
+    """The share found of the links of some classes to any others; every class is compared with them, in blocks.
+
+    Classes are drawn by digest among those with found links and among those without, and weigh as many as they were drawn
+    from. A link is one between two classes, whatever their copies. The share of all links and the mean share of a class that
+    has links are estimated; the lower one counts.
+    """
     spark = classes.sparkSession
-    drawn = counts.where("found > 0").orderBy(F.xxhash64("cid"), "cid").limit(audited)
-    queries = drawn.join(classes, "cid").select("cid", "shard", "vec", "found").toPandas()
-    if not len(queries):
+    counts = table(classes.join(counts, "cid", "left").select("cid", F.coalesce("pairs", F.lit(0)).alias("pairs")))
+    drawn, weight = [], {}
+    for linked, n in ((True, audited), (False, AUDITED_BARE * audited)):
+        own = counts.where(F.col("pairs") > 0 if linked else F.col("pairs") == 0)
+        part = own.orderBy(F.xxhash64("cid"), "cid").limit(n).toPandas()
+        weight[linked] = own.count() / max(1, len(part))
+        drawn.append(part)
+    drawn = pd.concat(drawn)
+    if not len(drawn):
         return 1.0
+    keys = spark.createDataFrame(drawn.astype({"cid": str, "pairs": int}), "cid string, pairs long")
+    queries = classes.join(F.broadcast(keys), "cid").select("cid", "shard", "vec", "pairs").toPandas()
     known = spark.sparkContext.broadcast(queries)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = known.value
+        own = {shard: (g.cid.to_numpy(), np.stack(g.vec.to_numpy()).astype(float)) for shard, g in q.groupby("shard")}
+        true = dict.fromkeys(q.cid, 0)
         for batch in batches:
-            pdf = batch.to_pandas()
-            for i, query in q.iterrows():
-                own = pdf[(pdf.shard == query.shard) & (pdf.cid != query.cid)]
-                n = 0
-                if len(own):
-                    x, y = np.stack(own.vec.to_numpy()).astype(float), np.asarray(query.vec, float)
-                    n = int(own.m[(x @ y) / (np.sqrt((x * x).sum(1)) * np.sqrt(y @ y)) >= least].sum())
-                yield pa.record_batch([pa.array([query.cid]), pa.array([n], pa.int64())], names=["cid", "n"])
-
-    true = classes.select("cid", "shard", "vec", "m").mapInArrow(compare, "cid string, n long").agg(F.sum("n")).first()[0]
-    return float(min(queries.found.sum(), true)) / true if true else 1.0
+            for shard, g in batch.to_pandas().groupby("shard"):
+                if shard in own:
+                    cids, y = own[shard]
+                    x = np.stack(g.vec.to_numpy()).astype(float)
+                    met = (y @ x.T) / (np.sqrt((y * y).sum(1))[:, None] * np.sqrt((x * x).sum(1))) >= least
+                    met &= cids[:, None] != g.cid.to_numpy()
+                    for c, n in zip(cids, met.sum(1), strict=True):
+                        true[c] += int(n)
+        yield pa.record_batch([pa.array(list(true)), pa.array(list(true.values()), pa.int64())], names=["cid", "n"])
+
+    true = classes.select("cid", "shard", "vec").mapInArrow(compare, "cid string, n long").groupBy("cid").agg(F.sum("n").alias("n")).toPandas()
+    met = queries.merge(true, on="cid")
+    met = met[met.n > 0]
+    w = np.where(met.pairs > 0, weight[True], weight[False])
+    if not len(met):
+        return 1.0
+    hit = np.minimum(met.pairs, met.n)
+    return float(min((w * hit).sum() / (w * met.n).sum(), (w * hit / met.n).sum() / w.sum()))
 
 
 def op5_vector_dedup(spark, sf_dir: str) -> DataFrame:
