@@ -261,6 +261,26 @@ def test_vector_links_over_cell_borders_are_recovered(spark, overlap):
     assert sorted(r[1] for r in links) == sorted(want)
 
 
+def test_vector_links_outside_the_owner_shard_count_once(spark):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(80, 4)), 4, 0) + rng.normal(size=(320, 4)) * 0.1
+    d = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>, label int")
+    _, classes = vector_dedup.classes_of(d)
+    dealt = []
+    for i, r in enumerate(classes.orderBy("cid").collect()):
+        dealt += [(r.cid, f"0:4/{k}", r.vec, k == i % 3) for k in range(4) if k == i % 3 or rng.random() < 0.5]
+    members = common.table(spark.createDataFrame(dealt, "cid string, shard string, vec array<float>, own boolean"))
+    rows = members.collect()
+    shards, vec, home = {}, {}, {r.cid: r["shard"] for r in rows if r.own}
+    for r in rows:
+        shards.setdefault(r.cid, set()).add(r["shard"])
+        vec[r.cid] = np.array(r.vec, float) / math.sqrt(np.array(r.vec, float) @ np.array(r.vec, float))
+    meet = {a: [b for b in vec if a != b and shards[a] & shards[b] and vec[a] @ vec[b] >= 0.98] for a in vec}
+    assert any(home[a] not in shards[b] for a in vec for b in meet[a])
+    got = {r.a: r["n"] for r in vector_dedup._searched(classes, members, 0.98).groupBy("a").agg({"pairs": "sum"}).toDF("a", "n").collect()}
+    assert got == {a: len(b) for a, b in meet.items()}
+
+
 # ---------------------------------------------------------------- 6
 
 

@@ -206,7 +206,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, target: int = SHARD
 
     Vectors link when their labels are equal and their cosine, in double precision, is at least ``least``. Equal vectors of a
     label are one class. Each shard of classes builds a graph; the lists of a class from all its shards are united; each shard
-    then searches, with the united lists, for its own classes' neighbours. The links leave a shard as counts and as links to the
+    then searches, with the united lists, for its own classes' neighbours, and takes links of other members that their own shards
+    do not hold. The links leave a shard as counts and as links to the
     smallest class of a local component, never as all pairs. A sample of all classes, with links or not, is compared with every
     class; if fewer than 0.95 of its links were found, shards are made again with twice the overlap and twice the margin. Where
     that does not help, or would hold more rows than blocks of all with all, every class is compared with every other.
@@ -272,16 +273,24 @@ LINKS = "a string, b string, found long, pairs long"
 
 
 def _searched(classes: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """(a, b, found, pairs) of classes, by the graphs of shards."""
+    """(a, b, found, pairs) of classes, by the graphs of shards.
+
+    The shard that owns a class searches for its links. Those to classes that are not there are taken in the first other shard
+    that holds both, by comparing all; so each pair that meets in any shard counts once, and no pairs leave a shard.
+    """
 
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid", ignore_index=True)
         lists = build(pdf.cid.to_numpy(), _unit(np.stack(pdf.vec.to_numpy()).astype(float)))
         cids = pdf.cid.to_numpy()
-        return pd.DataFrame({"cid": cids, "near": [cids[a].tolist() for a in lists]})
+        return pd.DataFrame({"cid": cids, "shard": pdf["shard"], "own": pdf.own, "near": [cids[a].tolist() for a in lists]})
 
-    lists = members.groupBy("shard").applyInPandas(graph, "cid string, near array<string>")
-    united = lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    lists = members.groupBy("shard").applyInPandas(graph, "cid string, shard string, own boolean, near array<string>")
+    united = lists.groupBy("cid").agg(
+        F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"),
+        F.array_sort(F.collect_list("shard")).alias("shards"),
+        F.max(F.when(F.col("own"), F.col("shard"))).alias("home"),
+    )
     with_lists = members.join(united, "cid").join(classes.select("cid", "m"), "cid")
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -295,11 +304,35 @@ def _searched(classes: DataFrame, members: DataFrame, least: float) -> DataFrame
         own = np.flatnonzero(pdf.own.to_numpy())
         found = search(x, norms, adjacency, own, least)
         found = [near[raw[near] @ raw[q] / (norms[near] * norms[q]) >= least] for q, near in zip(own, found, strict=True)]
-        return _joined(cids, pdf.m.to_numpy(), own, found)
+        of, more = _leaving(pdf, raw, norms, least)
+        return _joined(cids, pdf.m.to_numpy(), np.concatenate((own, of)), found + more)
 
     return with_lists.groupBy("shard").applyInPandas(find, LINKS)
 
 
+def _leaving(pdf: pd.DataFrame, raw: np.ndarray, norms: np.ndarray, least: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places that other shards own, and for each the places of links that its owner does not hold and no earlier shard takes."""
+    here = pdf["shard"].iloc[0]
+    guests = np.flatnonzero(~pdf.own.to_numpy())
+    kinds: dict[tuple, int] = {}
+    kind = np.array([kinds.setdefault((h, tuple(s)), len(kinds)) for h, s in zip(pdf.home, pdf["shards"], strict=True)])
+    known = [(h, frozenset(s)) for h, s in kinds]
+    found = []
+    for a in range(0, len(guests), 256):
+        q = guests[a : a + 256]
+        met = raw[q] @ raw.T / (norms[q, None] * norms) >= least
+        met[np.arange(len(q)), q] = False
+        r, c = np.nonzero(met)
+        pair, which = np.unique(kind[q[r]] * len(known) + kind[c], return_inverse=True)
+        taken = np.zeros(len(pair), bool)
+        for i, p in enumerate(pair):
+            (home, shards), (_, others) = known[p // len(known)], known[p % len(known)]
+            taken[i] = home not in others and min(shards & others) == here
+        met[r, c] = taken[which]
+        found += [np.flatnonzero(x) for x in met]
+    return guests, found
+
+
 def _compared(classes: DataFrame, least: float, target: int) -> DataFrame:
     """(a, b, found, pairs) of classes, by comparing all of a shard with all, a pair of blocks of about ``target`` at a time."""
     blocks = classes.groupBy("shard").agg(F.ceil(F.count("*") / target).cast("int").alias("k"))
