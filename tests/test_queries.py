@@ -54,3 +54,12 @@ def test_query(spark, duck, name):
         assert len(ours[1]) == len(theirs[1])
         assert ours[1] == theirs[1]
     assert len(set(df.columns)) == len(df.columns)
+
+
+WHOLE = "q_calendar_expand q_midnight_carry q_graph_edges q_reachable q_shortest_path q_set_ratio q_date_order".split()
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_tables_are_registered(name):
+    sql = catalog.SQL[f"{name}_whole"]
+    assert not any(cut in sql for cut in ("o_orderkey % 50", "l_orderkey % 40", "l_orderkey % 7", "user_id <= 40", "place <= 500"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import clock, masks, text
 from waybill.operators import periods, sequences
-from waybill.plans.registry import query
+from waybill.plans.registry import SQL, query
 
 CALL = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -66,9 +66,9 @@ e AS (SELECT *, CASE WHEN day = f + 3 THEN 'remove' WHEN day = u + 2 THEN 'add'
 SELECT id::VARCHAR AS trip_id, strftime(day, '%Y-%m-%d') AS service_date FROM e
 WHERE CASE WHEN exc = 'remove' THEN false WHEN exc = 'add' THEN true WHEN NOT (f <= day AND day < u) THEN false ELSE (bits >> dayofweek(day)) & 1 = 1 END
 """)
-def q_calendar_expand(t):
+def q_calendar_expand(t, every=50):
     key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
-    own = t.orders.where(key % 50 == 0).select(key.cast("string").alias("id"), day.alias("f"), F.date_add(day, 21).alias("u"), (key % 127 + 1).cast("int").alias("bits"))
+    own = t.orders.where(key % every == 0).select(key.cast("string").alias("id"), day.alias("f"), F.date_add(day, 21).alias("u"), (key % 127 + 1).cast("int").alias("bits"))
     names = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
     calendars = own.select(
         F.col("id").alias("calendar_id"), *[F.shiftright("bits", k).bitwiseAND(F.lit(1)).alias(n) for k, n in enumerate(names)],
@@ -83,6 +83,11 @@ def q_calendar_expand(t):
     return found.select("trip_id", F.date_format("service_date", "yyyy-MM-dd").alias("service_date"))
 
 
+@query(SQL["q_calendar_expand"].replace(" WHERE o_orderkey % 50 = 0", ""))
+def q_calendar_expand_whole(t):
+    return q_calendar_expand(t, 1)
+
+
 @query("""
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 14 = 0 THEN '-' WHEN o_orderkey % 7 = 0 THEN 'override' ELSE o_orderpriority END AS priority FROM orders
 """)
@@ -283,12 +288,17 @@ l AS (SELECT *, CASE WHEN m < lag(m) OVER (PARTITION BY user_id ORDER BY ts) THE
 s AS (SELECT *, (m + 1440 * sum(back) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING))::BIGINT AS c FROM l)
 SELECT user_id, string_agg(c::VARCHAR, ',' ORDER BY ts) AS clocks FROM s GROUP BY 1
 """)
-def q_midnight_carry(t):
-    own = t.events.where("user_id <= 40").withColumn("m", F.hour("ts") * 60 + F.minute("ts"))
+def q_midnight_carry(t, users="user_id <= 40"):
+    own = t.events.where(users).withColumn("m", F.hour("ts") * 60 + F.minute("ts"))
     items = sequences.in_order(own, ["user_id"], ["ts"], "m", "items")
     return items.select("user_id", F.array_join(sequences.carried(F.col("items")), ",").alias("clocks"))
 
 
+@query(SQL["q_midnight_carry"].replace(" WHERE user_id <= 40", ""))
+def q_midnight_carry_whole(t):
+    return q_midnight_carry(t, "true")
+
+
 @query("""SELECT event_id, (props->>'$.k')::BIGINT AS k, json_keys(props)[1] AS keys, len(json_keys(props))::INT AS n_keys, 0 AS unknown FROM events""")
 def q_json_scalars(t):
     keys = F.json_object_keys("props")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import geo, masks, text
 from waybill.operators import graph, quality, search, sequences, shapes
-from waybill.plans.registry import query
+from waybill.plans.registry import SQL, query
 
 
 @query("""SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS key, count(DISTINCT p_type) AS ids FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1""")
@@ -258,8 +258,8 @@ e AS (SELECT a, b, min(km) AS km FROM (SELECT a, b, km FROM s WHERE b IS NOT NUL
 """
 
 
-def network(t):
-    own = t.lineitem.where("l_orderkey % 40 = 0").join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+def network(t, orders="l_orderkey % 40 = 0"):
+    own = t.lineitem.where(orders).join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     place = (F.col("s_nationkey") * 4 + (F.col("l_partkey") % 4).cast("int")).alias("p")
     calls = own.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("km"), place)
     return graph.edges_of_calls(calls, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "km"], "p", "km")
@@ -285,6 +285,25 @@ def q_shortest_path(t):
     return graph.shortest(network(t), start(t, 0), 4).select("start", "node", F.round("km", 2).alias("km"))
 
 
+def whole_network(name):
+    return SQL[name].replace(" WHERE l_orderkey % 40 = 0", "")
+
+
+@query(whole_network("q_graph_edges"))
+def q_graph_edges_whole(t):
+    return network(t, "true").select("a", "b", F.round("km", 2).alias("km"))
+
+
+@query(whole_network("q_reachable"))
+def q_reachable_whole(t):
+    return graph.reachable(network(t, "true"), start(t, 0), 3)
+
+
+@query(whole_network("q_shortest_path"))
+def q_shortest_path_whole(t):
+    return graph.shortest(network(t, "true"), start(t, 0), 4).select("start", "node", F.round("km", 2).alias("km"))
+
+
 @query("""
 WITH a AS (SELECT l_orderkey AS id, round(min(l_extendedprice), 2) AS km FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), b AS (SELECT l_orderkey AS id, round(min(l_extendedprice), 2) AS km FROM lineitem WHERE l_linenumber = 2 GROUP BY 1),
 a5 AS (SELECT * FROM a ORDER BY km, id LIMIT 5), b5 AS (SELECT * FROM b ORDER BY km, id LIMIT 5)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import clock, intervals, masks
 from waybill.operators import coverage, quality, relations, sequences, tally
-from waybill.plans.registry import query
+from waybill.plans.registry import SQL, query
 
 
 @query("""
@@ -237,8 +237,8 @@ WITH s AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem WHERE l
 p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.i = b.i AND a.k < b.k GROUP BY 1, 2)
 SELECT a, b, c AS common, c = least(x.n, y.n) AS subset FROM p JOIN n x ON a = x.k JOIN n y ON b = y.k WHERE c * 5 >= greatest(x.n, y.n) * 4
 """)
-def q_set_ratio(t):
-    own = t.lineitem.where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("i")).distinct()
+def q_set_ratio(t, orders="l_orderkey % 7 = 0"):
+    own = t.lineitem.where(orders).select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("i")).distinct()
     size = own.groupBy("k").agg(F.count("*").alias("n"))
     sized = own.join(size, "k")
     x, y = sized.alias("x"), sized.alias("y")
@@ -247,6 +247,11 @@ def q_set_ratio(t):
     return by.where(F.col("common") * 5 >= F.greatest("nx", "ny") * 4).select("a", "b", "common", (F.col("common") == F.least("nx", "ny")).alias("subset"))
 
 
+@query(SQL["q_set_ratio"].replace(" WHERE l_orderkey % 7 = 0", ""))
+def q_set_ratio_whole(t):
+    return q_set_ratio(t, "true")
+
+
 @query("""
 WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate::DATE END AS f, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate::DATE + 365 END AS u FROM orders)
 SELECT o_orderkey, CASE WHEN (f IS NOT NULL AND DATE '1998-01-01' < f) OR (u IS NOT NULL AND DATE '1998-01-01' >= u) THEN 'notApplicable' WHEN f IS NOT NULL AND u IS NOT NULL THEN 'applicable' ELSE 'unknown' END AS status FROM x
