@@ -9,7 +9,8 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.llm.common import Words, components, mix, read, table, text_slices
@@ -17,90 +18,129 @@ from waybill.llm.common import Words, components, mix, read, table, text_slices
 #: Frequent shingles and words that order the others: at most this many of each (16 bytes each are broadcast). Any order gives
 #: the same links.
 MOST_FREQUENT = 500_000
-#: Documents of a batch that must hold a shingle for it to be reported as frequent.
+#: Tokens that a task counts at once; beyond them those seen once go.
+MOST_COUNTED = 1 << 20
+#: Documents of a task that must hold a token for it to be reported as frequent.
 OFTEN = 3
-#: Documents whose sets are needed, up to which their keys are broadcast (8 bytes each).
-MOST_BROADCAST = 1_000_000
+#: Rows of keys (24 bytes each) up to which they are broadcast.
+MOST_BROADCAST = 200_000
+#: Classes that a task remembers, so that copies carry no prefix.
+MOST_SEEN = 100_000
 #: Classes that a class is compared with before the full join.
 LEADS = 2
-#: Longs of a set's parity bitmap.
-BITMAP = 16
+#: Longs of a set's parity bitmap, at most, and of those, how many go with each shingle of a prefix.
+BITMAP, BESIDE = 256, 16
 _NO_ID = -(1 << 63)
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def shingle_sets(column: pa.Array, width: int, rarity: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator:
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray]]:
+    """Runs of whole texts of a few MB: (first row, rows, their words, the words' hashes). All work goes run by run, so memory
+    follows a run and the longest text, not the rows of a batch."""
+    for row, n, data, offsets in text_slices(column, most=2 << 20):
+        words = Words(data, offsets)
+        yield row, n, words, words.hashes()
+
+
+def _sets_of(n: int, words: Words, h: np.ndarray, width: int, weight: np.ndarray | None = None) -> Iterator:
     """Each text's distinct shingle hashes, sorted. A text of fewer words than ``width``, but not none, is one shingle.
 
-    With ``rarity`` (sorted word hashes, weights) also the sum of the weights of each shingle's words; other words weigh 0.
+    With ``weight`` (of each word) also the sum of the weights of each shingle's words.
     """
-    for _, n, data, offsets in text_slices(column):
-        words = Words(data, offsets)
-        h = words.hashes()
-        weight = np.zeros(len(h), np.float32)
-        if rarity is not None and len(rarity[0]) and len(h):
-            at = np.minimum(np.searchsorted(rarity[0], h), len(rarity[0]) - 1)
-            weight = np.where(rarity[0][at] == h, rarity[1][at], 0).astype(np.float32)
-        joined = np.zeros(len(h), np.uint64)
-        heavy = np.zeros(len(h), np.float32)
-        if len(h) >= width:
-            full = np.zeros(len(h) - width + 1, np.uint64)
-            for k in range(width):
-                full = mix(full * _P2 + h[k : len(h) - width + 1 + k] * _P1 + np.uint64(k))
-                heavy[: len(full)] += weight[k : len(h) - width + 1 + k]
-            joined[: len(full)] = full
-        for i in range(n):
-            a, b = words.first[i], words.first[i + 1]
-            if b - a >= width:
-                if rarity is None:
-                    yield np.unique(joined[a : b - width + 1])
-                else:
-                    own, at = np.unique(joined[a : b - width + 1], return_index=True)
-                    yield own, heavy[a + at]
+    many = max(0, len(h) - width + 1)
+    joined, heavy = np.zeros(many, np.uint64), np.zeros(many, np.float32)
+    for k in range(width):
+        joined = mix(joined * _P2 + h[k : many + k] * _P1 + np.uint64(k))
+        if weight is not None:
+            heavy += weight[k : many + k]
+    for i in range(n):
+        a, b = words.first[i], words.first[i + 1]
+        if b - a >= width:
+            if weight is None:
+                yield np.unique(joined[a : b - width + 1])
             else:
-                short = np.zeros(0, np.uint64)
-                if b > a:
-                    short = _P3 * np.full(1, b - a, np.uint64)
-                    for k in range(a, b):
-                        short = mix(short * _P2 + h[k : k + 1] * _P1)
-                yield short if rarity is None else (short, np.zeros(len(short), np.float32))
+                own, at = np.unique(joined[a : b - width + 1], return_index=True)
+                yield own, heavy[a + at]
+        else:
+            short = np.zeros(0, np.uint64)
+            if b > a:
+                short = _P3 * np.full(1, b - a, np.uint64)
+                for k in range(a, b):
+                    short = mix(short * _P2 + h[k : k + 1] * _P1)
+            yield short if weight is None else (short, np.zeros(len(short), np.float32))
+
 
+def parity(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """Longs, a power of two of them; a bit is set if an odd number of the hashes falls on it.
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """BITMAP longs; a bit is set if an odd number of the hashes falls on it."""
-    odd = np.bincount((hashes & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    There are enough that sets of this size without common elements differ in more bits than ``percent`` allows elements.
+    """
+    apart = 2 * len(hashes) * (100 - percent) / (100 + percent)
+    longs = 2
+    while longs < BITMAP and 32 * longs < 1.3 * apart + 20:
+        longs *= 2
+    odd = np.bincount((hashes & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _near_enough(x: str, y: str, apart: Column, percent: int) -> Column:
+    """Whether sets with sizes ``n`` of the frames named x and y that differ in at least ``apart`` elements may be alike enough."""
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return F.coalesce((100 + percent) * (n - apart) >= 2 * percent * n, F.lit(True))
+
+
 def may_link(x: str, y: str, percent: int) -> Column:
     """Whether sets with columns ``n`` and ``bits`` of the frames named x and y may be alike enough.
 
-    Two sets differ in at least as many elements as their parity bitmaps in bits, so no link is lost. Without a bitmap: yes.
+    Two sets differ in at least as many elements as their parity bitmaps in bits, so no link is lost. Without a bitmap, or
+    with bitmaps of different lengths: yes.
     """
-    apart = reduce(add, (F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i)))) for i in range(BITMAP)))
-    n = F.col(f"{x}.n") + F.col(f"{y}.n")
-    return F.coalesce((100 + percent) * (n - apart) >= 2 * percent * n, F.lit(True))
+    bits = F.zip_with(f"{x}.bits", f"{y}.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long"))
+    return _near_enough(x, y, F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s + b), percent)
+
+
+def may_link_early(x: str, y: str, percent: int) -> Column:
+    """The same by the first BESIDE longs alone, term by term: it stays within generated code."""
+    apart = reduce(add, (F.coalesce(F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i)))), F.lit(0)) for i in range(BESIDE)))
+    return F.when(F.col(f"{x}.longs") == F.col(f"{y}.longs"), _near_enough(x, y, apart, percent)).otherwise(F.lit(True))
 
 
 def _digest(*parts: bytes) -> bytes:
     return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
 
 
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list for each array."""
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), kind))
+
+
 def frequent(docs: DataFrame, width: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Common shingles (hashes, sorted, and ranks, rare to frequent) and common words (hashes, sorted, and logarithms of counts).
 
-    Every text is counted, a batch at a time; what fewer than OFTEN documents of a batch hold is not reported. The two lists
-    only put shingles in an order in which prefixes are rare ones: by their words, but common shingles last.
+    Every text is counted. A task sums its counts before anything is shuffled; what fewer than OFTEN of its documents hold is
+    not reported, and beyond MOST_COUNTED tokens those counted once so far are dropped. The two lists only put shingles in an
+    order in which prefixes are rare ones, by their words, but common shingles last; any order gives the same links.
     """
 
+    def merged(token: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        new, m = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+        token, place = np.unique(np.concatenate((token, new)), return_inverse=True)
+        n = np.bincount(place, np.concatenate((n, m)), len(token)).astype(np.int64)
+        if len(token) > MOST_COUNTED:
+            token, n = token[n > 1], n[n > 1]
+        return token, n
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {size: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for size in (width, 1)}
         for batch in batches:
-            for kind, size in (("shingle", width), ("word", 1)):
-                sets = list(shingle_sets(batch.column(0), size))
-                token, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-                often = n >= OFTEN
-                token, n = token[often].view(np.int64), n[often].astype(np.int64)
-                yield pa.record_batch([pa.array([kind] * len(token), pa.string()), pa.array(token), pa.array(n)], names=["kind", "token", "n"])
+            for _, n, words, h in _slices(batch.column(0)):
+                for size in seen:
+                    seen[size] = merged(*seen[size], list(_sets_of(n, words, h, size)))
+        for kind, size in (("shingle", width), ("word", 1)):
+            token, n = seen[size]
+            token, n = token[n >= OFTEN].view(np.int64), n[n >= OFTEN]
+            yield pa.record_batch([pa.array([kind] * len(token), pa.string()), pa.array(token), pa.array(n)], names=["kind", "token", "n"])
 
     counted = table(docs.select("text").mapInArrow(count, "kind string, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")))
     lists = []
@@ -114,52 +154,71 @@ def frequent(docs: DataFrame, width: int) -> tuple[tuple[np.ndarray, np.ndarray]
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, text_hash, n, cid, gid, prefix, bits): a set's size and digest, the digest of prefix and size, the prefix, the parity bitmap."""
+    """(doc_id, text_hash, n, cid, gid, prefix, common, bits) of each row: a set's size and digest, the digest of prefix and
+    size, the prefix, how many of the prefix, at its end, are common shingles, and the parity bitmap.
+
+    Of the rows of a task with equal sets, up to MOST_SEEN sets, only the first has prefix and bitmap; the others have null.
+    """
     known = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
+    names = ["doc_id", "text_hash", "n", "cid", "gid", "prefix", "common", "bits"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (often, ranks), rarity = known.value
+        (often, ranks), (ordinary, rarity) = known.value
+        seen: set[bytes] = set()
         for batch in batches:
-            n, cid, gid, flat, ends, bits = [], [], [], [], [0], [np.zeros(0, np.int64)]
-            for s, heavy in shingle_sets(batch.column(1), width, rarity):
-                keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                place = heavy.astype(np.float64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    place = np.where(often[at] == s, 1e6 + ranks[at], place)
-                prefix = s[np.argsort(place, kind="stable")[:keep]]  # equal places by hash
-                n.append(len(s))
-                cid.append(_digest(s.tobytes()))
-                gid.append(int.from_bytes(_digest(len(s).to_bytes(8, "little"), prefix.tobytes())[:8], "little", signed=True))
-                flat.append(prefix)
-                ends.append(ends[-1] + len(prefix))
-                bits.append(parity(s))
-            bitmaps = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(bits)))
-            prefixes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*flat, np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.record_batch(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(cid, pa.binary()), pa.array(gid, pa.int64()), prefixes, bitmaps],
-                names=["doc_id", "text_hash", "n", "cid", "gid", "prefix", "bits"],
-            )
+            for row, rows, words, h in _slices(batch.column(1)):
+                weight = np.zeros(len(h), np.float32)
+                if len(ordinary) and len(h):
+                    at = np.minimum(np.searchsorted(ordinary, h), len(ordinary) - 1)
+                    weight = np.where(ordinary[at] == h, rarity[at], 0).astype(np.float32)
+                n, cid, gid, prefixes, common, bits, again = [], [], [], [], [], [], []
+                for s, heavy in _sets_of(rows, words, h, width, weight):
+                    keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+                    place = heavy.astype(np.float64)
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                        place = np.where(often[at] == s, 1e6 + ranks[at], place)
+                    order = np.argsort(place, kind="stable")[:keep]  # equal places by hash
+                    digest = _digest(s.tobytes())
+                    n.append(len(s))
+                    cid.append(digest)
+                    gid.append(int.from_bytes(_digest(len(s).to_bytes(8, "little"), s[order].tobytes())[:8], "little", signed=True))
+                    again.append(digest in seen)
+                    prefixes.append(s[:0].view(np.int64) if again[-1] else s[order].view(np.int64))
+                    common.append(int((place[order] >= 1e6).sum()))
+                    bits.append(np.zeros(0, np.int64) if again[-1] else parity(s, percent))
+                    if len(seen) < MOST_SEEN:
+                        seen.add(digest)
+                empty = pa.array(again)
+                own = batch.slice(row, rows)
+                blank = lambda lists, empty=empty: pc.if_else(empty, pa.scalar(None, lists.type), lists)
+                yield pa.record_batch(
+                    [own.column(0), own.column(2), pa.array(n, pa.int32()), pa.array(cid, pa.binary()), pa.array(gid, pa.int64()),
+                     blank(_lists(prefixes, pa.int64())), pa.array(common, pa.int32()), blank(_lists(bits, pa.int64()))],
+                    names=names,
+                )
 
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return own.mapInArrow(sign, "doc_id long, text_hash long, n int, cid binary, gid long, prefix array<long>, bits array<long>")
+    return own.mapInArrow(sign, "doc_id long, text_hash long, n int, cid binary, gid long, prefix array<long>, common int, bits array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cid, set) of the classes ``wanted`` (cid, label); label is a doc_id that has the set."""
+    """(cid, set) of the classes ``wanted`` (cid, label, text_hash); label and text_hash are those of a row that has the set.
+
+    A class whose row is repeated comes more than once.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0), width))
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32))
-            values = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
-            yield pa.record_batch([pa.array([_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(ends, values)], names=["cid", "set"])
+            for _, n, words, h in _slices(batch.column(0)):
+                sets = list(_sets_of(n, words, h, width))
+                yield pa.record_batch([pa.array([_digest(s.tobytes()) for s in sets], pa.binary()), _lists([s.view(np.int64) for s in sets], pa.int64())], names=["cid", "set"])
 
-    keys = wanted.select(F.coalesce("label", F.lit(_NO_ID)).alias("key")).distinct()
+    keys = wanted.select(F.coalesce("label", F.lit(_NO_ID)).alias("key"), "text_hash").distinct()
     if wanted.count() <= MOST_BROADCAST:
         keys = F.broadcast(keys)
-    own = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text").join(keys, "key", "left_semi")
-    return own.select("text").mapInArrow(build, "cid binary, set array<long>").dropDuplicates(["cid"])
+    own = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text", F.xxhash64("text").alias("text_hash")).join(keys, ["key", "text_hash"], "left_semi")
+    return own.select("text").mapInArrow(build, "cid binary, set array<long>")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -172,12 +231,55 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     """The pairs (a, b, ...) of classes whose sets are at least ``percent`` alike."""
     pairs = table(pairs.distinct())
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = table(_sets(docs, table(ids.join(classes.select("cid", "label"), "cid")), width))
+    built = table(_sets(docs, table(ids.join(classes.select("cid", "label", "text_hash"), "cid")), width))
+    sets = built.dropDuplicates(["cid"])  # its partitioning is the joins'
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     return table(both.where((100 + percent) * common >= percent * (F.size("set_a") + F.size("set_b"))).select(pairs["*"]))
 
 
+def _lists_of_two(tokens: DataFrame) -> DataFrame:
+    """The distinct ``tokens`` (token, gid, n, early, common) that more than one group holds, with the group (lead) that has the least gid.
+
+    Lists of one are the most by far and go first. A common shingle's list may be long: its lead comes from partial
+    aggregates and is broadcast (there are at most MOST_FREQUENT of them), so its rows stay where they are.
+    """
+    within = Window.partitionBy("token")
+    ends = (F.min(F.struct("gid", "n")).alias("lead"), F.max("gid").alias("last"))
+    rare = tokens.where("not common").select("*", *(f.over(within).alias(a) for f, a in ((F.min(F.struct("gid", "n")), "lead"), (F.max("gid"), "last"))))
+    usual = tokens.where("common")
+    usual = usual.join(F.broadcast(usual.groupBy("token").agg(*ends).where("lead.gid <> last")), "token")
+    return rare.where("lead.gid <> last").unionByName(usual).drop("last").dropDuplicates(["token", "gid"])
+
+
+def _met(placed: DataFrame, percent: int) -> DataFrame:
+    """(ga, gb) of groups of different components, or without one, that share a shingle of ``placed``, if sizes and bitmaps allow a link.
+
+    Of each list, the rows of its largest component are paired only with the other rows: among themselves none can link
+    what is not linked yet, so a component of very many near copies costs no pairs of its own.
+    """
+    within = Window.partitionBy("token")
+    top = F.max(F.struct("grown", "comp"))
+    rare = placed.where("not common").withColumn("top", top.over(within).getField("comp"))
+    usual = table(placed.where("common"))
+    tops = usual.groupBy("token").agg(top.getField("comp").alias("top"))
+    usual = usual.join(F.broadcast(tops), "token")
+    found = []
+    for rows in (rare, usual):
+        rest = F.col("comp").isNull() | F.col("top").isNull() | (F.col("comp") != F.col("top"))
+        rows = rows.withColumn("rest", rest)
+        x, y = rows.alias("x"), rows.where("rest").alias("y")
+        once = ~F.col("x.rest") | (F.col("x.gid") > F.col("y.gid"))
+        apart = F.col("x.comp").isNull() | F.col("y.comp").isNull() | (F.col("x.comp") != F.col("y.comp"))
+        # the smaller set's first common shingle is early enough for all that must follow, also if the sizes are equal
+        lower = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") < F.col("y.gid")))
+        early = F.when(lower, F.col("x.early")).otherwise(F.col("y.early"))
+        alike = (F.col("y.n") * 100 >= F.col("x.n") * percent) & (F.col("x.n") * 100 >= F.col("y.n") * percent)
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & once & apart & early & alike & may_link_early("x", "y", percent))
+        found.append(met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")))
+    return found[0].unionByName(found[1]).distinct()
+
+
 def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_hash, n_shingles, cid, component, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -199,18 +301,18 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = table(signatures(docs, width, percent))
     worded = signed.where("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     classes = table(
-        worded.groupBy("cid").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+        worded.groupBy("cid")
+        .agg(first.alias("at"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bits", True).alias("bits"))
+        .select("cid", F.col("at.doc_id").alias("label"), F.col("at.text_hash").alias("text_hash"), "n", "gid", "bits")
     )
     members = classes.select("gid", "cid", "n", "bits")
-    groups = classes.groupBy("gid").agg(F.first("n").alias("n"), F.min("cid").alias("cid"), F.count("*").alias("m"), F.first("prefix").alias("prefix"))
-    # the bitmap of a group of one class
-    bitmaps = classes.groupBy("gid").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
-    tokens = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    # lists of one are the most by far: they go before anything is paired
-    dealt = tokens.repartition("token")
-    lists = dealt.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("gid", "n")).alias("lead")).where("df > 1")
-    live = table(dealt.join(lists, "token"))
+    groups = classes.groupBy("gid").agg(F.first("n").alias("n"), F.min("cid").alias("cid"), F.count("*").alias("m"))
+    # copies in other tasks bring a prefix again: those go where lists are formed
+    tokens = worded.where("prefix is not null").select("gid", "n", (F.size("prefix") - F.col("common")).alias("rare"), F.posexplode("prefix").alias("pos", "token"))
+    early = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
+    live = table(_lists_of_two(tokens.select("token", "gid", "n", early.alias("early"), (F.col("pos") >= F.col("rare")).alias("common"))))
 
     alike = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)  # noqa: E731  sizes that allow a link
     stars = live.where((F.col("gid") != F.col("lead.gid")) & alike(F.col("n"), F.col("lead.n")))
@@ -225,24 +327,22 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     )
     crowded = groups.where("m > 1").select("gid", F.col("cid").alias("a"))
     inside = members.join(crowded, "gid").select("a", F.col("cid").alias("b")).where("a <> b")
-    first_links = _verified(_possible(stars.select("a", "b").union(inside), classes, percent), docs, classes, width, percent)
+    first_links = _verified(_possible(table(stars.select("a", "b").union(inside)), classes, percent), docs, classes, width, percent)
     found = components(first_links)
     of_class = table(members.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("gid", "cid", "n", "bits", F.coalesce("component", "cid").alias("comp")))
-    # a group whose classes are in several components has none; such groups are paired with all
-    of_group = of_class.groupBy("gid").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("comp"))
-
-    placed = table(live.select("token", "gid", "n", "pos").join(of_group, "gid"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("comp").alias("k"), F.count("*").alias("df")).where("k < df or lo <> hi")
-    open_rows = table(placed.join(mixed.select("token"), "token", "left_semi"))
-    open_lists = open_rows.join(bitmaps, "gid")
-    # the smaller set's first common shingle is early enough for all that must follow, also if the sizes are equal
-    early = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
-    x, y = open_lists.alias("x"), open_lists.where(early).alias("y")
-    # the larger set's side first; equal sizes by gid
-    ahead = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") > F.col("y.gid")))
-    apart = F.col("x.comp").isNull() | F.col("y.comp").isNull() | (F.col("x.comp") != F.col("y.comp"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & ahead & apart & (F.col("y.n") * 100 >= F.col("x.n") * percent) & may_link("x", "y", percent))
-    group_pairs = met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
+    # a group whose classes are in several components has none; such groups are paired with all. A group of one class has its bitmap
+    sizes = found.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("grown"))
+    of_group = of_class.groupBy("gid").agg(
+        F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("comp"), F.when(F.count("*") == 1, F.first("bits")).alias("bits")
+    )
+    # 64 bits of a component's name are enough to tell two apart
+    of_group = table(
+        of_group.join(sizes, "comp", "left").select(
+            "gid", F.when(F.col("comp").isNotNull(), F.xxhash64("comp")).alias("comp"), F.coalesce("grown", F.lit(1)).alias("grown"), F.slice("bits", 1, BESIDE).alias("bits"), F.size("bits").alias("longs")
+        )
+    )
+
+    group_pairs = table(_met(live.drop("lead").join(of_group, "gid"), percent))
     own = of_group.where("comp is null").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     ca = of_class.select(F.col("gid").alias("ga"), F.col("cid").alias("a"), F.col("comp").alias("comp_a"), F.struct("n", "bits").alias("p"))
     cb = of_class.select(F.col("gid").alias("gb2"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.struct("n", "bits").alias("q"))
