@@ -376,6 +376,44 @@ def test_toxicity(spark, none):
     assert general.score(pa.array(["you moron", "nothing"])).round().tolist() == [1, 0]
 
 
+def test_label_model_finds_rates_and_correlations_without_labels():
+    rng = np.random.default_rng(12)
+    n, right, says = 6000, np.array([0.9, 0.8, 0.75, 0.85, 0.7]), np.array([0.6, 0.7, 0.5, 0.4, 0.8])
+    y = rng.random(n) < 0.3
+    votes = np.where(rng.random((n, 5)) < right, 1, -1) * np.where(y, 1, -1)[:, None] * (rng.random((n, 5)) < says)
+    votes = np.column_stack((votes, votes[:, 4], votes[:, 4]))  # copies of the weakest voter
+    post, rates, tied = toxicity.label_model(votes.astype(float))
+    for label in (0, 1):
+        share = rates[label, :5, 0 if label else 1] / rates[label, :5, :2].sum(1)
+        assert np.abs(share - right).max() < 0.06
+    assert abs(post.mean() - 0.3) < 0.06 and ((post > 0.5) == y).mean() > 0.83
+    assert tied[4, 5] > 0.95 and abs(tied[0, 1]) < 0.25  # soft posteriors leave a little
+
+
+def test_toxicity_of_repeats_and_no_keys(spark):
+    model = toxicity.fit([], np.zeros(0))
+    d = spark.createDataFrame([(1, "you moron"), (1, "you moron"), (None, "you moron"), (None, None)], "doc_id long, text string")
+    got = toxicity.with_score(d, model).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.text}) == 1
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    d = spark.createDataFrame([(i, "x" * 100) for i in range(40)] + [(7, "y" * 10)], "doc_id long, text string")
+    l = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (7, 1)], "doc_id long, toxic int")
+    texts, y = common.sample_labelled(d, l, "toxic", common.F.lit(True), 15)
+    assert len(texts) == 30 and y.sum() == 15
+    texts, y = common.sample_labelled(d, l, "toxic", common.F.lit(True), 15, most_bytes=1000)
+    assert y.sum() == 5 and sum(map(len, texts)) <= 1000
+
+
+def test_quality_of_texts_without_direction_and_ties(spark):
+    rng = random.Random(3)
+    texts = [prose(rng, 30) for _ in range(40)]
+    model = quality.fit([*texts, *texts], np.array([1.0, 0.0] * 20 + [0.0, 1.0] * 20), neighbours=1)
+    got = model.score(pa.array(["", None, " \n", texts[0]]))
+    assert got[:3].tolist() == [0.5, 0.5, 0.5] and got[3] == pytest.approx(0.5)
+
+
 # ---------------------------------------------------------------- 9
 
 

@@ -8,16 +8,18 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- tables
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one of our own only where that is unset (tests on one machine)."""
+    """The folder named by ``spark.checkpoint.dir``. On one machine (master local[...]) a temporary one stands in where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(shared_folder, "own", None)
         if not found:
             found = shared_folder.own = tempfile.mkdtemp(prefix="waybill-")
@@ -171,23 +173,29 @@ APART[128:] = False
 APART[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, use: Column, per_class: int) -> tuple[list[str], np.ndarray]:
+#: Bytes of text that a sample brings to the driver, at most; half for each class.
+MOST_BYTES = 32 << 20
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, use: Column, per_class: int, most_bytes: int = MOST_BYTES) -> tuple[list[str], np.ndarray]:
     """Texts and 0/1 labels of at most ``per_class`` documents of each class, those whose key's digest is smallest.
 
-    Only rows of ``labels`` where ``use`` holds take part. The keys, at most 2 * per_class, are broadcast to fetch the texts.
-    Of repeated keys, one label and one text count.
+    Only rows of ``labels`` where ``use`` holds take part. The keys, at most 2 * per_class, are broadcast to fetch the texts;
+    of these, whole ones are taken by digest while a class's stay within half of ``most_bytes``. Of repeated keys, one label
+    and one text count.
     """
     ranked = labels.where(use & F.col("doc_id").isNotNull()).select("doc_id", F.col(target).alias("label"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("at"))
-    ids: dict[int, int] = {}
+    ids: dict[int, tuple[int, str]] = {}
     for label in (0, 1):
         for r in ranked.where(F.col("label") == label).orderBy("at", "doc_id").limit(per_class).collect():
-            ids.setdefault(r.doc_id, label)
+            ids.setdefault(r.doc_id, (label, r.at))
     if not ids:
         return [], np.zeros(0)
-    keys = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, label int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()
-    texts = [t or "" for t in rows.column("text").to_pylist()]
-    return texts, np.array([ids[i] for i in rows.column("doc_id").to_pylist()], float)
+    keys = docs.sparkSession.createDataFrame([(k, *v) for k, v in ids.items()], "doc_id long, label int, at string")
+    rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").groupBy("doc_id", "label", "at").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("label").orderBy("at", "doc_id"))
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes // 2).select("doc_id", "label", "text").orderBy("doc_id").toArrow()
+    return [t or "" for t in rows.column("text").to_pylist()], rows.column("label").to_numpy().astype(float)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 25, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:

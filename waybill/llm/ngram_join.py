@@ -29,7 +29,7 @@ MOST_SEEN = 100_000
 #: Classes that a class is compared with before the full join.
 LEADS = 2
 #: Longs of a set's parity bitmap, at most, and of those, how many go with each shingle of a prefix.
-BITMAP, BESIDE = 256, 16
+BITMAP, BESIDE = 256, 8
 _NO_ID = -(1 << 63)
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -73,11 +73,11 @@ def _sets_of(n: int, words: Words, h: np.ndarray, width: int, weight: np.ndarray
 def parity(hashes: np.ndarray, percent: int) -> np.ndarray:
     """Longs, a power of two of them; a bit is set if an odd number of the hashes falls on it.
 
-    There are enough that sets of this size without common elements differ in more bits than ``percent`` allows elements.
+    There are enough that sets of this size that are somewhat less alike than ``percent`` differ in more bits than it allows elements.
     """
     apart = 2 * len(hashes) * (100 - percent) / (100 + percent)
     longs = 2
-    while longs < BITMAP and 32 * longs < 1.3 * apart + 20:
+    while longs < BITMAP and 32 * longs < 4 * apart + 20:
         longs *= 2
     odd = np.bincount((hashes & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -249,7 +249,8 @@ def _lists_of_two(tokens: DataFrame) -> DataFrame:
     rare = tokens.where("not common").select("*", *(f.over(within).alias(a) for f, a in ((F.min(F.struct("gid", "n")), "lead"), (F.max("gid"), "last"))))
     usual = tokens.where("common")
     usual = usual.join(F.broadcast(usual.groupBy("token").agg(*ends).where("lead.gid <> last")), "token")
-    return rare.where("lead.gid <> last").unionByName(usual).drop("last").dropDuplicates(["token", "gid"])
+    # each part for itself: the first is dealt by token already
+    return rare.where("lead.gid <> last").drop("last").dropDuplicates(["token", "gid"]).unionByName(usual.drop("last").dropDuplicates(["token", "gid"]))
 
 
 def _met(placed: DataFrame, percent: int) -> DataFrame:

@@ -79,9 +79,11 @@ class Model:
                 continue
             near = self.latent(counts) @ self.vectors.T
             k = min(self.neighbours, near.shape[1])
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, best, 1), 0.0) ** 8 + 1e-9
-            parts.append((weight * self.labels[best]).sum(1) / weight.sum(1))
+            last = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+            weight = np.maximum(near, 0.0) ** 2
+            weight = np.where(near >= last, weight**4, 0)  # all that tie with the last one vote
+            total = weight.sum(1)
+            parts.append(np.where(total > 0, (weight @ self.labels) / np.maximum(total, 1e-30), self.labels.mean()))
         return np.clip(np.concatenate(parts), 0.0, 1.0)
 
 
@@ -101,9 +103,10 @@ def fit(texts: list[str], y: np.ndarray, rank: int = RANK, neighbours: int = NEI
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns of ``docs`` and a score from 0 to 1, higher for likelier good, one row per row.
 
-    Each whole text is compared with every voter, a block of texts at a time. Null and empty texts have no direction, so all
-    voters near zero weigh the same and the score is a share of labels; repeated rows each get theirs; a column of the
-    score's name is replaced; an empty table gives no rows.
+    Each whole text is compared with every voter, a block of texts at a time. All voters that tie with the last neighbour
+    vote. Null and empty texts, and others that no voter is like, have no direction: their score is the share of label 1
+    among the voters, or 0.5 without voters. Repeated rows each get theirs; a column of the score's name is replaced; an
+    empty table gives no rows.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != name]

@@ -17,7 +17,7 @@ from waybill.llm.common import APART, Words, crc_mod, hash_words, logistic, mix,
 PER_CLASS = 4_000
 #: Terms of the mined lexicons, at most.
 TERMS = 1_024
-#: Lexicon voters that the mined terms are dealt to.
+#: Lexicon voters that the mined terms are dealt to, at most.
 VOTERS = 24
 #: General English insults: one voter a line.
 LEXICONS = (
@@ -27,7 +27,7 @@ LEXICONS = (
     "clown joke liar coward freak creep jerk",
 )
 #: Leading bytes of words that are terms beside whole words: inflected forms share them.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 
 
 def _terms(words: Words) -> list[np.ndarray]:
@@ -84,7 +84,7 @@ def mine_terms(texts: list[str], y: np.ndarray, most: int = TERMS) -> tuple[np.n
     n = ones + zeros
     expect1, expect0 = n * n1 / (n1 + n0), n * n0 / (n1 + n0)
     ratio = 2 * (ones * np.log(np.maximum(ones, 0.5) / expect1) + zeros * np.log(np.maximum(zeros, 0.5) / expect0))
-    good = (ratio > 18) & (ones / n1 > 8 * (zeros + 0.5) / n0)
+    good = (ratio > 18) & (ones / n1 > 16 * (zeros + 0.5) / n0)
     best = np.flatnonzero(good)[np.argsort(-ratio[good], kind="stable")[:most]]
     order = best[np.argsort(token[best])]
     return token[order], np.log((ones[order] + 0.5) / n1) - np.log((zeros[order] + 0.5) / n0)
@@ -104,36 +104,39 @@ def lone(texts: list[str]) -> np.ndarray:
     return np.sort(np.unique(least, return_index=True)[1])
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, drift: float = 0.25, rounds: int = 50) -> np.ndarray:
-    """Posterior of label 1 from voters' votes (1, -1, 0: abstains).
+def label_model(votes: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of label 1 from voters' votes (1, -1, 0: abstains) alone: no label is seen.
 
-    Expectation maximisation over each voter's rates of the three votes under either label: its accuracy. The ``known`` labels
-    of the rows anchor the rates, and what the voters make of each row moves them by ``drift``. Voters that agree beyond what
-    the label explains are correlated: their evidence is divided by the effective size of their group, found from the
-    correlation of their residuals, so that terms that come together don't count many times.
+    Returns the posteriors, the voters' rates (label, voter, vote 1, -1 or 0: what each says under either label) and their
+    correlations beyond the label. Expectation maximisation of a generative model: a row has a label, each voter votes by
+    its own rates under it. It starts from the votes' sums, so voters are taken to be right more often than not. Voters that
+    agree beyond what the label explains are correlated, found from their residuals: their evidence is divided by the
+    effective size of their group, so that terms that come together don't count many times.
     """
     n, m = votes.shape
-    prior = float(np.clip(known.mean(), 0.02, 0.98))
     kinds = [(votes == v).astype(float) for v in (1, -1, 0)]
-    post = known.astype(float)
-    share = np.ones(m)
+    post = 1 / (1 + np.exp(-np.clip(votes.sum(1), -4, 4)))
+    share, tied, rates = np.ones(m), np.eye(m), np.zeros((2, m, 3))
     for k in range(rounds):
-        one, zero = known + drift * post, (1 - known) + drift * (1 - post)
-        on, off = one.sum(), zero.sum()
+        on, off = post.sum(), n - post.sum()
+        prior = np.clip(on / max(1, n), 0.005, 0.995)
         gain = np.zeros((n, m))
-        for kind in kinds:
-            gain += kind * np.log(((one @ kind + 0.5) / (on + 1.5)) / ((zero @ kind + 0.5) / (off + 1.5)))
-        if k % 10 == 0:
-            rest = votes - np.outer(one / (one + zero), one @ votes / on) - np.outer(zero / (one + zero), zero @ votes / off)
+        for i, kind in enumerate(kinds):
+            rates[1, :, i], rates[0, :, i] = (post @ kind + 0.1) / (on + 0.3), ((1 - post) @ kind + 0.1) / (off + 0.3)
+            gain += kind * np.log(rates[1, :, i] / rates[0, :, i])
+        if k % 10 == 9:
+            rest = votes - np.outer(post, post @ votes / max(on, 1e-9)) - np.outer(1 - post, (1 - post) @ votes / max(off, 1e-9))
             spread = np.sqrt((rest**2).mean(0)) + 1e-6
-            tied = np.clip((rest.T @ rest) / n / spread[:, None] / spread, 0, 1)
-            share = 1 / np.maximum(1, (tied**2).sum(1))
+            tied = (rest.T @ rest) / n / spread[:, None] / spread
+            np.fill_diagonal(tied, 1.0)
+            share = 1 / np.maximum(1, (np.clip(tied, 0, 1) ** 2).sum(1))
         logit = np.log(prior / (1 - prior)) + gain @ share
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if k and np.abs(new - post).max() < 1e-6:
-            break
+        settled = np.abs(new - post).max() < 1e-6
         post = new
-    return post
+        if settled and k > 20:
+            break
+    return post, rates, tied
 
 
 @dataclass
@@ -147,26 +150,44 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def voters(x: np.ndarray, terms: np.ndarray, mined: np.ndarray, odds: np.ndarray, general: list[np.ndarray]) -> np.ndarray:
+    """Votes of the lexicon and pattern voters on texts with the terms ``x``.
+
+    Mined terms are dealt to voters in turn by their odds; a voter says 1 for a text with one of its terms and else abstains,
+    as do the general lexicons. Patterns: a text with none of the terms is clean, one with very many exclamation marks
+    without insults too.
+    """
+    deal = np.full(len(terms), -1)
+    deal[np.searchsorted(terms, mined)] = np.argsort(np.argsort(-odds, kind="stable")) % VOTERS
+    columns = [np.sign(x[:, :-1][:, deal == v].sum(1)) for v in range(min(VOTERS, len(mined)))]
+    columns += [np.sign(x[:, :-1][:, np.isin(terms, g)].sum(1)) for g in general]
+    hits = x[:, :-1].sum(1)
+    columns += [-(hits == 0).astype(float), np.where(hits >= 3, 1.0, 0.0), np.where((x[:, -1] > 0.3) & (hits < 2), -1.0, 0.0)]
+    return np.stack(columns, 1)
+
+
 def fit(texts: list[str], y: np.ndarray) -> Model:
-    """A model from labelled texts. Without any, the general lexicons alone vote."""
+    """A model from labelled texts. Without any, the general lexicons alone vote.
+
+    The labels choose the mined lexicons on four fifths of the texts and set the scores' scale on the last fifth. Between
+    them, the label model sees votes only, and the classifier is trained on what it makes of them.
+    """
     general = [_lexicon_terms(line) for line in LEXICONS]
     apart = lone(texts)
     texts, y = [texts[i] for i in apart], y[apart]
-    mined, odds = mine_terms(texts, y)
+    place = np.zeros(len(y), int)
+    for label in (0, 1):
+        place[y == label] = np.arange(int((y == label).sum()))
+    scale_on = place % 5 == 4
+    mined, odds = mine_terms([t for t, out in zip(texts, scale_on) if not out], y[~scale_on])
     terms = np.unique(np.concatenate([mined, *general]))
     if not len(y):
         return Model(terms, np.append(np.full(len(terms), 5.0), 0.0), -3.0)
     x = _present(pa.array(texts, pa.large_string()), terms)
-    # terms of like odds vote together
-    deal = np.full(len(terms), -1)
-    deal[np.searchsorted(terms, mined)] = np.argsort(np.argsort(odds, kind="stable")) * VOTERS // max(1, len(mined))
-    columns = [np.sign(x[:, :-1][:, deal == v].sum(1)) for v in range(VOTERS)]
-    columns += [np.sign(x[:, :-1][:, np.isin(terms, g)].sum(1)) for g in general]
-    columns += [-(x[:, :-1].sum(1) == 0).astype(float), np.where(x[:, -1] > 0.3, -1.0, 0.0)]
-    post = label_model(np.stack(columns, 1), y)
+    post, _, _ = label_model(voters(x, terms, mined, odds, general))
     w, b = logistic(x, post, ridge=1e-3)
-    # the scale and place of the scores are set on the labels, so that they read as chances; far scores say no more there
-    z = x @ w + b
+    # the scale and place of the scores are set on labels, so that they read as chances; far scores say no more there
+    z, y = (x @ w + b)[scale_on], y[scale_on]
     middle = np.median(np.concatenate((z[y == 1], [0.0])))
     scale, shift = logistic(np.minimum(z, middle)[:, None], y, ridge=1e-6)
     scale = max(float(scale[0]), 0.1)
@@ -193,7 +214,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, per_class: int = PER_CLASS) -> Model:
-    """A model fitted on at most ``per_class`` labelled documents of each class among rows where ``use`` holds."""
+    """A model fitted on at most ``per_class`` labelled documents of each class, and MOST_BYTES of text, among rows where ``use`` holds."""
     return fit(*sample_labelled(docs, labels, "toxic", use, per_class))
 
 
