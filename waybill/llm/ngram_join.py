@@ -26,8 +26,10 @@ OFTEN = 3
 MOST_BROADCAST = 200_000
 #: Classes that a task remembers, so that copies carry no prefix.
 MOST_SEEN = 100_000
-#: Classes that a class is compared with before the full join.
+#: Classes that a class is compared with before the full join, and leads of its own that each list of CROWD groups has.
 LEADS = 2
+OWN_LEADS = 4
+CROWD = 16
 #: Longs of a set's parity bitmap, at most, and of those, how many go with each shingle of a prefix.
 BITMAP, BESIDE = 256, 8
 _NO_ID = -(1 << 63)
@@ -239,18 +241,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
 
 
 def _lists_of_two(tokens: DataFrame) -> DataFrame:
-    """The distinct ``tokens`` (token, gid, n, early, common) that more than one group holds, with the group (lead) that has the least gid.
+    """The distinct ``tokens`` (token, gid, n, early, common) that more than one group holds, with the length of the list (df) and
+    the group (lead) that has the least gid.
 
     Lists of one are the most by far and go first. A common shingle's list may be long: its lead comes from partial
     aggregates and is broadcast (there are at most MOST_FREQUENT of them), so its rows stay where they are.
     """
     within = Window.partitionBy("token")
-    ends = (F.min(F.struct("gid", "n")).alias("lead"), F.max("gid").alias("last"))
-    rare = tokens.where("not common").select("*", *(f.over(within).alias(a) for f, a in ((F.min(F.struct("gid", "n")), "lead"), (F.max("gid"), "last"))))
+    ends = {"lead": F.min(F.struct("gid", "n")), "last": F.max("gid"), "df": F.count("*")}
+    rare = tokens.where("not common").select("*", *(f.over(within).alias(a) for a, f in ends.items()))
     usual = tokens.where("common")
-    usual = usual.join(F.broadcast(usual.groupBy("token").agg(*ends).where("lead.gid <> last")), "token")
+    usual = usual.join(F.broadcast(usual.groupBy("token").agg(*(f.alias(a) for a, f in ends.items()))), "token")
     # each part for itself: the first is dealt by token already
-    return rare.where("lead.gid <> last").drop("last").dropDuplicates(["token", "gid"]).unionByName(usual.drop("last").dropDuplicates(["token", "gid"]))
+    several = lambda rows: rows.where("lead.gid <> last").drop("last").dropDuplicates(["token", "gid"])
+    return several(rare).unionByName(several(usual))
+
+
+def _led(placed: DataFrame, percent: int) -> DataFrame:
+    """(ga, gb): each group of a list with OWN_LEADS groups of it, drawn for each list anew, if sizes and bitmaps allow a link.
+
+    Very many near copies share many lists, so that each of them meets many others, though no list has more pairs than rows.
+    """
+    side = ["gid", "n", "bits", "longs"]
+    within = Window.partitionBy("token")
+    lead = [F.min(F.struct(F.xxhash64("gid", "token", F.lit(k)).alias("drawn"), *side)) for k in range(OWN_LEADS)]
+    usual = placed.where("common")
+    rows = (
+        placed.where("not common")
+        .select(F.struct(*side).alias("x"), F.array(*(f.over(within) for f in lead)).alias("leads"))
+        .unionByName(usual.join(usual.groupBy("token").agg(F.array(*lead).alias("leads")), "token").select(F.struct(*side).alias("x"), "leads"))
+    )
+    alike = (F.col("y.n") * 100 >= F.col("x.n") * percent) & (F.col("x.n") * 100 >= F.col("y.n") * percent)
+    met = rows.select("x", F.explode("leads").alias("y")).where((F.col("x.gid") != F.col("y.gid")) & alike & may_link_early("x", "y", percent))
+    return met.select(F.greatest("x.gid", "y.gid").alias("ga"), F.least("x.gid", "y.gid").alias("gb")).distinct()
 
 
 def _met(placed: DataFrame, percent: int) -> DataFrame:
@@ -293,7 +316,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     expand to their classes, of which those that the bitmaps allow are verified on the whole sets.
 
     A shingle list or group of thousands of near copies would give all its pairs. So each list first links its members to
-    its first one alone, and what that connects is verified. The full join then takes only pairs of classes that are still in
+    its first one alone, a long list also to a few drawn ones, and what that connects is verified. The full join then takes only pairs of classes that are still in
     different components, for which no link is lost: within a component none can change the result.
 
     Defined results: null text has no words (n_shingles 0, component_id its own doc_id); a null doc_id has its component's
@@ -321,8 +344,13 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # of a class's leads, those that share most of its prefix
     stars = stars.groupBy("gb").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "ga")), asc=False), 1, LEADS).alias("leads"))
     first_of = groups.select("gid", "cid")
+    # a group of one class has its bitmap
+    lone = classes.groupBy("gid").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+    crowd = live.where(F.col("df") >= CROWD).select("token", "gid", "n", "common").join(lone.select("gid", F.slice("bits", 1, BESIDE).alias("bits"), F.size("bits").alias("longs")), "gid")
     stars = (
         stars.select(F.explode("leads.ga").alias("ga"), "gb")
+        .union(_led(crowd, percent))
+        .distinct()
         .join(first_of.select(F.col("gid").alias("ga"), F.col("cid").alias("a")), "ga")
         .join(first_of.select(F.col("gid").alias("gb"), F.col("cid").alias("b")), "gb")
     )
@@ -343,7 +371,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         )
     )
 
-    group_pairs = table(_met(live.drop("lead").join(of_group, "gid"), percent))
+    group_pairs = table(_met(live.drop("lead", "df").join(of_group, "gid"), percent))
     own = of_group.where("comp is null").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     ca = of_class.select(F.col("gid").alias("ga"), F.col("cid").alias("a"), F.col("comp").alias("comp_a"), F.struct("n", "bits").alias("p"))
     cb = of_class.select(F.col("gid").alias("gb2"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.struct("n", "bits").alias("q"))
