@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from waybill.llm import chat, common, decontaminate, langid, licenses, mixing, ngram_join, quality, sharding, toxicity, vector_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, component_id string"
@@ -317,12 +318,8 @@ def test_language(spark, none):
 # ---------------------------------------------------------------- 7
 
 
-def test_decontamination(spark, docs, rows, none):
-    rng = random.Random(4)
-    long, twin = prose(rng, 60), prose(rng, 13)
-    items = [(1, long), (10, long), (2, twin), (3, "tiny item"), (4, None), (5, "..."), (6, "shti " * 20), (6, twin)]
-    texts = [long[20:300], twin.upper() + " " + prose(rng, 10), "a tiny item is here", "Shti shti " * 30, prose(rng, 30), None, "", "tiny", long[:120] + " x " + twin, twin]
-    own = [(i, t) for i, t in enumerate(texts)] + [(9, twin), (None, twin), (2, prose(rng, 50))] + [(100 + i, r[1]) for i, r in enumerate(rows[:40])]
+def plain_contamination(texts, items):
+    """Of each text: words, hit words, items that occur, whether contaminated."""
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(AZ))
     windows = defaultdict(set)
     for i, t in items:
@@ -331,15 +328,26 @@ def test_decontamination(spark, docs, rows, none):
         for s in range(len(w) - n + 1 if n else 0):
             windows[tuple(w[s : s + n])].add(str(i))
     sizes = {len(w) for w in windows}
-    want = []
-    for i, t in own:
+    out = []
+    for t in texts:
         w, hit, named = words(t), set(), set()
         for n in sizes:
             for s in range(len(w) - n + 1):
                 if (x := tuple(w[s : s + n])) in windows:
                     hit |= set(range(s, s + n))
                     named |= windows[x]
-        want.append((i, len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((len(w), len(hit), named, bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+def test_decontamination(spark, docs, rows, none):
+    rng = random.Random(4)
+    long, twin = prose(rng, 60), prose(rng, 13)
+    items = [(1, long), (10, long), (2, twin), (3, "tiny item"), (4, None), (5, "..."), (6, "shti " * 20), (6, twin)]
+    texts = [long[20:300], twin.upper() + " " + prose(rng, 10), "a tiny item is here", "Shti shti " * 30, prose(rng, 30), None, "", "tiny", long[:120] + " x " + twin, twin]
+    own = [(i, t) for i, t in enumerate(texts)] + [(9, twin), (None, twin), (2, prose(rng, 50))] + [(100 + i, r[1]) for i, r in enumerate(rows[:40])]
+    plain = plain_contamination([t for _, t in own], items)
+    want = [(i, n, hit, len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bad) for (i, _), (n, hit, named, bad) in zip(own, plain)]
     d = spark.createDataFrame(own, "doc_id long, text string").selectExpr("*", "1 as n_words")
     b = spark.createDataFrame(items, "item_id long, text string")
     key = lambda x: tuple((y is None, y or 0) for y in x)
@@ -447,3 +455,70 @@ def test_mixing(spark, docs, rows, none):
         for s in sources:
             assert abs(copies[s] - n[s] * target[s] / max(1, totals[s])) <= 1
     assert mixing.mix(none, words).count() == 0
+
+
+# ---------------------------------------------------------------- pipeline
+
+
+def test_pipeline_stages(spark, tmp_path, rows):
+    """Each stage on what the one before it kept, against a plain version; own columns with clashing names come through."""
+    rng = random.Random(21)
+    item = prose(rng, 40)
+    texts = [r[1] for r in rows if r[1] is None or len(r[1]) < 5000]
+    texts += [prose(rng, 30) + " " + item + " " + prose(rng, 20), item, prose(rng, 900) + " " + item[:110], *(prose(rng, 20) + " you moron " * (k % 3) for k in range(24))]
+    made = [(None if i % 17 == 5 else i, t, ["en", None][i % 2], ["a", "a", "b", None][i % 4], i, *[f"{c}{i}" for c in "bcdefgh"]) for i, t in enumerate(texts)]
+    made += [made[3], made[3], made[-1], (made[7][0], made[8][1], *made[7][2:])]
+    names = ["doc_id", "text", "lang", "source", "size", "target", "copies", "n_words", "_words", "_toxic", "_rest", "_text_hash"]
+    schema = ", ".join(f"`{n}` {'long' if n in ('doc_id', 'size') else 'string'}" for n in names)
+    d = str(tmp_path)
+    spark.createDataFrame(made, schema).repartition(3).write.parquet(f"{d}/documents.parquet")
+    known = {r[0]: int("moron" in (r[1] or "")) for r in made}
+    spark.createDataFrame([*known.items(), (None, 1)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    stage = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+
+    def went(name, docs):
+        out = common.table(stage[name](spark, docs, d))
+        assert out.columns == names and out.dtypes == docs.dtypes
+        return out, [tuple(r) for r in out.collect()]
+
+    model = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"), common.crc_mod(common.F.col("doc_id"), 3) != 1)
+    kept, got = went("toxicity", docs)
+    low = model.score(pa.array([r[1] for r in made])) < 0.7
+    assert sorted(got, key=key) == sorted((r for r, ok in zip(made, low) if ok), key=key) and not all(low)
+
+    before = got
+    kept, got = went("ngram_jaccard_join", kept)
+    _, root, sets = plain_components(before, 5, 80)
+    groups, blank = defaultdict(list), []
+    for r, g, s in zip(before, root, sets):
+        groups[g].append(r) if s else blank.append(r)
+    assert len(got) == len(groups) + len(blank)
+    for g in groups.values():
+        stayed = [r for r in got if r in g]
+        assert len(stayed) == 1 and (stayed[0][0] is None) <= all(r[0] is None for r in g)
+        assert stayed[0][0] == min((r[0] for r in g if r[0] is not None), default=None)
+
+    before = got
+    kept, got = went("benchmark_decontamination", kept)
+    clean = [r for r, p in zip(before, plain_contamination([r[1] for r in before], [(1, item)])) if not p[3]]
+    assert sorted(got, key=key) == sorted(clean, key=key) and len(clean) < len(before)
+
+    before = got
+    kept, got = went("mixing", kept)
+    assert max(Counter(map(str, got)).values()) <= 3 * max(Counter(map(str, before)).values()) and set(map(str, got)) <= set(map(str, before))
+    again = [tuple(r) for r in stage["mixing"](spark, spark.createDataFrame(before, schema).repartition(4), d).collect()]
+    assert sorted(got, key=key) == sorted(again, key=key)
+
+    last = stage["sharding"](spark, kept, d).collect()
+    assert len(last) == len(got) and {r.shard for r in last} <= set(range(40))
+    place = defaultdict(set)
+    for r in last:
+        place[r.text].add(r.shard)
+    assert all(len(s) == 1 for s in place.values())
+
+    empty = docs.limit(0)
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, empty, d).count() == 0, name

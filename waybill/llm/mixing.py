@@ -75,7 +75,9 @@ def mix(docs: DataFrame, size: Column, seed: str = "mix", most_copies: int = MOS
         .join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
         .select("s.source", "_mix_class", "_mix_lane", "_mix_ahead", "source_size", "target")
     )
-    inside = Window.partitionBy(*stratum).orderBy(F.col("_mix_size"), F.col("doc_id"))
+    # rows of equal size and doc_id by all they hold, so that reruns agree
+    told = F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c, kind in docs.dtypes if c in kept and "map<" not in kind])
+    inside = Window.partitionBy(*stratum).orderBy(F.col("_mix_size"), F.col("doc_id"), told)
     numbered = keyed.drop("source_size", "target", "copies", "size").withColumn("_mix_row", F.row_number().over(inside))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in stratum]
     joined = numbered.alias("d").join(plan.alias("p"), same[0] & same[1] & same[2])

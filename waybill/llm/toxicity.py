@@ -19,6 +19,8 @@ PER_CLASS = 4_000
 TERMS = 1_024
 #: Lexicon voters that the mined terms are dealt to, at most.
 VOTERS = 24
+#: Labelled texts of each class on the split that sets the scale, below which all set it.
+LEAST_SCALED = 8
 #: General English insults: one voter a line.
 LEXICONS = (
     "idiot moron imbecile fool stupid dumb brainless cretin",
@@ -187,6 +189,8 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     post, _, _ = label_model(voters(x, terms, mined, odds, general))
     w, b = logistic(x, post, ridge=1e-3)
     # the scale and place of the scores are set on labels, so that they read as chances; far scores say no more there
+    if min((y[scale_on] == label).sum() for label in (0, 1)) < LEAST_SCALED:
+        scale_on[:] = True  # too few for a split
     z, y = (x @ w + b)[scale_on], y[scale_on]
     middle = np.median(np.concatenate((z[y == 1], [0.0])))
     scale, shift = logistic(np.minimum(z, middle)[:, None], y, ridge=1e-6)
