@@ -174,7 +174,7 @@ APART[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
 #: Bytes of text that a sample brings to the driver, at most; half for each class.
-MOST_BYTES = 32 << 20
+MOST_BYTES = 16 << 20
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, use: Column, per_class: int, most_bytes: int = MOST_BYTES) -> tuple[list[str], np.ndarray]:
