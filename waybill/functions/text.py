@@ -16,14 +16,20 @@ _KANA = str.maketrans("ヶヵゖゕ", "ケカけか")
 
 @F.pandas_udf(T.StringType())
 def station_key(names: pd.Series) -> pd.Series:
-    """NFKC, without white space, with small ka and ke as large ones."""
+    """NFKC, without white space, with small ka and ke as large ones; null is the empty text."""
 
     def one(text):
-        return None if text is None else re.sub(r"\s+", "", unicodedata.normalize("NFKC", text).strip()).translate(_KANA)
+        return "" if text is None else re.sub(r"\s+", "", unicodedata.normalize("NFKC", text).strip()).translate(_KANA)
 
     return names.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Unicode NFKC."""
+    return texts.map(lambda text: None if text is None else unicodedata.normalize("NFKC", text))
+
+
 @F.pandas_udf(T.StringType())
 def search_key(texts: pd.Series) -> pd.Series:
     """NFKC, lower case, Latin letters without marks, hiragana as katakana, no punctuation; digits keep a gap between numbers."""
@@ -118,3 +124,9 @@ def reference(text: Column) -> tuple[Column, Column, Column]:
     """``name (CC, line)`` as name, country and line; empty where it has another form."""
     pattern = r"^(.*) \(([A-Z]{2}), ([^()]*)\)$"
     return tuple(F.regexp_extract(text, pattern, k) for k in (1, 2, 3))
+
+
+def line_name(value: Column) -> Column:
+    """Canonical line name: trimmed, NFKC, a trailing 本線 is 線."""
+    folded = nfkc(F.trim(value))
+    return F.when(folded.endswith("本線"), F.concat(F.substring(folded, F.lit(1), F.char_length(folded) - 2), F.lit("線"))).otherwise(folded)

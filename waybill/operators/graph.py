@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waybill.operators import rounds
+
 
 def edges_of_calls(df: DataFrame, journey: str, order: list, place: str, km: str) -> DataFrame:
     """(a, b, km): the least km between consecutive places of journeys, in both directions."""
@@ -16,11 +18,13 @@ def edges_of_calls(df: DataFrame, journey: str, order: list, place: str, km: str
 
 def reachable(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(start, node, hops): the fewest hops to each node, up to a bound. Only nodes new in a round go on."""
+    edges = rounds.settled(edges)
     found = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"))
     frontier = found
     for k in range(1, hops + 1):
         step = frontier.join(edges.select(F.col("a").alias("node"), F.col("b").alias("to")), "node").select("start", F.col("to").alias("node")).distinct()
         frontier = step.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(k))
+        frontier = rounds.settled(frontier)
         found = found.unionByName(frontier)
     return found
 
@@ -31,12 +35,14 @@ def shortest(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     A label that a round does not improve is dropped before the next. ``truncated`` says that the last round still
     improved the node, so more hops might as well.
     """
+    edges = rounds.settled(edges)
     best = starts.select(F.col("node").alias("start"), "node", F.lit(0.0).alias("km"), F.lit(0).alias("hops"))
     for k in range(1, hops + 1):
         e = edges.select(F.col("a").alias("node"), F.col("b").alias("to"), F.col("km").alias("_km"))
         step = best.where(F.col("hops") == k - 1).join(e, "node").groupBy("start", F.col("to").alias("node")).agg(F.min(F.col("km") + F.col("_km")).alias("km"))
         both = best.unionByName(step.withColumn("hops", F.lit(k)))
         best = both.groupBy("start", "node").agg(F.min(F.struct("km", "hops")).alias("m")).select("start", "node", "m.km", "m.hops")
+        best = rounds.settled(best)
     return best.withColumn("truncated", F.col("hops") == hops)
 
 

@@ -55,14 +55,17 @@ def service_days(trips: DataFrame, calendars: DataFrame, exceptions: DataFrame,
 
     The version's range decides first. Then an exception of the calendar, even outside the calendar's own range; then that
     range; then, for calendars that treat holidays as Sundays, a holiday of a verified year; then the weekday's flag.
-    A calendar that needs an unverified year has no days in it (``unverified_years`` reports those).
-    Calendars are expanded to days before trips are joined, so days are counted once a calendar.
+    A calendar that needs an unverified year has no days in it. Of several exceptions of one day, ``remove`` holds.
+    Each calendar is expanded to the days of its own range before trips are joined, and ``add`` exceptions bring theirs.
     """
-    spark = trips.sparkSession
-    days = spark.sql(f"select explode(sequence(date'{low}', date_sub(date'{high}', 1))) as service_date")
     flags = F.array(*[F.col(d) for d in ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")])
-    one = exceptions.select("calendar_id", F.col("service_date").cast("date").alias("service_date"), "exception_type").dropDuplicates(["calendar_id", "service_date"])
-    grid = calendars.crossJoin(F.broadcast(days)).join(one, ["calendar_id", "service_date"], "left")
+    one = exceptions.select("calendar_id", F.col("service_date").cast("date").alias("service_date"), "exception_type")
+    one = one.where(F.col("service_date").between(low, F.date_sub(F.lit(high).cast("date"), 1))).groupBy("calendar_id", "service_date").agg(F.max("exception_type").alias("exception_type"))
+    first = F.greatest(F.coalesce(intervals.bound(F.col("valid_from")).cast("date"), F.lit(low).cast("date")), F.lit(low).cast("date"))
+    last = F.date_sub(F.least(F.coalesce(intervals.bound(F.col("valid_until")).cast("date"), F.lit(high).cast("date")), F.lit(high).cast("date")), 1)
+    own_days = calendars.where(first <= last).select("calendar_id", F.explode(F.sequence(first, last)).alias("service_date"))
+    days = own_days.join(one, ["calendar_id", "service_date"], "full")
+    grid = days.join(calendars, "calendar_id")
     if verified_holidays is None:
         grid = grid.withColumn("_holiday", F.lit(False)).withColumn("_verified", F.lit(True))
     else:

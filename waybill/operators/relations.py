@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waybill.operators import rounds
+
 
 def holders_of_all(df: DataFrame, owner: str, item: str, wanted: list) -> DataFrame:
     """Owners that have every wanted item."""
@@ -20,7 +22,10 @@ def multiset_match(old: DataFrame, new: DataFrame, keys: list[str], id_: str) ->
     a = numbered(old.select(*keys, id_), keys, [id_]).withColumnRenamed(id_, "old_id")
     b = numbered(new.select(*keys, id_), keys, [id_]).withColumnRenamed(id_, "new_id")
     kind = F.when(F.col("new_id").isNull(), "removed").when(F.col("old_id").isNull(), "added").otherwise("matched")
-    return a.join(b, [*keys, "_k"], "full").select(*keys, "old_id", "new_id", kind.alias("kind"))
+    same = F.col("a._k") == F.col("b._k")
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.alias("a").join(b.alias("b"), same, "full").select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], "old_id", "new_id", kind.alias("kind"))
 
 
 def cascade(old: DataFrame, new: DataFrame, id_: str, stages: list[tuple[str, list[str]]]) -> DataFrame:
@@ -32,7 +37,10 @@ def cascade(old: DataFrame, new: DataFrame, id_: str, stages: list[tuple[str, li
     for name, keys in stages:
         a = numbered(left, keys, [id_]).select(*keys, "_k", F.col(id_).alias("old_id"))
         b = numbered(right, keys, [id_]).select(*keys, "_k", F.col(id_).alias("new_id"))
-        found = a.join(b, [*keys, "_k"]).select("old_id", "new_id", F.lit(name).alias("stage"))
+        same = F.col("a._k") == F.col("b._k")
+        for k in keys:
+            same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        found = a.alias("a").join(b.alias("b"), same).select("old_id", "new_id", F.lit(name).alias("stage"))
         out = found if out is None else out.union(found)
         left = left.join(found.select(F.col("old_id").alias(id_)), id_, "left_anti")
         right = right.join(found.select(F.col("new_id").alias(id_)), id_, "left_anti")
@@ -72,15 +80,61 @@ def upsert_plan(old: DataFrame, new: DataFrame, part: str, key: str, columns: li
     return both.select(part, action.alias("action"))
 
 
-def roots(df: DataFrame, id_: str, parent: str, most: int = 50) -> DataFrame:
-    """(id, root, steps) by pointer doubling: each round squares how far an id sees, so a chain of n takes log2(n) joins."""
+def roots(df: DataFrame, id_: str, parent: str, most_rounds: int = 40) -> DataFrame:
+    """(id, root, steps) by pointer doubling: each round doubles how far an id sees, so a chain of n takes log2(n) joins.
+
+    Rounds are written to shared storage and go on until none moves a root. A ring of parents has no root: an error.
+    """
     at = df.select(F.col(id_).alias("id"), F.coalesce(parent, id_).alias("root"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("steps"))
-    reach = 1
-    while reach < most:
+    at = rounds.settled(at)
+    for _ in range(most_rounds):
         nxt = at.select(F.col("id").alias("root"), F.col("root").alias("_far"), F.col("steps").alias("_more"))
-        at = at.join(nxt, "root", "left").select("id", F.coalesce("_far", "root").alias("root"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"))
-        reach *= 2
-    return at
+        step = F.coalesce("_more", F.lit(0))
+        at = rounds.settled(at.join(nxt, "root", "left").select("id", F.coalesce("_far", "root").alias("root"), (F.col("steps") + step).alias("steps"), (step > 0).alias("moved")))
+        if at.where("moved").isEmpty():
+            return at.drop("moved")
+        at = at.drop("moved")
+    raise ValueError(f"some parents form a ring, or a chain is longer than 2 ** {most_rounds}")
+
+
+def alike_sets(df: DataFrame, owner: str, item: str, share: int, of: int) -> DataFrame:
+    """(a, b, common, nx, ny) of owners a < b whose sets share at least ``share`` / ``of`` of the larger one's items.
+
+    Only the rarest items of each set are joined on: sets that are alike enough share one of them, so a common item
+    brings no pairs by itself.
+    """
+    own = df.select(F.col(owner).alias("k"), F.col(item).alias("i")).where("k is not null and i is not null").distinct()
+    ranked = own.join(own.groupBy("i").agg(F.count("*").alias("df")), "i")
+    sets = ranked.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "i"))).alias("s")).select("k", F.col("s.i").alias("s"), F.size("s").alias("n"))
+    rare = sets.select("k", "s", "n", F.explode(F.slice("s", 1, (F.col("n") - F.ceil(F.lit(share) * F.col("n") / F.lit(of)) + 1).cast("int"))).alias("i"))
+    x, y = rare.alias("x"), rare.alias("y")
+    met = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.k") < F.col("y.k")) & (F.least("x.n", "y.n") * of >= F.greatest("x.n", "y.n") * share))
+    common = F.size(F.array_intersect("x.s", "y.s")).cast("long")
+    both = met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), common.alias("common"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")).distinct()
+    return both.where(F.col("common") * of >= F.greatest("nx", "ny") * share)
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component) of every node of ``links`` (a, b): the least node that links reach.
+
+    Each round gives a node, and the node that is its label, the least label among its neighbours; then labels take their
+    own label's, which doubles the distance. So rounds grow with the logarithm of a component. Neighbours' labels are
+    aggregated before the shuffle. Rounds are written to shared storage until none changes a label.
+    """
+    both = rounds.settled(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    at = rounds.settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    for _ in range(most_rounds):
+        low = both.join(at.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
+        own = at.join(low, "node").select("node", "component", F.least("component", "c").alias("c"))
+        hook = own.groupBy(F.col("component").alias("node")).agg(F.min("c").alias("h"))
+        own = rounds.settled(own.join(hook, "node", "left").select("node", "component", F.least("c", F.coalesce("h", "c")).alias("c")))
+        far = own.select(F.col("node").alias("c"), F.col("c").alias("f"))
+        new = own.join(far, "c").select("node", F.col("f").alias("to"), "component").select("node", F.col("to").alias("component"), (F.col("to") < F.col("component")).alias("moved"))
+        at = rounds.settled(new)
+        if at.where("moved").isEmpty():
+            return at.drop("moved")
+        at = at.drop("moved")
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def scored(df: DataFrame, keys: list[str], points: list[tuple[int, Column]], least: int, id_: str) -> DataFrame:
@@ -99,6 +153,13 @@ def unique_members(df: DataFrame, keys: list[str], id_: str) -> DataFrame:
 
 
 def unique_names(df: DataFrame, name: str, order: list) -> DataFrame:
-    """``unique``: the name, then name-2, name-3 in order."""
-    nth = F.row_number().over(Window.partitionBy(name).orderBy(*order))
-    return df.withColumn("unique", F.when(nth == 1, F.col(name)).otherwise(F.concat_ws("-", F.col(name), nth.cast("string"))))
+    """``unique``: the name, then name-2, name-3 in order; numbers whose result is a name already are passed over."""
+    first = F.row_number().over(Window.partitionBy(name).orderBy(*order))
+    numbered = df.withColumn("_nth", first)
+    # numbers that names of the form name-number take from their stem
+    stem = F.regexp_extract(name, "^(.*)-([0-9]{1,9})$", 1)
+    number = F.regexp_extract(name, "^(.*)-([1-9][0-9]{0,8})$", 2).try_cast("int")
+    taken = df.where(number >= 2).select(stem.alias(name), number.alias("_x")).groupBy(name).agg(F.sort_array(F.collect_set("_x")).alias("_taken"))
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_nth"), lambda k, x: F.when(x <= k, k + 1).otherwise(k))
+    joined = numbered.join(taken, name, "left")
+    return joined.withColumn("unique", F.when(F.col("_nth") == 1, F.col(name)).otherwise(F.concat_ws("-", F.col(name), free.cast("string")))).drop("_nth", "_taken")

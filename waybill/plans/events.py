@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import clock, masks, text
 from waybill.operators import periods, sequences
-from waybill.plans.registry import SQL, query
+from waybill.plans.registry import query
 
 CALL = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -60,15 +60,15 @@ def q_identity_split(t):
 
 
 @query("""
-WITH c AS (SELECT o_orderkey AS id, o_orderdate::DATE AS f, o_orderdate::DATE + 21 AS u, (o_orderkey % 127 + 1)::INT AS bits FROM orders WHERE o_orderkey % 50 = 0),
+WITH c AS (SELECT o_orderkey AS id, o_orderdate::DATE AS f, o_orderdate::DATE + 21 AS u, (o_orderkey % 127 + 1)::INT AS bits FROM orders),
 d AS (SELECT id, f, u, bits, x::DATE AS day FROM c, range(TIMESTAMP '1996-01-01', TIMESTAMP '1996-04-01', INTERVAL 1 DAY) r(x)),
 e AS (SELECT *, CASE WHEN day = f + 3 THEN 'remove' WHEN day = u + 2 THEN 'add' END AS exc FROM d)
 SELECT id::VARCHAR AS trip_id, strftime(day, '%Y-%m-%d') AS service_date FROM e
 WHERE CASE WHEN exc = 'remove' THEN false WHEN exc = 'add' THEN true WHEN NOT (f <= day AND day < u) THEN false ELSE (bits >> dayofweek(day)) & 1 = 1 END
 """)
-def q_calendar_expand(t, every=50):
+def q_calendar_expand(t):
     key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
-    own = t.orders.where(key % every == 0).select(key.cast("string").alias("id"), day.alias("f"), F.date_add(day, 21).alias("u"), (key % 127 + 1).cast("int").alias("bits"))
+    own = t.orders.select(key.cast("string").alias("id"), day.alias("f"), F.date_add(day, 21).alias("u"), (key % 127 + 1).cast("int").alias("bits"))
     names = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
     calendars = own.select(
         F.col("id").alias("calendar_id"), *[F.shiftright("bits", k).bitwiseAND(F.lit(1)).alias(n) for k, n in enumerate(names)],
@@ -83,11 +83,6 @@ def q_calendar_expand(t, every=50):
     return found.select("trip_id", F.date_format("service_date", "yyyy-MM-dd").alias("service_date"))
 
 
-@query(SQL["q_calendar_expand"].replace(" WHERE o_orderkey % 50 = 0", ""))
-def q_calendar_expand_whole(t):
-    return q_calendar_expand(t, 1)
-
-
 @query("""
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 14 = 0 THEN '-' WHEN o_orderkey % 7 = 0 THEN 'override' ELSE o_orderpriority END AS priority FROM orders
 """)
@@ -161,13 +156,15 @@ def q_parse_clock(t):
 
 
 @query("""
-WITH s AS (SELECT l_suppkey, l_orderkey, sign(l_partkey - lag(l_partkey) OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice)) AS s FROM (SELECT l_suppkey % 10 AS l_suppkey, l_orderkey, l_partkey, l_linenumber, l_extendedprice FROM lineitem)),
+WITH s AS (SELECT l_suppkey, l_orderkey, sign(l_partkey - lag(l_partkey) OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice)) AS s FROM (SELECT l_suppkey % 10 AS l_suppkey, l_orderkey, CASE l_suppkey % 10 % 3 WHEN 0 THEN l_linenumber * 1000000 WHEN 1 THEN -l_linenumber * 1000000 ELSE 0 END + l_partkey AS l_partkey, l_linenumber, l_extendedprice FROM lineitem)),
 g AS (SELECT l_suppkey AS grp, count(DISTINCT l_orderkey) AS journeys, sum(CASE WHEN s > 0 THEN 1 ELSE 0 END)::BIGINT AS up, count(*) AS steps FROM s WHERE s <> 0 GROUP BY 1)
-SELECT grp, journeys, up, steps, CASE WHEN up >= steps - up THEN 'up' ELSE 'down' END AS direction FROM g WHERE journeys >= 3 AND greatest(up, steps - up) / steps >= 0.5
+SELECT grp, journeys, up, steps, CASE WHEN up >= steps - up THEN 'up' ELSE 'down' END AS direction FROM g WHERE journeys >= 3 AND greatest(up, steps - up) / steps >= 0.9
 """)
 def q_direction_vote(t):
-    own = t.lineitem.select((F.col("l_suppkey") % 10).alias("grp"), "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
-    return sequences.votes(own, ["grp"], "l_orderkey", ["l_linenumber", "l_partkey", "l_extendedprice"], "l_partkey", 3, 0.5)
+    grp, far = F.col("l_suppkey") % 10, F.col("l_linenumber") * 1000000
+    place = F.when(grp % 3 == 0, far).when(grp % 3 == 1, -far).otherwise(0) + F.col("l_partkey")
+    own = t.lineitem.select(grp.alias("grp"), "l_orderkey", place.alias("l_partkey"), "l_linenumber", "l_extendedprice")
+    return sequences.votes(own, ["grp"], "l_orderkey", ["l_linenumber", "l_partkey", "l_extendedprice"], "l_partkey", 3, 0.9)
 
 
 @query("""
@@ -283,22 +280,17 @@ def q_day_coverage(t):
 
 
 @query("""
-WITH m AS (SELECT user_id, ts, hour(ts) * 60 + minute(ts) AS m, (epoch(ts::DATE)::BIGINT // 86400) AS d FROM events WHERE user_id <= 40),
+WITH m AS (SELECT user_id, ts, hour(ts) * 60 + minute(ts) AS m, (epoch(ts::DATE)::BIGINT // 86400) AS d FROM events),
 l AS (SELECT *, CASE WHEN m < lag(m) OVER (PARTITION BY user_id ORDER BY ts) THEN 1 ELSE 0 END AS back FROM m),
 s AS (SELECT *, (m + 1440 * sum(back) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING))::BIGINT AS c FROM l)
 SELECT user_id, string_agg(c::VARCHAR, ',' ORDER BY ts) AS clocks FROM s GROUP BY 1
 """)
-def q_midnight_carry(t, users="user_id <= 40"):
-    own = t.events.where(users).withColumn("m", F.hour("ts") * 60 + F.minute("ts"))
+def q_midnight_carry(t):
+    own = t.events.withColumn("m", F.hour("ts") * 60 + F.minute("ts"))
     items = sequences.in_order(own, ["user_id"], ["ts"], "m", "items")
     return items.select("user_id", F.array_join(sequences.carried(F.col("items")), ",").alias("clocks"))
 
 
-@query(SQL["q_midnight_carry"].replace(" WHERE user_id <= 40", ""))
-def q_midnight_carry_whole(t):
-    return q_midnight_carry(t, "true")
-
-
 @query("""SELECT event_id, (props->>'$.k')::BIGINT AS k, json_keys(props)[1] AS keys, len(json_keys(props))::INT AS n_keys, 0 AS unknown FROM events""")
 def q_json_scalars(t):
     keys = F.json_object_keys("props")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import clock, geo, masks
 from waybill.operators import coverage, tally
-from waybill.plans.registry import SQL, query
+from waybill.plans.registry import query
 
 ROUTES_SQL = """
   SELECT o_orderkey, least(cn.n_name, sn.n_name) AS place_a, greatest(cn.n_name, sn.n_name) AS place_b, l_extendedprice AS km
@@ -199,18 +199,9 @@ def q_counts(t):
 @query("""
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate END NULLS LAST,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END NULLS LAST, o_orderkey) AS place
-FROM orders QUALIFY place <= 500
+FROM orders
 """)
 def q_date_order(t):
-    day = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate"))
-    departure = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice"))
-    top = t.orders.select("o_orderkey", "o_orderdate", day.alias("d"), departure.alias("p")).orderBy(F.asc_nulls_last("d"), F.asc_nulls_last("p"), "o_orderkey").limit(500)
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("d"), F.asc_nulls_last("p"), "o_orderkey"))
-    return top.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), place.alias("place"))
-
-
-@query(SQL["q_date_order"].replace(" QUALIFY place <= 500", "").replace("\nQUALIFY place <= 500", ""))
-def q_date_order_whole(t):
     key, last = F.col("o_orderkey"), F.lit((1 << 63) - 1)
     day = F.when(key % 11 != 0, F.col("o_orderdate"))
     departure = F.when(key % 5 != 0, F.col("o_totalprice"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import geo, masks, text
 from waybill.operators import graph, quality, search, sequences, shapes
-from waybill.plans.registry import SQL, query
+from waybill.plans.registry import query
 
 
 @query("""SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS key, count(DISTINCT p_type) AS ids FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1""")
@@ -141,14 +141,14 @@ def points(t):
 
 
 @query(f"""
-WITH p AS ({POINTS_SQL}), q AS (SELECT vec_id, floor(x * 10 + 0.5) / 10 AS x, floor(y * 10 + 0.5) / 10 AS y FROM p),
-s AS (SELECT x AS ax, y AS ay, lead(x) OVER (ORDER BY vec_id) AS bx, lead(y) OVER (ORDER BY vec_id) AS by_ FROM q)
+WITH p AS ({POINTS_SQL}), q AS (SELECT vec_id, label, floor(x * 10 + 0.5) / 10 AS x, floor(y * 10 + 0.5) / 10 AS y FROM p),
+s AS (SELECT x AS ax, y AS ay, lead(x) OVER (PARTITION BY label ORDER BY vec_id) AS bx, lead(y) OVER (PARTITION BY label ORDER BY vec_id) AS by_ FROM q)
 SELECT CASE WHEN (ax, ay) < (bx, by_) THEN ax ELSE bx END AS x0, CASE WHEN (ax, ay) < (bx, by_) THEN ay ELSE by_ END AS y0, CASE WHEN (ax, ay) < (bx, by_) THEN bx ELSE ax END AS x1, CASE WHEN (ax, ay) < (bx, by_) THEN by_ ELSE ay END AS y1, count(*) AS n
 FROM s WHERE bx IS NOT NULL GROUP BY 1, 2, 3, 4
 """)
 def q_quant_edges(t):
-    own = points(t).select(F.lit(0).alias("one"), "vec_id", geo.round_up_half(F.col("x"), 1).alias("x"), geo.round_up_half(F.col("y"), 1).alias("y"))
-    s = shapes.segments(own, ["one"], "vec_id", "x", "y")
+    own = points(t).select("label", "vec_id", geo.round_up_half(F.col("x"), 1).alias("x"), geo.round_up_half(F.col("y"), 1).alias("y"))
+    s = shapes.segments(own, ["label"], "vec_id", "x", "y")
     a, b = geo.undirected(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))
     return s.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n")).select(F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"), "n")
 
@@ -252,14 +252,14 @@ def q_hits(t):
 
 
 NETWORK_SQL = """
-WITH RECURSIVE c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS km, s_nationkey * 4 + (l_partkey % 4)::INT AS p, l_suppkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 40 = 0),
+WITH RECURSIVE c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS km, s_nationkey * 4 + (l_partkey % 4)::INT AS p, l_suppkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 s AS (SELECT p AS a, lead(p) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, km) AS b, km FROM c),
 e AS (SELECT a, b, min(km) AS km FROM (SELECT a, b, km FROM s WHERE b IS NOT NULL AND a <> b UNION ALL SELECT b, a, km FROM s WHERE b IS NOT NULL AND a <> b) GROUP BY 1, 2)
 """
 
 
-def network(t, orders="l_orderkey % 40 = 0"):
-    own = t.lineitem.where(orders).join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+def network(t):
+    own = t.lineitem.join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     place = (F.col("s_nationkey") * 4 + (F.col("l_partkey") % 4).cast("int")).alias("p")
     calls = own.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("km"), place)
     return graph.edges_of_calls(calls, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "km"], "p", "km")
@@ -285,25 +285,6 @@ def q_shortest_path(t):
     return graph.shortest(network(t), start(t, 0), 4).select("start", "node", F.round("km", 2).alias("km"))
 
 
-def whole_network(name):
-    return SQL[name].replace(" WHERE l_orderkey % 40 = 0", "")
-
-
-@query(whole_network("q_graph_edges"))
-def q_graph_edges_whole(t):
-    return network(t, "true").select("a", "b", F.round("km", 2).alias("km"))
-
-
-@query(whole_network("q_reachable"))
-def q_reachable_whole(t):
-    return graph.reachable(network(t, "true"), start(t, 0), 3)
-
-
-@query(whole_network("q_shortest_path"))
-def q_shortest_path_whole(t):
-    return graph.shortest(network(t, "true"), start(t, 0), 4).select("start", "node", F.round("km", 2).alias("km"))
-
-
 @query("""
 WITH a AS (SELECT l_orderkey AS id, round(min(l_extendedprice), 2) AS km FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), b AS (SELECT l_orderkey AS id, round(min(l_extendedprice), 2) AS km FROM lineitem WHERE l_linenumber = 2 GROUP BY 1),
 a5 AS (SELECT * FROM a ORDER BY km, id LIMIT 5), b5 AS (SELECT * FROM b ORDER BY km, id LIMIT 5)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import clock, intervals, masks
 from waybill.operators import coverage, quality, relations, sequences, tally
-from waybill.plans.registry import SQL, query
+from waybill.plans.registry import query
 
 
 @query("""
@@ -233,23 +233,13 @@ def q_eligibility(t):
 
 
 @query("""
-WITH s AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem WHERE l_orderkey % 7 = 0), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
+WITH s AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.i = b.i AND a.k < b.k GROUP BY 1, 2)
 SELECT a, b, c AS common, c = least(x.n, y.n) AS subset FROM p JOIN n x ON a = x.k JOIN n y ON b = y.k WHERE c * 5 >= greatest(x.n, y.n) * 4
 """)
-def q_set_ratio(t, orders="l_orderkey % 7 = 0"):
-    own = t.lineitem.where(orders).select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("i")).distinct()
-    size = own.groupBy("k").agg(F.count("*").alias("n"))
-    sized = own.join(size, "k")
-    x, y = sized.alias("x"), sized.alias("y")
-    met = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.k") < F.col("y.k")) & (F.least("x.n", "y.n") * 5 >= F.greatest("x.n", "y.n") * 4))
-    by = met.groupBy(F.col("x.k").alias("a"), F.col("y.k").alias("b")).agg(F.count("*").alias("common"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"))
-    return by.where(F.col("common") * 5 >= F.greatest("nx", "ny") * 4).select("a", "b", "common", (F.col("common") == F.least("nx", "ny")).alias("subset"))
-
-
-@query(SQL["q_set_ratio"].replace(" WHERE l_orderkey % 7 = 0", ""))
-def q_set_ratio_whole(t):
-    return q_set_ratio(t, "true")
+def q_set_ratio(t):
+    own = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("i")).distinct()
+    return relations.alike_sets(own, "k", "i", 4, 5).select("a", "b", "common", (F.col("common") == F.least("nx", "ny")).alias("subset"))
 
 
 @query("""
