@@ -143,13 +143,56 @@ def test_sharding(docs, rows, none):
 # ---------------------------------------------------------------- 3
 
 
-def test_licenses(spark):
-    model = licenses.fit(["rain on the lamp, slow as the river", "paper of the sun in the tone"])
-    said = {0: "Intro\nLicensed under the Apache License, Version 2.0.\nmore", 1: "released under the mit license", 2: "the license of the driver", 3: None, 4: "", 5: "in the", 6: "x " * 50_000 + "\nAll rights reserved."}
-    d = spark.createDataFrame([*said.items(), (None, said[0])], "doc_id long, text string").selectExpr("*", "'x' as licences")
-    got = {r.doc_id: r.licences for r in licenses.scan(d, model).collect()}
-    assert got == {0: "Apache-2.0", 1: "MIT", 2: "", 3: "", 4: "", 5: "", 6: "proprietary", None: "Apache-2.0"}
-    assert licenses.scan(d.limit(0), model).count() == 0
+@pytest.fixture(scope="module")
+def licence_model():
+    return licenses.fit(["rain on the lamp, slow as the river", "paper of the sun in the tone", "the license of the driver was lost in the rain"])
+
+
+def test_licenses(spark, licence_model):
+    mit, gpl = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["GPL-3.0"][0]
+    wrapped = "\n".join("# " + " ".join(gpl.split()[i : i + 7]) for i in range(0, len(gpl.split()), 7))
+    prose_ = "slow rain kept the paper lamp near the river and the sun " * 4
+    said = {
+        0: "Intro\nLicensed under the Apache License, Version 2.0.\nmore", 1: "released under the mit license", 2: "the license of the driver", 3: None, 4: "", 5: "in the",
+        6: "x " * 50_000 + "\nAll rights reserved.", 7: "Licensed under the GNU Affero General Public License, version 3", 8: "All rights reserved for members of the society",
+        9: prose_ + mit + " " + prose_, 10: wrapped, 11: prose_ + "Licensed under the Apache License, Version 2.0. " + prose_, 12: "Released under the MIT License.\n\nReleased under the MIT License.",
+        13: licenses.TEMPLATES["ISC"][0], 14: "Licensed under the GNU General Public License, version 2.",
+    }
+    d = spark.createDataFrame([*said.items(), (None, said[0]), (0, said[0])], "doc_id long, text string").selectExpr("*", "'x' as licences")
+    rows = licenses.scan(d, licence_model).collect()
+    got = {r.doc_id: r.licences for r in rows}
+    assert len(rows) == len(said) + 2 and sum(r.licences == "Apache-2.0" for r in rows) == 4
+    want = {0: "Apache-2.0", 1: "MIT", 6: "proprietary", 7: "AGPL-3.0", 9: "MIT", 10: "GPL-3.0", 11: "Apache-2.0", 12: "MIT", 13: "ISC", 14: "GPL-2.0", None: "Apache-2.0"}
+    assert got == {k: want.get(k, "") for k in [*said, None]}
+    count = {r.doc_id: r.n_licences for r in rows}
+    assert (count[10], count[9], count[12]) == (1, 1, 2)
+    assert licenses.scan(d.limit(0), licence_model).count() == 0
+
+
+def test_licence_chances_follow_the_regression(licence_model):
+    """Chances against a plain scorer: a dictionary of terms, text by text."""
+    weights = dict(zip(licence_model.terms.tolist(), licence_model.weights))
+    for text in ("Released under the MIT license today", "rain on a lamp", "SPDX-License-Identifier: EPL-2.0"):
+        h = licenses._hash([text])
+        terms = set(h.tolist()) | set(licenses._pairs(h).tolist())
+        total = 2 * len(h) - 1
+        known = [weights[x] for x in terms if x in weights]
+        z = sum(known, np.zeros(len(licence_model.families))) / math.sqrt(total) + licence_model.weights[-2] * (1 - min(1, len(known) / total)) + licence_model.weights[-1]
+        p = np.exp(z - z.max())
+        assert licence_model.chances(h, np.array([0]), np.array([len(h)]))[0] == pytest.approx(p / p.sum())
+
+
+def test_licence_families_on_unseen_variants(licence_model):
+    rng = random.Random(99)
+    right = total = 0
+    for family, sentences in licenses.TEMPLATES.items():
+        for s in sentences:
+            for text in licenses.variants(rng, s, 6)[3:]:
+                found = list(licence_model.scan(pa.array([text])))
+                total += 1
+                right += bool(found) and found[0][1] == family
+    assert right / total > 0.8 and licence_model.refused >= 0.85
+    print("unseen variants", right / total, "left-out families refused", licence_model.refused, "least chance", licence_model.least_chance)
 
 
 # ---------------------------------------------------------------- 4

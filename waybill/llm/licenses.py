@@ -1,4 +1,4 @@
-"""Licence scans: a trained paragraph classifier, an unknown class, and templates that confirm what it says."""
+"""Licence scans: a trained classifier of paragraphs' notices, a calibrated unknown class, and templates that confirm what it says."""
 
 from __future__ import annotations
 
@@ -17,59 +17,107 @@ from waybill.llm.common import APART, Words, mix, read, text_slices
 #: Paragraphs of the corpus that the unknown class is fitted on, at most.
 UNKNOWN = 1_500
 #: Training variants of each template sentence.
-VARIANTS = 12
-#: Least chance of a family, and least share of a paragraph's word pairs that a template of the family must hold.
-LEAST_CHANCE = 0.5
-LEAST_SHARE = 0.5
-#: And so many word pairs at least.
+VARIANTS = 14
+#: Folds of families that are left out in turn to set the least chance, and the share of their notices that it must refuse.
+FOLDS, REFUSED = 4, 0.95
+#: Least chance of a family before calibration, and the range that calibration may move it in.
+CHANCES = (0.5, 0.85)
+#: Least share of a template's word pairs that a notice must hold, and so many pairs at least.
+LEAST_SHARE = 0.6
 LEAST_PAIRS = 2
+#: Words between two hits that may be no hits within a notice, and words around a notice that are read with it.
+GAP, AROUND = 10, 2
 
-#: Usual notices of licence families.
+#: Usual notices of licence families, a sentence each.
 TEMPLATES = {
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
-    "MIT": (
-        "Released under the MIT License.",
-        "This project is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
-        "SPDX-License-Identifier: MIT",
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", "Licensed under the Simplified BSD License.", "SPDX-License-Identifier: BSD-2-Clause"),
+    "BSD-3-Clause": (
+        "Released under the BSD 3-Clause License.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ),
+    "BSD": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Distributed under the BSD license.",
+    ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
+    "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-ND": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.",
+        "Released under the CC0 1.0 Universal Public Domain Dedication.",
+        "SPDX-License-Identifier: CC0-1.0",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "Licensed under the GNU General Public License, version 2.",
+        "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "GPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
-        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU GPL v3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ),
     "LGPL": (
-        "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ),
-    "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Released under the BSD 3-Clause License.",
+    "MIT": (
+        "Released under the MIT License.",
+        "This project is licensed under the terms of the MIT license.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "SPDX-License-Identifier: MIT",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "CC-BY-NC": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0",
     ),
-    "CC-BY-SA": (
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
     ),
-    "CC-BY": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "Zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "SPDX-License-Identifier: Zlib",
     ),
-    "CC0": ("To the extent possible under law, the author has waived all copyright to this work under CC0 1.0.",),
     "proprietary": (
         "All rights reserved.",
         "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
     ),
 }
 #: Sentences with words of licences that are none.
@@ -77,171 +125,233 @@ OTHERS = (
     "The driver lost the license after the third offence.",
     "A public licence is required to sell food at the market.",
     "Permission to enter the park is granted free of charge.",
+    "Permission is hereby granted to any person to leave the hall free of charge.",
     "The museum is open to the general public, version two of the plan says.",
-    "All seats are reserved for members of the society.",
+    "All rights reserved for members of the society are listed here.",
+    "All seats and rights are reserved for members of the society.",
     "The work is distributed over several software projects.",
     "This file lists the conditions of the roads.",
+    "She released the record under her own name in the public square.",
+    "The source code of the poem can be found in the file of the library.",
+    "The apache helicopter was licensed for flight under version 2 of the rules.",
+    "The distribution of food and other materials is provided by the city.",
+    "Any later version of the map must retain the list of names.",
 )
+#: Words that carry no notice by themselves; pairs of them start none.
+STOP = "a all an and any are as at be by can for from has in is it its may no not of on or other that the this to under was with you".split()
+
+
+def _hash(texts: list[str]) -> np.ndarray:
+    return np.concatenate([Words(d, o, APART).hashes() for _, _, d, o in text_slices(pa.array(texts, pa.large_string()))] or [np.zeros(0, np.uint64)])
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    return mix(h[:-1] * np.uint64(3) + mix(h[1:] + np.uint64(5)))
+
 
+def _in(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in a sorted array, and whether they are there."""
+    if not len(sorted_):
+        return np.zeros(len(values), int), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return at, sorted_[at] == values
 
-def _grams(column: pa.Array) -> Iterator[tuple]:
-    """For slices of a column: paragraph owner text, paragraph of each gram, gram hashes (words, then pairs), words a paragraph."""
+
+def notices(column: pa.Array, seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of a column: (text of each notice, first word, last word + 1, word hashes).
+
+    A notice is a stretch of one paragraph that starts and ends with a seed pair and has one at least every GAP words, with
+    AROUND words on either side. Paragraphs end at blank lines and at a text's end, so a wrapped notice is one, and a notice
+    inside a long line stands for itself.
+    """
     for row, n, data, offsets in text_slices(column):
         words = Words(data, offsets, APART)
         h = words.hashes()
+        if len(h) < 2:
+            continue
         size = int(offsets[-1])
-        # a paragraph ends at a line break and at a text's end
-        breaks = (data[:size] == 10).astype(np.int64)
-        starts = np.zeros(size + 1, np.int64)
-        starts[1:] = np.cumsum(breaks)
-        edge = np.zeros(size + 1, np.int64)
-        np.add.at(edge, offsets[1:-1], 1)
-        number = starts + np.cumsum(edge)
-        of_word = number[words.starts]
-        which, paragraph, counts = np.unique(of_word, return_inverse=True, return_counts=True)
+        lines = np.flatnonzero(data[:size] == 10)
+        ink = np.concatenate(([0], np.cumsum(data[:size] > 32)))
+        blank = lines[1:][ink[lines[1:]] == ink[lines[:-1] + 1]] if len(lines) > 1 else lines[:0]
+        paragraph = np.searchsorted(np.sort(np.concatenate((blank, offsets[1:-1] - 1))), words.starts, "left")
         owner = row + np.repeat(np.arange(n), words.counts)
-        first = np.searchsorted(of_word, which)
-        pair = mix(h[:-1] * np.uint64(3) + mix(h[1:] + np.uint64(5)))
-        same = paragraph[:-1] == paragraph[1:]
-        yield owner[first] if len(h) else np.zeros(0, int), paragraph, h, paragraph[:-1][same], pair[same], counts
+        hit = np.flatnonzero(_in(seeds, _pairs(h))[1] & (paragraph[:-1] == paragraph[1:]))
+        if not len(hit):
+            continue
+        new = np.ones(len(hit), bool)
+        new[1:] = (np.diff(hit) > GAP) | (paragraph[hit[1:]] != paragraph[hit[:-1]])
+        first, last = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)] + 2
+        low, high = np.searchsorted(paragraph, paragraph[first]), np.searchsorted(paragraph, paragraph[first], "right")
+        yield owner[first], np.maximum(first - AROUND, low), np.minimum(last + AROUND, high), h
 
 
 @dataclass
 class Model:
     terms: np.ndarray
+    seeds: np.ndarray
     weights: np.ndarray
     families: list[str]
     templates: list[tuple[int, np.ndarray]]
+    least_chance: float = CHANCES[0]
+    refused: float = 0.0
 
-    def features(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """(owner, chances, has a known pair, pairs) of the paragraphs with a known pair or single word, slice by slice."""
-        for owner, of_word, h, of_pair, pair, counts in _grams(column):
-            place, which = np.concatenate((of_word, of_pair)), np.concatenate((h, pair))
-            at = np.minimum(np.searchsorted(self.terms, which), len(self.terms) - 1)
-            hit = self.terms[at] == which
-            some = np.unique(place[hit])
-            if not len(some):
-                continue
-            row = np.searchsorted(some, place[hit])
-            key = np.unique(row * len(self.terms) + at[hit])
-            row, term = key // len(self.terms), key % len(self.terms)
-            z = np.zeros((len(some), len(self.families)))
-            np.add.at(z, row, self.weights[term])
-            known = np.bincount(row, minlength=len(some))
-            total = np.maximum(1, 2 * counts[some] - 1)
-            z = z / np.sqrt(total)[:, None] + self.weights[-2] * (1 - np.minimum(1, known / total))[:, None] + self.weights[-1]
-            z -= z.max(1, keepdims=True)
-            chance = np.exp(z)
-            chance /= chance.sum(1, keepdims=True)
-            yield owner[some], chance, some, (of_pair, pair)
+    def chances(self, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Chance of each family, the unknown first, for stretches of words."""
+        row, term, value = _features(self.terms, h, first, last)
+        z = np.zeros((len(first), len(self.families)))
+        np.add.at(z, row, self.weights[term] * value[:, None])
+        z = np.exp(z - z.max(1, keepdims=True))
+        return z / z.sum(1, keepdims=True)
+
+    def share(self, family: int, h: np.ndarray) -> float:
+        """The largest share of one of the family's templates that these words hold."""
+        own = np.unique(_pairs(h))
+        return max((float(_in(own, t)[1].mean()) for f, t in self.templates if f == family and _in(own, t)[1].sum() >= min(LEAST_PAIRS, len(t))), default=0.0)
 
     def scan(self, column: pa.Array) -> Iterator[tuple[int, str, float, float]]:
-        """(text, family, chance, share) of each paragraph that is a licence's: likely enough, and confirmed by a template."""
-        for owner, chance, some, (of_pair, pair) in self.features(column):
-            best = chance.argmax(1)
-            likely = np.flatnonzero((best > 0) & (chance[np.arange(len(best)), best] >= LEAST_CHANCE))
-            for i in likely:
-                a, b = np.searchsorted(of_pair, [some[i], some[i] + 1])
-                own = np.unique(pair[a:b])
-                share = max((np.isin(own, t).mean() for f, t in self.templates if f == best[i] and len(own)), default=0.0)
-                if share >= LEAST_SHARE and share * len(own) >= LEAST_PAIRS:
-                    yield int(owner[i]), self.families[best[i]], float(chance[i, best[i]]), float(share)
-
-
-def _variants(rng: random.Random, sentence: str, n: int) -> list[str]:
+        """(text, family, chance, share) of each notice that is a licence's: likely enough, and confirmed by a template."""
+        for owner, first, last, h in notices(column, self.seeds):
+            chance = self.chances(h, first, last)
+            best = chance.argmax(1)  # of equal chances the first family
+            top = chance[np.arange(len(best)), best]
+            for i in np.flatnonzero((best > 0) & (top >= self.least_chance)):
+                share = self.share(best[i], h[first[i] : last[i]])
+                if share >= LEAST_SHARE:
+                    yield int(owner[i]), self.families[best[i]], float(top[i]), share
+
+
+def _features(terms: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, value) of stretches of words: known words and pairs once each, by the root of the length, and two terms more:
+    the share that is not known, and one."""
+    n = last - first
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    pair = np.flatnonzero(row[:-1] == row[1:]) if len(row) else row
+    place, known = _in(terms, np.concatenate((h[at], mix(h[at[pair]] * np.uint64(3) + mix(h[at[pair] + 1] + np.uint64(5))))))
+    key = np.unique(np.concatenate((row, row[pair]))[known] * (len(terms) + 2) + place[known])
+    r, t = key // (len(terms) + 2), key % (len(terms) + 2)
+    total = np.maximum(1, 2 * n - 1)
+    strange = 1 - np.minimum(1, np.bincount(r, minlength=len(n)) / total)
+    every = np.arange(len(n))
+    return (
+        np.concatenate((r, every, every)),
+        np.concatenate((t, np.full(len(n), len(terms)), np.full(len(n), len(terms) + 1))),
+        np.concatenate((1 / np.sqrt(total[r]), strange, np.ones(len(n)))),
+    )
+
+
+def _softmax(row: np.ndarray, term: np.ndarray, value: np.ndarray, y: np.ndarray, d: int, classes: int, rounds: int = 120) -> np.ndarray:
+    """Weights (d, classes) of a softmax regression on a sparse matrix; classes weigh the same."""
+    by_row, by_term = np.argsort(row, kind="stable"), np.argsort(term, kind="stable")
+    rows, terms = np.unique(row[by_row], return_index=True)[1], np.unique(term[by_term], return_index=True)
+    share = 1 / np.maximum(1, np.bincount(y, minlength=classes))[y]
+    share = (share / share.sum())[:, None]
+    goal = np.eye(classes)[y]
+    w, mean, spread = np.zeros((3, d, classes))
+    for k in range(1, rounds + 1):
+        z = np.add.reduceat(w[term[by_row]] * value[by_row, None], rows)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p = share * (p / p.sum(1, keepdims=True) - goal)
+        slope = 1e-5 * w
+        slope[terms[0]] += np.add.reduceat(p[row[by_term]] * value[by_term, None], terms[1])
+        # steps of like size for rare and common terms
+        mean, spread = 0.9 * mean + 0.1 * slope, 0.98 * spread + 0.02 * slope**2
+        w -= 0.2 * (mean / (1 - 0.9**k)) / (np.sqrt(spread / (1 - 0.98**k)) + 1e-8)
+    return w
+
+
+def variants(rng: random.Random, sentence: str, n: int) -> list[str]:
+    """The sentence as it stands in files: other case, words lost, wrapped, with words around it."""
     out = [sentence, sentence.lower(), sentence.upper()]
     words = sentence.split()
     for _ in range(n):
-        w = [x for x in words if rng.random() > 0.08] or words
+        w = [x for x in words if rng.random() > 0.06] or words
         if rng.random() < 0.4:
             w = [*rng.choice((["Copyright", "2020", "The", "Authors."], ["Note:"], ["#"], ["Text"])), *w]
-        if rng.random() < 0.3:
-            w = [*w, rng.choice(("See the file for details.", "Contact the author.", "2021", "Thank you."))]
+        strange = [f"w{rng.randrange(10**6)}" for _ in range(4)]
+        if rng.random() < 0.4:
+            w = [*strange[:2], *w]
+        if rng.random() < 0.4:
+            w = [*w, *strange[2:]]
+        elif rng.random() < 0.3:
+            w = [*w, *rng.choice(("See the file for details.", "Contact the author.", "2021", "Thank you.")).split()]
         out.append(" ".join(w))
     return out
 
 
-def fit(unknown: list[str], seed: int = 0, rounds: int = 400) -> Model:
-    """A softmax regression on hashed words and word pairs of the templates; other words count as one term.
+def fit(unknown: list[str], seed: int = 0) -> Model:
+    """A softmax regression on hashed words and word pairs of notices.
 
-    The first class is the unknown: sentences that only sound like licences, and ``unknown`` paragraphs of the corpus. Its
-    bias is then set on variants that training did not see, so that nineteen in twenty of the unknown ones stay unknown
-    by a margin without losing the known.
+    The first class is the unknown: sentences that only sound like licences, and notices found in ``unknown`` paragraphs of
+    the corpus that no template confirms. The least chance is set on families that training has not seen: in FOLDS rounds a
+    part of the families is left out, and their notices, which should stay unknown, get chances; the least one that
+    refuses REFUSED of them is taken, within CHANCES. ``refused`` is the share that it does refuse: less than asked where a
+    left-out family shares its notices' words with another, as AGPL does with GPL.
     """
     rng = random.Random(seed)
     families = ["unknown", *sorted(TEMPLATES)]
-    texts, y = [], []
-    for k, family in enumerate(families[1:], 1):
-        for sentence in TEMPLATES[family]:
-            new = _variants(rng, sentence, VARIANTS)
-            texts += new
-            y += [k] * len(new)
-    for sentence in OTHERS:
-        new = _variants(rng, sentence, VARIANTS)
-        texts += new
-        y += [0] * len(new)
-    texts += unknown
-    y += [0] * len(unknown)
-    plain = pa.array([s for own in TEMPLATES.values() for s in own])
-    terms = np.unique(np.concatenate([np.concatenate((h, pair)) for _, _, h, _, pair, _ in _grams(plain)]))
-    templates = []
-    for k, family in enumerate(families[1:], 1):
-        for sentence in TEMPLATES[family]:
-            templates += [(k, np.unique(pair)) for _, _, _, _, pair, _ in _grams(pa.array([sentence]))]
-    x = np.zeros((len(texts), len(terms) + 2), np.float32)
-    for i, t in enumerate(texts):
-        for _, _, h, _, pair, counts in _grams(pa.array([t.replace("\n", " ")])):
-            own = np.unique(np.concatenate((h, pair)))
-            at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
-            known = at[terms[at] == own]
-            total = max(1, 2 * int(counts.sum()) - 1)
-            x[i, known] = 1 / np.sqrt(total)
-            x[i, -2] = 1 - min(1, len(known) / total)
-    x[:, -1] = 1
+    plain = [(k, s) for k, f in enumerate(families) for s in (TEMPLATES[f] if k else ())]
+    hashed = [(k, _hash([s])) for k, s in plain]
+    terms = np.unique(np.concatenate([np.concatenate((h, _pairs(h))) for h in [*(h for _, h in hashed), *(_hash([s]) for s in OTHERS)]]))
+    stop = np.sort(_hash([" ".join(STOP)]))
+    rare = [_pairs(h)[~(_in(stop, h[:-1])[1] & _in(stop, h[1:])[1])] for _, h in hashed]
+    model = Model(terms, np.unique(np.concatenate(rare)), np.zeros((len(terms) + 2, len(families))), families, [(k, np.unique(_pairs(h))) for k, h in hashed])
+    said = [(k, text) for k, sentence in [*plain, *((0, s) for s in OTHERS)] for text in variants(rng, sentence, VARIANTS)]
+    rows, y = [], []
+    for owner, first, last, h in notices(pa.array([text for _, text in said]), model.seeds):
+        for i, a, b in zip(owner, first, last):
+            rows.append(h[a:b])
+            y.append(said[i][0])
+    for _, first, last, h in notices(pa.array(unknown, pa.large_string()), model.seeds):
+        for a, b in zip(first, last):
+            if max(model.share(k, h[a:b]) for k in range(1, len(families))) < LEAST_SHARE:
+                rows.append(h[a:b])
+                y.append(0)
     label = np.array(y)
-    held = np.arange(len(label)) % 5 == 4
-    w = np.zeros((x.shape[1], len(families)), np.float32)
-    velocity = np.zeros_like(w)
-    goal = np.eye(len(families), dtype=np.float32)[label]
-    share = (1 / np.bincount(label, minlength=len(families)))[label].astype(np.float32)
-    share = (share / share[~held].sum())[:, None]
-    for _ in range(rounds):
-        z = x[~held] @ w
+    ends = np.cumsum([len(r) for r in rows])
+    sparse = _features(terms, np.concatenate(rows), ends - [len(r) for r in rows], ends)
+    d, classes = len(terms) + 2, len(families)
+
+    def trained(use: np.ndarray) -> np.ndarray:
+        place = np.cumsum(use) - 1
+        own = use[sparse[0]]
+        return _softmax(place[sparse[0][own]], sparse[1][own], sparse[2][own], label[use], d, classes)
+
+    strangers = []
+    for fold in range(FOLDS):
+        out = (label > 0) & (label % FOLDS == fold)
+        w = trained(~out)
+        z = np.zeros((len(label), classes))
+        np.add.at(z, sparse[0], w[sparse[1]] * sparse[2][:, None])
+        z[:, [k for k in range(1, classes) if k % FOLDS == fold]] = -1e9  # what training has not seen has no weights
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        velocity = 0.9 * velocity - 3.0 * (x[~held].T @ (share[~held] * (p - goal[~held])) + 1e-5 * w)
-        w += velocity
-    z = x[held] @ w
-    margin = z[:, 1:].max(1) - z[:, 0]
-    none, some = margin[label[held] == 0], margin[label[held] > 0]
-    shift = np.quantile(none, 0.95) if len(none) else 0.0
-    if len(some):
-        shift = min(shift, np.quantile(some, 0.05))
-    w[-1, 0] += max(0.0, float(shift))
-    return Model(terms, w.astype(float), families, templates)
+        for i in np.flatnonzero(out):
+            best = p[i].argmax()
+            confirmed = best > 0 and model.share(best, rows[i]) >= LEAST_SHARE
+            strangers.append(p[i, best] if confirmed else 0.0)
+    model.weights = trained(np.ones(len(label), bool))
+    model.least_chance = float(np.clip(np.quantile(strangers, REFUSED) + 1e-6, *CHANCES))
+    model.refused = float((np.array(strangers) < model.least_chance).mean())
+    return model
 
 
 def train(docs: DataFrame, most: int = UNKNOWN) -> Model:
     """A model whose unknown class has seen one paragraph each of at most ``most`` documents, those with the smallest digests.
 
-    A paragraph that shares three words in a row with a template is left out.
+    Keys are ordered alone; the texts of those chosen are fetched by a broadcast of the keys and cut to a paragraph where they are.
     """
+    keys = docs.where("doc_id is not null").select("doc_id", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("at")).distinct().orderBy("at", "doc_id").limit(most)
     paragraph = F.expr("try_element_at(filter(split(text, '\\n'), p -> length(p) > 20 and length(p) < 1000), 1)")
-    drawn = docs.where("text is not null and doc_id is not null").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("at"), "doc_id", "text")
-    rows = drawn.orderBy("at", "doc_id").limit(most).select(paragraph.alias("p")).where("p is not null").orderBy("p").collect()
-    said = {" ".join(w[i : i + 3]) for own in TEMPLATES.values() for s in own for w in [s.lower().split()] for i in range(len(w) - 2)}
-    clean = []
-    for r in rows:
-        w = r.p.lower().split()
-        if not any(" ".join(w[i : i + 3]) in said for i in range(len(w) - 2)):
-            clean.append(r.p)
-    return fit(clean)
+    rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id", "left_semi").select(paragraph.alias("p")).where("p is not null").distinct().orderBy("p").collect()
+    return fit([r.p for r in rows])
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs``, and n_licences (paragraphs), licences (families, sorted, comma-joined), chance, share.
+    """All columns of ``docs``, and n_licences (notices), licences (families, sorted, comma-joined), chance, share.
 
-    ``chance`` and ``share`` are those of the likeliest paragraph, or 0. Paragraphs are lines; whole texts are read. Null and
+    ``chance`` and ``share`` (of a template, that the notice holds) are those of the likeliest notice, or 0; of equal ones
+    the first. Whole texts are read; notices of a paragraph with few words between them are one. Null and
     empty texts have none; repeated rows each get their result; columns named like a result are replaced; an empty table
     gives no rows.
     """
