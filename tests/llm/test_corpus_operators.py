@@ -348,6 +348,24 @@ def test_cross_parsing_counts_longest_matches():
         assert model.phrases(code, first)[0, 0] == greedy_phrases(text, sample)
 
 
+def test_automaton_holds_all_substrings_and_no_others():
+    rng = random.Random(9)
+    codes = np.array([rng.randrange(1, 6) for _ in range(120)])
+    found = langid.suffix_automaton(codes, 7)
+    inside = {tuple(codes[i:j]) for i in range(120) for j in range(i + 1, min(120, i + 9) + 1)}
+    for _ in range(3000):
+        word, state = tuple(rng.randrange(0, 7) for _ in range(rng.randrange(1, 8))), 0
+        for c in word:
+            at = found.base[state] + c
+            state = found.target[at] if state >= 0 and found.owner[at] == state else -1
+            if state < 0:
+                break
+        assert (state >= 0) == (word in inside)
+    # a long text gives a span from a drawn place, others their fair share
+    model = langid.fit({"x": ["ab" * 9000 + "c" * 9000, "d" * 50]}, chars=1000)
+    assert model.sizes[0] <= 1001
+
+
 def test_language(spark, none):
     model = langid.fit({"en": ["the rain and the river of the lamp "] * 20, "de": ["der wald und die wolke über dem fluss "] * 20})
     said = {0: "the river of rain", 1: "über die Wolke und der Fluss", 2: None, 3: "", 4: "12 !?", 5: "the lamp " * 40_000}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +27,54 @@ LANE = 512
 BLOCK = 1 << 20
 
 
-def suffix_automaton(codes: np.ndarray, size: int) -> np.ndarray:
-    """Transitions (state, code) of the automaton of all substrings of ``codes``; -1 where there is none; state 0 begins."""
+@dataclass
+class Automaton:
+    """Transitions of states whose rows lie over each other in one array: that of a state s by a code c is at base[s] + c, if it is
+    owned by s. So an automaton takes about 12 bytes a transition (at most three a character), however many letters there are."""
+
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+
+    def root(self, size: int) -> np.ndarray:
+        """The first state's transitions by code; -1 where there is none."""
+        at = self.base[0] + np.arange(size)
+        return np.where(self.owner[at] == 0, self.target[at], -1)
+
+
+def overlaid(moves: list[dict[int, int]], size: int) -> Automaton:
+    """Rows laid into the first gap that takes all their codes, those with most codes first."""
+    taken, free = 0, 1
+    slots = bytearray([free]) * (2 * sum(map(len, moves)) + 2 * size)
+    base = [0] * len(moves)
+    at, degree = 0, 0
+    for s in sorted(range(len(moves)), key=lambda k: (-len(moves[k]), k)):
+        codes = sorted(moves[s])
+        if not codes:
+            continue
+        if len(codes) != degree:  # rows of as many codes find nothing where the last one did not
+            at, degree = 0, len(codes)
+        at = max(at, codes[0])
+        while True:
+            if at + 2 * size > len(slots):
+                slots += bytearray([free]) * len(slots)
+            at = slots.find(free, at)
+            if all(slots[at - codes[0] + c] for c in codes):
+                break
+            at += 1
+        base[s] = at - codes[0]
+        for c in codes:
+            slots[base[s] + c] = taken
+    end = max(base) + size
+    owner, target = np.full(end, -1, np.int32), np.zeros(end, np.int32)
+    for s, row in enumerate(moves):
+        for c, to in row.items():
+            owner[base[s] + c], target[base[s] + c] = s, to
+    return Automaton(np.array(base, np.int32), owner, target)
+
+
+def suffix_automaton(codes: np.ndarray, size: int) -> Automaton:
+    """The automaton of all substrings of ``codes``, which are below ``size``; state 0 begins."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes.tolist():
@@ -53,11 +100,7 @@ def suffix_automaton(codes: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    out = np.full((len(moves), size), -1, np.int32)
-    for s, m in enumerate(moves):
-        for c, t in m.items():
-            out[s, c] = t
-    return out
+    return overlaid(moves, size)
 
 
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +126,7 @@ def letter_ids(texts: list[str]) -> np.ndarray:
 class Model:
     ids: np.ndarray
     languages: list[str]
-    tables: list[np.ndarray]
+    tables: list[Automaton]
     sizes: list[int]
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +152,7 @@ class Model:
         live = np.searchsorted(-size, -np.arange(LANE), "left")  # lanes that are longer than t
         out = np.zeros((len(lengths), len(self.tables)))
         for k, table in enumerate(self.tables):
-            flat, root, width = table.ravel(), table[0], table.shape[1]
+            root = table.root(LETTERS + 1)
             state, count = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
             for t in range(LANE):
                 n = int(live[t])
@@ -117,11 +160,11 @@ class Model:
                     break
                 c = code[start[:n] + t]
                 s = state[:n]
-                to = flat[s * width + c]
-                miss = to < 0
+                at = table.base[s] + c
+                miss = table.owner[at] != s
                 again = root[c]
                 count[:n] += miss * ((s > 0).astype(np.int64) + (again < 0))
-                state[:n] = np.where(miss, np.maximum(again, 0), to)
+                state[:n] = np.where(miss, np.maximum(again, 0), table.target[at])
             count += state > 0
             out[:, k] = np.bincount(owner, count, len(lengths))
         return out
@@ -153,16 +196,16 @@ class Model:
 
 
 def fit(texts: dict[str, list[str]], chars: int = CHARS_A_LANGUAGE) -> Model:
-    """An automaton a language, of whole texts as far as they fit in ``chars``; of a single longer one where none does."""
+    """An automaton a language, of ``chars`` characters at most, shared among its texts: short ones are taken whole, of the
+    others a span each of what is left for them, from a place that the text's digest draws."""
     used: dict[str, list[str]] = {}
     for language in sorted(texts):
-        total, used[language] = 0, []
-        for t in texts[language]:
-            if total + len(t) <= chars:
-                used[language].append(t)
-                total += len(t)
-        if not used[language]:
-            used[language] = [t[:chars] for t in texts[language][:1]]
+        left, used[language] = chars, []
+        for k, t in enumerate(sorted(texts[language], key=lambda t: (len(t), t))):
+            share = min(len(t), left // (len(texts[language]) - k))
+            at = zlib.crc32(t.encode("utf-8", "surrogatepass")) % (len(t) - share + 1)
+            used[language].append(t[at : at + share])
+            left -= share
     model = Model(letter_ids([t for own in used.values() for t in own]), [], [], [])
     for language, own in used.items():
         code, _ = model.codes([" ".join(own)])
@@ -170,10 +213,6 @@ def fit(texts: dict[str, list[str]], chars: int = CHARS_A_LANGUAGE) -> Model:
             model.languages.append(language)
             model.tables.append(suffix_automaton(code, LETTERS + 1))
             model.sizes.append(len(code))
-    # ids that no text of the sample has need no columns
-    width = max((int(np.flatnonzero((t >= 0).any(0)).max()) for t in model.tables), default=0) + 2
-    model.ids = np.minimum(model.ids, width - 1).astype(np.uint8)
-    model.tables = [np.ascontiguousarray(t[:, :width]) for t in model.tables]
     return model
 
 
