@@ -240,16 +240,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     return table(both.where((100 + percent) * common >= percent * (F.size("set_a") + F.size("set_b"))).select(pairs["*"]))
 
 
-def _lists_of_two(tokens: DataFrame) -> DataFrame:
+def _lists_of_two(tokens: DataFrame, percent: int) -> DataFrame:
     """The distinct ``tokens`` (token, gid, n, early, common) that more than one group holds, with the length of the list (df) and
     the group (lead) that has the least gid.
 
-    Lists of one are the most by far and go first. A common shingle's list may be long: its lead comes from partial
+    Lists of one are the most by far and go first. With them go, from lists of rare shingles, groups with no other of a size
+    that allows a link beside them: if neither the next smaller nor the next larger size does, none does. A common shingle's list may be long: its lead comes from partial
     aggregates and is broadcast (there are at most MOST_FREQUENT of them), so its rows stay where they are.
     """
     within = Window.partitionBy("token")
     ends = {"lead": F.min(F.struct("gid", "n")), "last": F.max("gid"), "df": F.count("*")}
-    rare = tokens.where("not common").select("*", *(f.over(within).alias(a) for a, f in ends.items()))
+    by_size = within.orderBy("n")
+    rare = tokens.where("not common").select("*", F.lag("n").over(by_size).alias("below"), F.lead("n").over(by_size).alias("above"))
+    rare = rare.select("*", *(f.over(within).alias(a) for a, f in ends.items()))
+    rare = rare.where((F.col("below") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("above") * percent)).drop("below", "above")
     usual = tokens.where("common")
     usual = usual.join(F.broadcast(usual.groupBy("token").agg(*(f.alias(a) for a, f in ends.items()))), "token")
     # each part for itself: the first is dealt by token already
@@ -336,7 +340,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # copies in other tasks bring a prefix again: those go where lists are formed
     tokens = worded.where("prefix is not null").select("gid", "n", (F.size("prefix") - F.col("common")).alias("rare"), F.posexplode("prefix").alias("pos", "token"))
     early = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
-    live = table(_lists_of_two(tokens.select("token", "gid", "n", early.alias("early"), (F.col("pos") >= F.col("rare")).alias("common"))))
+    live = table(_lists_of_two(tokens.select("token", "gid", "n", early.alias("early"), (F.col("pos") >= F.col("rare")).alias("common")), percent))
 
     alike = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)  # noqa: E731  sizes that allow a link
     stars = live.where((F.col("gid") != F.col("lead.gid")) & alike(F.col("n"), F.col("lead.n")))
