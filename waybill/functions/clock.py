@@ -89,8 +89,8 @@ def era_day(text: Column) -> Column:
     era, year = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
     base = F.when(era == "平", 1988).when(era == "令", 2018)
     number = F.when(year == "元", 1).otherwise(year.try_cast("int"))
-    date = F.try_make_date(base + number, F.regexp_extract(text, pattern, 3).try_cast("int"), F.regexp_extract(text, pattern, 4).try_cast("int"))
-    return F.when(text.rlike(pattern), date)
+    month, day = (F.regexp_extract(text, pattern, k).try_cast("int") for k in (3, 4))
+    return F.when(text.rlike(pattern), F.format_string("%04d-%02d-%02d", base + number, month, day).try_cast("date"))
 
 
 def local_day(instant: Column, zone: str) -> Column:

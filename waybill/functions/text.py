@@ -130,3 +130,8 @@ def line_name(value: Column) -> Column:
     """Canonical line name: trimmed, NFKC, a trailing 本線 is 線."""
     folded = nfkc(F.trim(value))
     return F.when(folded.endswith("本線"), F.concat(F.substring(folded, F.lit(1), F.char_length(folded) - 2), F.lit("線"))).otherwise(folded)
+
+
+def utf16_key(value: Column) -> Column:
+    """A key whose order is that of the text's UTF-16 code units."""
+    return F.encode(value, "UTF-16BE")
