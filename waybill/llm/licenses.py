@@ -20,8 +20,8 @@ UNKNOWN = 1_500
 VARIANTS = 14
 #: Folds of families that are left out in turn to set the least chance, and the share of their notices that it must refuse.
 FOLDS, REFUSED = 4, 0.95
-#: Least chance of a family before calibration, and the range that calibration may move it in.
-CHANCES = (0.5, 0.85)
+#: Least chance of a family before calibration.
+CHANCE = 0.5
 #: Least share of a template's word pairs that a notice must hold, and so many pairs at least.
 LEAST_SHARE = 0.6
 LEAST_PAIRS = 2
@@ -35,6 +35,8 @@ TEMPLATES = {
         "You should have received a copy of the GNU Affero General Public License along with this program.",
         "Licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "License: AGPL-3.0",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -43,13 +45,22 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache License Version 2.0, January 2004",
+        "License: Apache-2.0",
+        "License: Apache 2.0",
+    ),
+    "BSD-2-Clause": (
+        "Released under the BSD 2-Clause License.", "Licensed under the Simplified BSD License.", "SPDX-License-Identifier: BSD-2-Clause",
+        "BSD 2-Clause License",
+        "License: BSD-2-Clause",
     ),
-    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", "Licensed under the Simplified BSD License.", "SPDX-License-Identifier: BSD-2-Clause"),
     "BSD-3-Clause": (
         "Released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD 3-Clause License",
+        "License: BSD-3-Clause",
     ),
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
@@ -66,32 +77,45 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.",
         "Released under the CC0 1.0 Universal Public Domain Dedication.",
         "SPDX-License-Identifier: CC0-1.0",
+        "License: CC0-1.0",
     ),
     "EPL-2.0": (
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
         "Licensed under the Eclipse Public License, version 2.0.",
         "SPDX-License-Identifier: EPL-2.0",
+        "Eclipse Public License - v 2.0",
+        "License: EPL-2.0",
     ),
     "GPL-2.0": (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "Licensed under the GNU General Public License, version 2.",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "Licensed under GPLv2 or later.",
+        "License: GPL-2.0",
     ),
     "GPL-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU GPL v3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "Licensed under GPLv3 or later.",
+        "License: GPL-3.0",
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Released under the ISC License.",
         "SPDX-License-Identifier: ISC",
+        "ISC License",
+        "License: ISC",
     ),
     "LGPL": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "License: LGPL-2.1",
     ),
     "MIT": (
         "Released under the MIT License.",
@@ -99,20 +123,29 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
+        "The MIT License (MIT)",
+        "MIT License",
+        "License: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License Version 2.0",
+        "License: MPL-2.0",
     ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain.",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
         "SPDX-License-Identifier: Unlicense",
+        "License: Unlicense",
     ),
     "Zlib": (
         "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
         "SPDX-License-Identifier: Zlib",
+        "zlib License",
+        "License: Zlib",
     ),
     "proprietary": (
         "All rights reserved.",
@@ -128,6 +161,8 @@ OTHERS = (
     "Permission is hereby granted to any person to leave the hall free of charge.",
     "The museum is open to the general public, version two of the plan says.",
     "All rights reserved for members of the society are listed here.",
+    "The museum was full. All rights reserved seats were gone.",
+    "All rights reserved tables had been taken by members.",
     "All seats and rights are reserved for members of the society.",
     "The work is distributed over several software projects.",
     "This file lists the conditions of the roads.",
@@ -192,7 +227,7 @@ class Model:
     weights: np.ndarray
     families: list[str]
     templates: list[tuple[int, np.ndarray]]
-    least_chance: float = CHANCES[0]
+    least_chance: float = CHANCE
     refused: float = 0.0
 
     def chances(self, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -285,8 +320,7 @@ def fit(unknown: list[str], seed: int = 0) -> Model:
     The first class is the unknown: sentences that only sound like licences, and notices found in ``unknown`` paragraphs of
     the corpus that no template confirms. The least chance is set on families that training has not seen: in FOLDS rounds a
     part of the families is left out, and their notices, which should stay unknown, get chances; the least one that
-    refuses REFUSED of them is taken, within CHANCES. ``refused`` is the share that it does refuse: less than asked where a
-    left-out family shares its notices' words with another, as AGPL does with GPL.
+    refuses REFUSED of them is taken, from CHANCE up. ``refused`` is the share that it does refuse.
     """
     rng = random.Random(seed)
     families = ["unknown", *sorted(TEMPLATES)]
@@ -331,7 +365,7 @@ def fit(unknown: list[str], seed: int = 0) -> Model:
             confirmed = best > 0 and model.share(best, rows[i]) >= LEAST_SHARE
             strangers.append(p[i, best] if confirmed else 0.0)
     model.weights = trained(np.ones(len(label), bool))
-    model.least_chance = float(np.clip(np.quantile(strangers, REFUSED) + 1e-6, *CHANCES))
+    model.least_chance = max(CHANCE, float(np.quantile(strangers, REFUSED)) + 1e-9)
     model.refused = float((np.array(strangers) < model.least_chance).mean())
     return model
 
