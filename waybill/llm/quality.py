@@ -21,6 +21,8 @@ NEIGHBOURS = 25
 BUCKETS = 1 << 11
 _LAST, _CASE, _AGAIN, _LENGTH, _PAIR = 256, 4, 2, 16, 64
 TERMS = BUCKETS + _LAST + _CASE + _AGAIN + _LENGTH + _PAIR
+#: Score of texts that no voter is like, however many voters of each class are drawn.
+UNDIRECTED = 0.5
 #: Documents of a block of cosine products.
 BLOCK = 512
 
@@ -75,7 +77,7 @@ class Model:
         parts = [np.zeros(0)]
         for counts in term_counts(column):
             if not len(self.labels):
-                parts.append(np.full(len(counts), 0.5))
+                parts.append(np.full(len(counts), UNDIRECTED))
                 continue
             near = self.latent(counts) @ self.vectors.T
             k = min(self.neighbours, near.shape[1])
@@ -83,7 +85,7 @@ class Model:
             weight = np.maximum(near, 0.0) ** 2
             weight = np.where(near >= last, weight**4, 0)  # all that tie with the last one vote
             total = weight.sum(1)
-            parts.append(np.where(total > 0, (weight @ self.labels) / np.maximum(total, 1e-30), self.labels.mean()))
+            parts.append(np.where(total > 0, (weight @ self.labels) / np.maximum(total, 1e-30), UNDIRECTED))
         return np.clip(np.concatenate(parts), 0.0, 1.0)
 
 
@@ -104,8 +106,8 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns of ``docs`` and a score from 0 to 1, higher for likelier good, one row per row.
 
     Each whole text is compared with every voter, a block of texts at a time. All voters that tie with the last neighbour
-    vote. Null and empty texts, and others that no voter is like, have no direction: their score is the share of label 1
-    among the voters, or 0.5 without voters. Repeated rows each get theirs; a column of the score's name is replaced; an
+    vote. Null and empty texts, and others that no voter is like, have no direction: their score is UNDIRECTED,
+    as without voters. Repeated rows each get theirs; a column of the score's name is replaced; an
     empty table gives no rows.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
