@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- tables
@@ -175,14 +175,18 @@ APART[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 #: Bytes of text that a sample brings to the driver, at most; half for each class.
 MOST_BYTES = 16 << 20
+#: A text takes this part of its class's bytes at most.
+MOST_SHARE = 16
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, use: Column, per_class: int, most_bytes: int = MOST_BYTES) -> tuple[list[str], np.ndarray]:
     """Texts and 0/1 labels of at most ``per_class`` documents of each class, those whose key's digest is smallest.
 
-    Only rows of ``labels`` where ``use`` holds take part. The keys, at most 2 * per_class, are broadcast to fetch the texts;
-    of these, whole ones are taken by digest while a class's stay within half of ``most_bytes``. Of repeated keys, one label
-    and one text count.
+    Only rows of ``labels`` where ``use`` holds take part. The keys, at most 2 * per_class, are broadcast, first for the
+    texts' sizes; whole texts are then chosen in the order of the digests while they fit in half of ``most_bytes`` for each
+    class, and fetched. A text that does not fit, or takes more than a MOST_SHARE-th of its class's bytes, is passed over and
+    the next ones go on; a class of such texts alone has the smallest of them that fit. Of repeated keys, one label and the
+    smallest text count.
     """
     ranked = labels.where(use & F.col("doc_id").isNotNull()).select("doc_id", F.col(target).alias("label"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("at"))
     ids: dict[int, tuple[int, str]] = {}
@@ -191,10 +195,23 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, use: Column
             ids.setdefault(r.doc_id, (label, r.at))
     if not ids:
         return [], np.zeros(0)
-    keys = docs.sparkSession.createDataFrame([(k, *v) for k, v in ids.items()], "doc_id long, label int, at string")
-    rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").groupBy("doc_id", "label", "at").agg(F.min("text").alias("text"))
-    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("label").orderBy("at", "doc_id"))
-    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes // 2).select("doc_id", "label", "text").orderBy("doc_id").toArrow()
+    spark = docs.sparkSession
+    known = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("told"), "text")
+    keys = spark.createDataFrame([(k,) for k in ids], "doc_id long")
+    sizes = known.drop("text").join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min(F.struct("size", "told")).alias("m")).select("doc_id", "m.*").collect()
+    chosen = []
+    for label in (0, 1):
+        own = sorted((r for r in sizes if ids[r.doc_id][0] == label), key=lambda r: (ids[r.doc_id][1], r.doc_id))
+        short = [r for r in own if r.size <= most_bytes // (2 * MOST_SHARE)]
+        left = most_bytes // 2
+        for r in short or sorted(own, key=lambda r: r.size):
+            if r.size <= left:
+                left -= r.size
+                chosen.append((r.doc_id, r.size, r.told, label))
+    if not chosen:
+        return [], np.zeros(0)
+    wanted = F.broadcast(spark.createDataFrame(chosen, "doc_id long, size int, told long, label int"))
+    rows = known.join(wanted, ["doc_id", "size", "told"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()
     return [t or "" for t in rows.column("text").to_pylist()], rows.column("label").to_numpy().astype(float)
 
 
