@@ -398,7 +398,8 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component of ``similar``: its smallest doc_id, of equal ones the smallest text hash.
+    """``docs`` with one row of each component of ``similar``: its smallest doc_id, of equal ones the smallest text hash, of
+    rows equal in both the one whose digest of all columns is smallest.
 
     Texts without words all stay. A null doc_id comes after all others. The rows that go are joined against the documents,
     broadcast up to MOST_BROADCAST of them.
@@ -411,12 +412,17 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     )
     gone = table(keys.where("not stays or n > 1"))
     side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text")).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._text_hash") == F.col("g.text_hash"))
-    rest = hashed.join(side.alias("g"), same, "left_anti")
-    # of repeated rows one stays
-    again = hashed.join(side.where("stays").alias("g"), same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    return rest.unionByName(again).drop("_text_hash")
+    name = "_text_hash"
+    while name in docs.columns:
+        name += "_"
+    hashed = docs.withColumn(name, F.xxhash64("text")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{name}") == F.col("g.text_hash"))
+    rest = hashed.join(side.alias("g"), same, "left_anti").drop(name)
+    # of repeated rows one stays; which one is told by all that it holds, so that reruns agree
+    told = F.xxhash64(F.lit(0), *[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = hashed.join(side.where("stays").alias("g"), same, "left_semi").groupBy("doc_id", name).agg(F.min_by(row, told).alias("row"))
+    return rest.unionByName(again.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
