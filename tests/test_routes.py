@@ -72,15 +72,15 @@ def test_with_changes(spark):
 
 def test_cheapest_chain(spark):
     r = random.Random(4)
-    rows = [(j, layer, k, r.randrange(3), r.randrange(3), r.randrange(5)) for j in range(60) for layer in range(r.randrange(1, 6)) for k in range(r.randrange(1, 5))]
-    rows = [x for x in rows if not (x[0] == 7 and x[1] == 1)]
-    got = {x.j: (x.cost, x.chain) for x in chains.cheapest_chain(spark.createDataFrame(rows, "j int, layer int, id int, a int, b int, cost int").repartition(3), "j").collect()}
+    of = {j: r.randrange(1, 6) for j in range(60)}
+    rows = [(j, of[j], layer, k, r.randrange(3), r.randrange(3), r.randrange(5)) for j in range(60) for layer in range(1, of[j] + 1) for k in range(r.randrange(0 if j % 9 == 0 else 1, 5))]
+    df = spark.createDataFrame(rows, "j int, of int, layer int, id int, a int, b int, cost int").repartition(3)
+    got = {x.j: (x.cost, x.chain) for x in chains.cheapest_chain(df, "j").collect()}
     for j in range(60):
-        layers = [[x for x in rows if x[0] == j and x[1] == n] for n in sorted({x[1] for x in rows if x[0] == j})]
-        ways = [(sum(x[5] for x in way), [x[2] for x in way]) for way in itertools.product(*layers) if all(p[4] == q[3] for p, q in zip(way, way[1:]))]
-        gap = j == 7 and max(x[1] for x in rows if x[0] == 7) > 0
-        assert got.get(j) == (min(ways) if ways and not gap else None)
-    assert any(j not in got for j in range(60))
+        layers = [[x for x in rows if x[0] == j and x[2] == n] for n in range(1, of[j] + 1)]
+        ways = [(sum(x[6] for x in way), [x[3] for x in way]) for way in itertools.product(*layers) if all(p[5] == q[4] for p, q in zip(way, way[1:]))]
+        assert got.get(j) == (min(ways) if ways else None)
+    assert 10 < len(got) < 60
 
 
 def test_embedded(spark):
@@ -184,3 +184,25 @@ def test_one_to_one(spark):
     for i, (d, j) in sorted(best.items(), key=lambda x: (x[1][0], x[0])):
         taken.setdefault(j, (i, j, d))
     assert sorted(map(tuple, greedy.nearest_once(near).collect())) == sorted(taken.values())
+
+
+def test_nearest_segment(spark):
+    from waybill.operators import shapes
+
+    r = random.Random(9)
+    dots = [(i, r.uniform(-2, 2), r.uniform(-2, 2)) for i in range(200)]
+    ends = [(i, *[r.uniform(-2, 2) for _ in range(4)]) for i in range(60)]
+    ends += [(60, 0.0, 0.0, 0.0, 0.0), (61, -0.3, 0.3, 1.8, 0.3), (62, -0.3, 0.3, 1.8, 0.3), (63, 0.6, -2.0, 0.6, 2.0)]
+    found = shapes.nearest_segment(spark.createDataFrame(dots, "p int, x double, y double"), spark.createDataFrame(ends, "s int, ax double, ay double, bx double, by double"), "p", "s", 0.3)
+    got = {x.p: (x.s, x.distance) for x in found.collect()}
+    for i, x, y in dots:
+        best = None
+        for k, ax, ay, bx, by in ends:
+            square = (bx - ax) ** 2 + (by - ay) ** 2
+            at = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / square)) if square else 0.0
+            d = ((x - ax - at * (bx - ax)) ** 2 + (y - ay - at * (by - ay)) ** 2) ** 0.5
+            if d <= 0.3 and (best is None or d < best[1]):
+                best = (k, d)
+        assert (best is None) == (i not in got)
+        if best:
+            assert got[i][0] == best[0] and got[i][1] == pytest.approx(best[1])

@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from waybill.functions import text
@@ -20,6 +21,35 @@ def test_gtfs_table(spark, tmp_path):
     assert files.gtfs_table(spark, f"{tmp_path}/*.zip", "shapes", ["shape_id"]).count() == 0
 
 
+def test_nested_feeds_and_bad_bytes(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "n.zip", "w") as z:
+        z.writestr("deep/er/stops.txt", "stop_id\nwrong\n")
+        z.writestr("feed/stops.txt", b"\xef\xbb\xbfstop_id,stop_name\n1,caf\xe9\n2, ok \n")
+    got = files.gtfs_table(spark, str(tmp_path / "n.zip"), "stops", ["stop_id", "stop_name"]).orderBy("stop_id").collect()
+    assert [(r.stop_id, r.stop_name) for r in got] == [("1", "caf\ufffd"), ("2", "ok")]
+    assert files.gtfs_table(spark, str(tmp_path / "n.zip"), "trips", ["trip_id"]).count() == 0
+
+
+def test_ledger_rejects(spark, tmp_path):
+    (tmp_path / "l.jsonl").write_text('{"id": 1, "name": "a"}\nnot json\n{"id": "x", "name": "b"}\n{"id": 2}\n')
+    glob, schema = str(tmp_path / "*.jsonl"), "id long, name string"
+    assert sorted(r.id for r in files.ledger(spark, glob, schema).collect()) == [1, 2]
+    bad = files.ledger_rejects(spark, glob, schema).collect()
+    assert sorted(r.line for r in bad) == sorted(["not json", '{"id": "x", "name": "b"}'])
+    assert all(r.file.endswith("l.jsonl") for r in bad)
+
+
+def test_changed_parts_refuse_other_faults(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "day=1").mkdir()
+    (tmp_path / "t" / "other=1").mkdir()
+    for d in ("day=1", "other=1"):
+        spark.range(1).withColumn("v", F.lit("a")).write.mode("overwrite").parquet(str(tmp_path / "t" / d))
+    new = spark.createDataFrame([(1, 1, "a")], "id long, day int, v string")
+    with pytest.raises(Exception, match="(?i)partition|conflict"):
+        files.write_changed_parts(new, str(tmp_path / "t"), "day", "id")
+
+
 def test_geojson_and_package(spark, tmp_path):
     features = [
         {"type": "Feature", "id": "a", "properties": {"name": "x"}, "geometry": {"type": "LineString", "coordinates": [[139.5, 35], [-1e-3, 36.25]]}},
@@ -124,16 +154,8 @@ def plain_dp(points, eps):
     return kept
 
 
-def test_polylines_and_containment(spark):
+def test_polylines(spark):
     path = [(float(k), float((k * 37) % 11) / 4) for k in range(60)]
     d = spark.createDataFrame([("p", k, x, y) for k, (x, y) in enumerate(path)] + [("q", 0, 1.0, 1.0)], "label string, k int, x double, y double")
     got = shapes.simplified(d, ["label"], "k", "x", "y", 0.7)
     assert {r.k for r in got.where("label = 'p'").collect()} == plain_dp(path, 0.7)
-    rows = [(1, "g", 1.0, [1, 2]), (2, "g", 2.0, [1, 2, 3]), (3, "g", 3.0, [2, 3]), (4, "g", 4.0, [9]), (5, "h", 1.0, [2])]
-    d = spark.createDataFrame(rows, "id int, grp string, rank double, items array<int>")
-    kept, ids = [], set()
-    for i, g, _, items in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
-        if not any(g == h and set(items) <= set(x) for h, x in kept):
-            kept.append((g, items))
-            ids.add(i)
-    assert {r.id for r in shapes.without_contained(d, "grp", "rank", "id", "items").collect()} == ids

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EARTH_M = 6_371_000.0
 KM_A_DEGREE_EAST, KM_A_DEGREE_NORTH = 111.32, 110.574
@@ -26,11 +24,6 @@ def round_up_half(x: Column, digits: int = 0) -> Column:
     return F.floor(x * 10**digits + 0.5) / 10**digits
 
 
-def quantised(x: Column) -> Column:
-    """On the grid of five decimals."""
-    return round_up_half(x, 5)
-
-
 def undirected(a: Column, b: Column) -> tuple[Column, Column]:
     """Both ends in order: numbers by value, texts by bytes, structs by fields."""
     return F.least(a, b), F.greatest(a, b)
@@ -53,16 +46,6 @@ def box_distance(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1:
     return F.sqrt(F.pow(F.greatest(x0 - px, F.lit(0.0), px - x1), 2) + F.pow(F.greatest(y0 - py, F.lit(0.0), py - y1), 2))
 
 
-def simplify(tolerance: float):
-    """Douglas-Peucker over arrays of x and y: the places kept. A tolerance of 0 or less keeps all."""
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def places(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([kept_places(x, y, tolerance) for x, y in zip(xs, ys, strict=True)])
-
-    return places
-
-
 def kept_places(x, y, tolerance: float) -> list[int]:
     n = len(x)
     if tolerance <= 0 or n <= 2:

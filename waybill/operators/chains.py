@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def cheapest_chain(candidates: DataFrame, journey: str) -> DataFrame:
     """(journey, cost, chain): the cheapest chain of one candidate a layer in which each begins where the one before ends.
 
-    ``candidates`` are (journey, layer, id, a, b, cost); layers are whole numbers without gaps, or a journey has no chain
-    and no row. Of equal costs the first ids win. The fold keeps one label for each place that a layer ends at, the best
+    ``candidates`` are (journey, of, layer, id, a, b, cost); a journey has layers 1 to ``of``, and no row where one of them
+    is without candidates. Of equal costs the first ids win. The fold keeps one label for each place that a layer ends at, the best
     predecessor's, so its work follows a layer's candidates, and a journey's layers are all that one row holds.
     """
-    c = candidates.select(journey, "layer", F.struct("a", "b", "cost", "id").alias("c"))
-    layers = c.groupBy(journey, "layer").agg(F.sort_array(F.collect_list("c")).alias("c"))
-    journeys = layers.groupBy(journey).agg(F.array_sort(F.collect_list(F.struct("layer", "c"))).alias("layers"))
-    whole = F.element_at("layers", -1)["layer"] - F.element_at("layers", 1)["layer"] + 1 == F.size("layers")
+    c = candidates.select(journey, "of", "layer", F.struct("a", "b", "cost", "id").alias("c"))
+    layers = c.groupBy(journey, "layer").agg(F.sort_array(F.collect_list("c")).alias("c"), F.max("of").alias("of"))
+    journeys = layers.groupBy(journey).agg(F.array_sort(F.collect_list(F.struct("layer", "c"))).alias("layers"), F.max("of").alias("of"))
+    whole = F.col("of") == F.size("layers")
 
     def labels(of: Column) -> Column:
         """Of labels that end at one place the least stays."""
@@ -136,23 +138,24 @@ def edge_walk(points: DataFrame, edges: DataFrame, journey: str, metres: Callabl
     """(journey, seq, kind, a, b, m, mask): ``walked`` for each journey of ``points`` (journey, pos, place) over ``edges`` (a, b, m, mask), a <= b.
 
     A journey meets only the edges both of whose ends are among its places, found by two joins; its points and those edges
-    are what a task holds of it. Journeys of one point have no rows; points without a place are passed over.
+    are one row, and rows go to Python in Arrow batches. Journeys of one point have no rows; points without a place are passed over.
     """
     own = points.where(F.col("place").isNotNull()).select(journey, "pos", "place")
     places = own.select(journey, "place").distinct()
     first = places.join(edges, F.col("place") == F.col("a")).select(journey, "a", "b", "m", "mask")
     known = first.join(places.select(journey, F.col("place").alias("b")), [journey, "b"]).select(journey, "a", "b", "m", "mask")
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-
-    def walk(calls: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        by = {(a, b): (m, mask) for a, b, m, mask in zip(found["a"], found["b"], found["m"], found["mask"])}
-        rows = list(walked(calls.sort_values("pos")["place"].tolist(), by, metres, bridge)) if len(calls) else []
-        out = pd.DataFrame(rows, columns=["kind", "a", "b", "m", "mask"])
-        out.insert(0, "seq", range(1, len(out) + 1))
-        out.insert(0, journey, calls[journey].iloc[0] if len(calls) else None)
-        return out
-
-    schema = f"{journey} {kinds[journey]}, seq int, kind string, a {kinds['place']}, b {kinds['place']}, m double, mask int"
-    return own.groupBy(journey).cogroup(known.withColumnRenamed(journey, "_journey").groupBy("_journey")).applyInPandas(walk, schema)
-
-
+    lists = own.groupBy(journey).agg(F.array_sort(F.collect_list(F.struct("pos", "place")))["place"].alias("points"))
+    lists = lists.join(known.groupBy(journey).agg(F.collect_list(F.struct("a", "b", "m", "mask")).alias("known")), journey, "left")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for who, places, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by = {(e["a"], e["b"]): (e["m"], e["mask"]) for e in found or ()}
+                rows += [(who, k, *row) for k, row in enumerate(walked(places, by, metres, bridge), 1)]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+            yield pa.record_batch([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema, strict=True)], names=schema.names)
+
+    schema = T.StructType.fromDDL(f"{journey} {kinds[journey]}, seq int, kind string, a {kinds['place']}, b {kinds['place']}, m double, mask int")
+    return lists.select(journey, "points", "known").mapInArrow(walk, schema)

@@ -48,16 +48,13 @@ def day_breaks(df: DataFrame, keys: list[str], order: list, minutes: str) -> Dat
     return df.withColumn("day", F.greatest(day, before)).withColumn("breaks", F.coalesce(day > before, F.lit(False)))
 
 
-def carried(minutes: Column) -> Column:
-    """Clocks of one journey, as an array, with a day added at each step back; nulls stay."""
-    first = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("add"), F.lit(-1).alias("last"))
-
-    def step(state: Column, m: Column) -> Column:
-        add = F.when(m.isNotNull() & (m + state["add"] < state["last"]), state["add"] + 1440).otherwise(state["add"])
-        value = (m + add).cast("int")
-        return F.struct(F.array_append(state["out"], value).alias("out"), add.cast("int").alias("add"), F.coalesce(value, state["last"]).cast("int").alias("last"))
-
-    return F.aggregate(minutes.cast("array<int>"), first, step, lambda s: s["out"])
+def carried(df: DataFrame, keys: list[str], order: list, minutes: str) -> DataFrame:
+    """``df`` with ``carried``: the clock with a day added for each step back so far; rows without a clock have none and are passed over."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before = F.last(minutes, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    back = F.coalesce((F.col(minutes) < before).cast("int"), F.lit(0))
+    days = F.sum("_back").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("_back", back).withColumn("carried", F.col(minutes) + 1440 * days).drop("_back")
 
 
 def votes(df: DataFrame, keys: list[str], journey: str, order: list, place: str, least: int, share: float) -> DataFrame:

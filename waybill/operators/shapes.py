@@ -79,19 +79,28 @@ def simplified(df: DataFrame, keys: list[str], order: str, x: str, y: str, toler
     return own.groupBy(*keys).applyInPandas(kept, schema)
 
 
-def without_contained(df: DataFrame, group: str, rank: str, id_: str, items: str) -> DataFrame:
-    """(group, id) of ranked sets that no better kept set of the group holds. Groups are the ranked few of one search."""
+def crossed(ax: Column, ay: Column, bx: Column, by: Column, cell: float) -> Column:
+    """Array of (cx, cy): the cells of a grid that a segment passes, column by column, so as many as it passes and not its box's."""
+    west, east = F.least(ax, bx), F.greatest(ax, bx)
+    slope = F.coalesce((by - ay) / F.nullif(bx - ax, F.lit(0.0)), F.lit(0.0))
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, sets = [], []
-        for r in pdf.sort_values([rank, id_]).itertuples(index=False):
-            own = set(getattr(r, items))
-            if not any(own <= s for s in sets):
-                kept.append((getattr(r, group), getattr(r, id_)))
-                sets.append(own)
-        return pd.DataFrame(kept, columns=[group, id_])
+    def column(cx: Column) -> Column:
+        low, high = F.greatest(west, cx * F.lit(cell)), F.least(east, (cx + 1) * F.lit(cell))
+        y0, y1 = F.when(ax == bx, ay).otherwise(ay + (low - ax) * slope), F.when(ax == bx, by).otherwise(ay + (high - ax) * slope)
+        # a hair more on either side, as ends are rounded
+        return F.transform(F.sequence(F.floor(F.least(y0, y1) / cell - 1e-9), F.floor(F.greatest(y0, y1) / cell + 1e-9)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
 
-    kinds = dict(df.dtypes)
-    return df.select(group, rank, id_, items).groupBy(group).applyInPandas(keep, f"{group} {kinds[group]}, {id_} {kinds[id_]}")
+    return F.flatten(F.transform(F.sequence(F.floor(west / cell - 1e-9), F.floor(east / cell + 1e-9)), column))
 
 
+def nearest_segment(points: DataFrame, lines: DataFrame, id_: str, seg: str, limit: float) -> DataFrame:
+    """(id, seg, distance): for each of ``points`` (id, x, y) the nearest of ``lines`` (seg, ax, ay, bx, by) within the limit; of equals the smallest.
+
+    Segments are dealt to the cells that they pass, points look into their own and the eight around: cells are as large as
+    the limit, so nothing nearer lies elsewhere. Points without a segment in reach have no row.
+    """
+    own = lines.select(seg, "ax", "ay", "bx", "by", F.explode(crossed(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), limit)).alias("c")).select(seg, "ax", "ay", "bx", "by", "c.cx", "c.cy")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    at = points.select(id_, "x", "y", around.alias("d")).select(id_, "x", "y", (F.floor(F.col("x") / limit) + F.col("d.i")).alias("cx"), (F.floor(F.col("y") / limit) + F.col("d.j")).alias("cy"))
+    met = at.join(own, ["cx", "cy"]).withColumn("distance", geo.segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])).where(F.col("distance") <= limit)
+    return met.groupBy(id_).agg(F.min(F.struct("distance", seg)).alias("n")).select(id_, F.col(f"n.{seg}").alias(seg), "n.distance")

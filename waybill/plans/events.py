@@ -280,15 +280,14 @@ def q_day_coverage(t):
 
 
 @query("""
-WITH m AS (SELECT user_id, ts, hour(ts) * 60 + minute(ts) AS m, (epoch(ts::DATE)::BIGINT // 86400) AS d FROM events),
-l AS (SELECT *, CASE WHEN m < lag(m) OVER (PARTITION BY user_id ORDER BY ts) THEN 1 ELSE 0 END AS back FROM m),
-s AS (SELECT *, (m + 1440 * sum(back) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING))::BIGINT AS c FROM l)
-SELECT user_id, string_agg(c::VARCHAR, ',' ORDER BY ts) AS clocks FROM s GROUP BY 1
+WITH m AS (SELECT event_id, user_id, ts, hour(ts) * 60 + minute(ts) AS m, (epoch(ts::DATE)::BIGINT // 86400) AS d FROM events),
+l AS (SELECT *, CASE WHEN m < lag(m) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS back FROM m),
+s AS (SELECT *, (m + 1440 * sum(back) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS c FROM l)
+SELECT event_id, c AS clock FROM s
 """)
 def q_midnight_carry(t):
     own = t.events.withColumn("m", F.hour("ts") * 60 + F.minute("ts"))
-    items = sequences.in_order(own, ["user_id"], ["ts"], "m", "items")
-    return items.select("user_id", F.array_join(sequences.carried(F.col("items")), ",").alias("clocks"))
+    return sequences.carried(own, ["user_id"], ["ts", "event_id"], "m").select("event_id", F.col("carried").alias("clock"))
 
 
 @query("""SELECT event_id, (props->>'$.k')::BIGINT AS k, json_keys(props)[1] AS keys, len(json_keys(props))::INT AS n_keys, 0 AS unknown FROM events""")

@@ -242,25 +242,26 @@ def q_cells_crossed(t):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 997 AS a, 1000 + l_partkey % 997 AS b FROM lineitem WHERE l_linenumber = 1 AND l_extendedprice > 90000),
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, -1 - (((epoch(o_orderdate) // 86400)::BIGINT * 5 + substr(o_orderpriority, 1, 1)::BIGINT - 1) * 1000 + floor(o_totalprice / 5000)::BIGINT) AS b FROM orders),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS there FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.there = u.a)
 SELECT node, min(there) AS component FROM r GROUP BY 1
 """)
 def q_line_components(t):
-    own = t.lineitem.where("l_linenumber = 1 and l_extendedprice > 90000").select((F.col("l_orderkey") % 997).alias("a"), (F.lit(1000) + F.col("l_partkey") % 997).alias("b"))
-    return relations.components(own)
+    """Customers and the kinds of orders (day, priority, price class) that link them."""
+    kind = (F.floor(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) / 86400) * 5 + F.substring("o_orderpriority", 1, 1).cast("long") - 1) * 1000 + F.floor(F.col("o_totalprice") / 5000)
+    return relations.components(t.orders.select(F.col("o_custkey").alias("a"), (F.lit(-1) - kind).alias("b")))
 
 
 @query("""
-WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 20 AS a, lead(l_suppkey % 20) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b, l_shipdate::DATE AS day FROM lineitem),
-t AS (SELECT DISTINCT p_partkey % 20 AS a, p_size % 20 AS b FROM part WHERE p_partkey % 3 = 0)
+WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 60 AS a, lead(l_suppkey % 60) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b, l_shipdate::DATE AS day FROM lineitem),
+t AS (SELECT DISTINCT p_partkey % 60 AS a, p_size AS b FROM part)
 SELECT p.a, p.b, CASE WHEN p.a = p.b THEN 'sameLine' WHEN t.a IS NOT NULL THEN 'throughService' ELSE 'none' END AS link, p.a = p.b AS allowed, count(*) AS n FROM p LEFT JOIN t ON p.a = t.a AND p.b = t.b WHERE p.b IS NOT NULL GROUP BY 1, 2, 3, 4
 """)
 def q_link_kind(t):
     """Same line, through service or none; only the same line gives physical permission."""
     w = Window.partitionBy("l_orderkey").orderBy(*CALL.split(", "))
-    pairs = t.lineitem.select((F.col("l_suppkey") % 20).alias("a"), F.lead(F.col("l_suppkey") % 20).over(w).alias("b")).where("b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
-    through = t.part.where("p_partkey % 3 = 0").select((F.col("p_partkey") % 20).alias("a"), (F.col("p_size") % 20).cast("long").alias("b")).distinct().withColumn("_t", F.lit(True))
+    pairs = t.lineitem.select((F.col("l_suppkey") % 60).alias("a"), F.lead(F.col("l_suppkey") % 60).over(w).alias("b")).where("b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
+    through = t.part.select((F.col("p_partkey") % 60).alias("a"), F.col("p_size").cast("long").alias("b")).distinct().withColumn("_t", F.lit(True))
     link = F.when(F.col("a") == F.col("b"), "sameLine").when(F.col("_t"), "throughService").otherwise("none")
     return pairs.join(through, ["a", "b"], "left").select("a", "b", link.alias("link"), (F.col("a") == F.col("b")).alias("allowed"), "n")
 
@@ -322,16 +323,16 @@ def q_line_names(t):
 
 
 @query("""
-WITH c AS (SELECT l_orderkey % 200 AS trip, row_number() OVER (PARTITION BY l_orderkey % 200 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, l_suppkey AS platform FROM lineitem),
-d AS (SELECT DISTINCT o_orderkey % 200 AS trip, o_orderdate::DATE AS day FROM orders WHERE o_orderdate < DATE '1995-02-01' AND o_orderdate >= DATE '1995-01-01')
+WITH c AS (SELECT l_orderkey AS trip, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, l_suppkey AS platform FROM lineitem),
+d AS (SELECT o_orderkey AS trip, unnest([o_orderdate::DATE, o_orderdate::DATE + 7]) AS day FROM orders)
 SELECT d.trip::VARCHAR || '@' || strftime(d.day, '%Y-%m-%d') AS occurrence_id, c.seq::BIGINT AS stop_sequence, CASE WHEN (d.trip + c.seq) % 14 = 0 THEN NULL WHEN (d.trip + c.seq) % 7 = 0 THEN -1 ELSE c.platform END AS platform FROM d JOIN c ON c.trip = d.trip
 """)
 def q_occurrences(t):
     """Calls of each trip and day, keyed trip@day; a day's overrides replace a platform or clear it."""
-    w = Window.partitionBy("trip_id").orderBy("l_orderkey", *CALL.split(", "))
-    lines = t.lineitem.withColumn("trip_id", F.col("l_orderkey") % 200)
+    w = Window.partitionBy("trip_id").orderBy(*CALL.split(", "))
+    lines = t.lineitem.withColumn("trip_id", F.col("l_orderkey"))
     own = lines.select("trip_id", F.row_number().over(w).cast("long").alias("stop_sequence"), F.col("l_suppkey").alias("platform"))
-    days = t.orders.where("o_orderdate >= '1995-01-01' and o_orderdate < '1995-02-01'").select((F.col("o_orderkey") % 200).alias("trip_id"), F.to_date("o_orderdate").alias("service_date")).distinct()
+    days = t.orders.select(F.col("o_orderkey").alias("trip_id"), F.explode(F.array(F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), 7))).alias("service_date"))
     mark = F.col("trip_id") + F.col("stop_sequence")
     clear = mark % 14 == 0
     overrides = days.join(own, "trip_id").where(mark % 7 == 0).select("trip_id", "service_date", "stop_sequence", F.when(~clear, F.lit(-1).cast("long")).alias("platform"), clear.cast("int").alias("platform_present"))

@@ -293,9 +293,3 @@ SELECT concat(a5.id, '>', b5.id) AS ids, round(a5.km + b5.km, 2) AS km FROM a5,
 def q_topk_legs(t):
     leg = lambda k: t.lineitem.where(F.col("l_linenumber") == k).groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.min("l_extendedprice"), 2).alias("km"))
     return graph.best_legs([leg(1), leg(2)], 5).select(F.array_join("ids", ">").alias("ids"), F.round("km", 2).alias("km"))
-
-
-@query()
-def q_containment(t):
-    own = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.col("l_suppkey") % 10)).alias("items"), F.round(F.sum("l_extendedprice"), 2).alias("rank"))
-    return shapes.without_contained(own.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey", "rank", "l_orderkey", "items")

@@ -207,17 +207,17 @@ def q_unique_id(t):
 @query("""
 WITH k AS (SELECT p_partkey, p_brand, p_type, p_size FROM part), tier AS (SELECT p_brand, p_size, p_type, count(*) AS n FROM k WHERE p_partkey % 3 <> 0 GROUP BY 1, 2, 3),
 e AS (SELECT p_brand, p_size, arg_min(p_type, (-n, p_type)) AS v FROM tier GROUP BY 1, 2), b AS (SELECT p_brand, p_type, sum(n) AS n FROM tier WHERE p_size < 10 GROUP BY 1, 2), b2 AS (SELECT p_brand, arg_min(p_type, (-n, p_type)) AS v FROM b GROUP BY 1)
-SELECT p_partkey, coalesce(e.v, b2.v, 'none') AS kind, CASE WHEN e.v IS NOT NULL THEN 'exact' WHEN b2.v IS NOT NULL THEN 'partial' ELSE 'fallback' END AS source FROM k LEFT JOIN e USING (p_brand, p_size) LEFT JOIN b2 USING (p_brand)
-WHERE p_partkey % 3 = 0
+SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_type ELSE coalesce(e.v, b2.v, 'none') END AS kind, CASE WHEN p_partkey % 3 <> 0 THEN 'given' WHEN e.v IS NOT NULL THEN 'exact' WHEN b2.v IS NOT NULL THEN 'partial' ELSE 'fallback' END AS source FROM k LEFT JOIN e USING (p_brand, p_size) LEFT JOIN b2 USING (p_brand)
 """)
 def q_three_tier_infer(t):
     own = t.part.select("p_partkey", "p_brand", "p_type", "p_size")
     known = own.where("p_partkey % 3 <> 0")
     exact = tally.modal(known, ["p_brand", "p_size"], "p_type").select("p_brand", "p_size", F.col("modal").alias("a"))
     partial = tally.modal(known.where("p_size < 10"), ["p_brand"], "p_type").select("p_brand", F.col("modal").alias("b"))
-    joined = own.where("p_partkey % 3 = 0").join(exact, ["p_brand", "p_size"], "left").join(partial, "p_brand", "left")
-    source = masks.first_rule([(F.col("a").isNotNull(), "exact"), (F.col("b").isNotNull(), "partial")], "fallback")
-    return joined.select("p_partkey", F.coalesce("a", "b", F.lit("none")).alias("kind"), source.alias("source"))
+    joined = own.join(exact, ["p_brand", "p_size"], "left").join(partial, "p_brand", "left")
+    given = F.col("p_partkey") % 3 != 0
+    source = masks.first_rule([(given, "given"), (F.col("a").isNotNull(), "exact"), (F.col("b").isNotNull(), "partial")], "fallback")
+    return joined.select("p_partkey", F.when(given, F.col("p_type")).otherwise(F.coalesce("a", "b", F.lit("none"))).alias("kind"), source.alias("source"))
 
 
 @query("""
@@ -233,13 +233,17 @@ def q_eligibility(t):
 
 
 @query("""
-WITH s AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS i FROM lineitem), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.i = b.i AND a.k < b.k GROUP BY 1, 2)
-SELECT a, b, c AS common, c = least(x.n, y.n) AS subset FROM p JOIN n x ON a = x.k JOIN n y ON b = y.k WHERE c * 5 >= greatest(x.n, y.n) * 4
+WITH o AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1), g AS (SELECT min(k) AS k, s, count(*) AS members FROM o GROUP BY s), u AS (SELECT k, unnest(s) AS i FROM g),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM u a JOIN u b ON a.i = b.i AND a.k < b.k GROUP BY 1, 2)
+SELECT a, b, c AS common, c = least(len(x.s), len(y.s)) AS subset, x.members AS of_a, y.members AS of_b FROM p JOIN g x ON a = x.k JOIN g y ON b = y.k WHERE c * 5 >= greatest(len(x.s), len(y.s)) * 4
 """)
 def q_set_ratio(t):
-    own = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("i")).distinct()
-    return relations.alike_sets(own, "k", "i", 4, 5).select("a", "b", "common", (F.col("common") == F.least("nx", "ny")).alias("subset"))
+    """Different sets that share four fifths of the larger one's items; each stands for all owners that have it, so equal sets don't pair up."""
+    sets = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_set("l_suppkey")).alias("s")).groupBy("s").agg(F.min("k").alias("k"), F.count("*").alias("members"))
+    own = sets.select("k", F.explode("s").alias("i"))
+    of = lambda x: sets.select(F.col("k").alias(x), F.col("members").alias(f"of_{x}"))
+    pairs = relations.alike_sets(own, "k", "i", 4, 5).join(of("a"), "a").join(of("b"), "b")
+    return pairs.select("a", "b", "common", (F.col("common") == F.least("nx", "ny")).alias("subset"), "of_a", "of_b")
 
 
 @query("""

@@ -23,17 +23,20 @@ def gtfs_table(spark: SparkSession, path: str, table: str, columns: list[str]) -
     """(feed, columns...) of ``table``.txt in the zip archives at ``path``, all texts.
 
     Byte order marks and white space around names and values go; short rows are padded with nulls, empty values are null;
-    a column or table that a feed lacks gives nulls or no rows. Quoted values may hold line breaks.
+    a column or table that a feed lacks gives nulls or no rows. Quoted values may hold line breaks. The table may lie in any
+    folder of the archive: the one nearest to the root counts, of several the first by name. Bytes that are no UTF-8
+    become replacement characters.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for feed, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    if f"{table}.txt" not in z.namelist():
+                    members = [n for n in z.namelist() if n.rpartition("/")[2] == f"{table}.txt"]
+                    if not members:
                         continue
-                    with z.open(f"{table}.txt") as raw:
-                        lines = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline=""), skipinitialspace=True)
+                    with z.open(min(members, key=lambda n: (n.count("/"), n))) as raw:
+                        lines = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", errors="replace", newline=""), skipinitialspace=True)
                         names = [n.strip() for n in next(lines, [])]
                         place = [names.index(c) if c in names else -1 for c in columns]
                         held = []
@@ -80,9 +83,18 @@ def package_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """Rows of JSON-lines files, with their file; lines that don't parse are left out, as is what a schema does not name."""
-    found = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(glob)
-    return found.select("*", F.col("_metadata.file_path").alias("file")).where("_bad is null").drop("_bad")
+    """Rows of JSON-lines files, with their file; what a schema does not name is left out, and lines that don't parse are in ``ledger_rejects``."""
+    return _lines(spark, glob, schema).where("r is not null and r._bad is null").select("r.*", "file").drop("_bad")
+
+
+def ledger_rejects(spark: SparkSession, glob: str, schema: str) -> DataFrame:
+    """(file, line) of the lines that ``ledger`` leaves out: those that are no JSON object or hold a value that the schema can't take."""
+    return _lines(spark, glob, schema).where("r is null or r._bad is not null").select("file", "line")
+
+
+def _lines(spark: SparkSession, glob: str, schema: str) -> DataFrame:
+    lines = spark.read.text(glob).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")).where("trim(line) <> ''")
+    return lines.withColumn("r", F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
 
 
 def canonical_json(columns: list[str]) -> Column:
@@ -114,7 +126,9 @@ def write_changed_parts(new: DataFrame, path: str, part: str, key: str) -> dict[
     spark = new.sparkSession
     try:
         old = spark.read.schema(new.schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # any other fault must not look like an empty table
+            raise
         old = spark.createDataFrame([], new.schema)
     columns = [c for c in new.columns if c not in (part, key)]
     found: dict[str, list[str]] = {}

@@ -15,9 +15,5 @@ def tumbling(df: DataFrame, length: str, keys: list[str], late: str | None = Non
     return _counted(df, F.window("ts", length), keys, late)
 
 
-def sliding(df: DataFrame, length: str, step: str, keys: list[str], late: str | None = None) -> DataFrame:
-    return _counted(df, F.window("ts", length, step), keys, late)
-
-
 def sessions(df: DataFrame, gap: str, keys: list[str], late: str | None = None) -> DataFrame:
     return _counted(df, F.session_window("ts", gap), keys, late)
