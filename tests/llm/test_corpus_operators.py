@@ -192,7 +192,7 @@ def test_licence_families_on_unseen_variants(licence_model):
                 total += 1
                 right += bool(found) and found[0][1] == family
     assert right / total > 0.8 and licence_model.refused >= 0.85
-    print("unseen variants", right / total, "left-out families refused", licence_model.refused, "least chance", licence_model.least_chance)
+    print("unseen variants", right / total, "left-out families refused", licence_model.refused, "least product", licence_model.least)
 
 
 # ---------------------------------------------------------------- 4

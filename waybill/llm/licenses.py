@@ -20,8 +20,8 @@ UNKNOWN = 1_500
 VARIANTS = 14
 #: Folds of families that are left out in turn to set the least chance, and the share of their notices that it must refuse.
 FOLDS, REFUSED = 4, 0.95
-#: Least chance of a family before calibration.
-CHANCE = 0.5
+#: Least product of a notice's chance and share before calibration.
+LEAST = 0.5
 #: Least share of a template's word pairs that a notice must hold, and so many pairs at least.
 LEAST_SHARE = 0.6
 LEAST_PAIRS = 2
@@ -227,7 +227,7 @@ class Model:
     weights: np.ndarray
     families: list[str]
     templates: list[tuple[int, np.ndarray]]
-    least_chance: float = CHANCE
+    least: float = LEAST
     refused: float = 0.0
 
     def chances(self, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -249,9 +249,9 @@ class Model:
             chance = self.chances(h, first, last)
             best = chance.argmax(1)  # of equal chances the first family
             top = chance[np.arange(len(best)), best]
-            for i in np.flatnonzero((best > 0) & (top >= self.least_chance)):
+            for i in np.flatnonzero((best > 0) & (top >= self.least)):
                 share = self.share(best[i], h[first[i] : last[i]])
-                if share >= LEAST_SHARE:
+                if share >= LEAST_SHARE and top[i] * share >= self.least:
                     yield int(owner[i]), self.families[best[i]], float(top[i]), share
 
 
@@ -318,9 +318,11 @@ def fit(unknown: list[str], seed: int = 0) -> Model:
     """A softmax regression on hashed words and word pairs of notices.
 
     The first class is the unknown: sentences that only sound like licences, and notices found in ``unknown`` paragraphs of
-    the corpus that no template confirms. The least chance is set on families that training has not seen: in FOLDS rounds a
-    part of the families is left out, and their notices, which should stay unknown, get chances; the least one that
-    refuses REFUSED of them is taken, from CHANCE up. ``refused`` is the share that it does refuse.
+    the corpus that no template confirms. A notice is known by the product of its family's chance and the share of a template
+    that it holds: chances alone are low where families share their wording, shares alone high. The least product is set on
+    families that training has not seen: in FOLDS rounds a part of the families is left out, and their notices, which should
+    stay unknown, are scored; the least one that refuses REFUSED of them is taken, from LEAST up. ``refused`` is the share
+    that it does refuse.
     """
     rng = random.Random(seed)
     families = ["unknown", *sorted(TEMPLATES)]
@@ -362,11 +364,11 @@ def fit(unknown: list[str], seed: int = 0) -> Model:
         p /= p.sum(1, keepdims=True)
         for i in np.flatnonzero(out):
             best = p[i].argmax()
-            confirmed = best > 0 and model.share(best, rows[i]) >= LEAST_SHARE
-            strangers.append(p[i, best] if confirmed else 0.0)
+            share = model.share(best, rows[i]) if best > 0 else 0.0
+            strangers.append(p[i, best] * share if share >= LEAST_SHARE else 0.0)
     model.weights = trained(np.ones(len(label), bool))
-    model.least_chance = max(CHANCE, float(np.quantile(strangers, REFUSED)) + 1e-9)
-    model.refused = float((np.array(strangers) < model.least_chance).mean())
+    model.least = max(LEAST, float(np.quantile(strangers, REFUSED)) + 1e-9)
+    model.refused = float((np.array(strangers) < model.least).mean())
     return model
 
 
