@@ -175,7 +175,7 @@ APART[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 #: Bytes of text that a sample brings to the driver, at most; half for each class.
 MOST_BYTES = 16 << 20
-#: A text takes this part of its class's bytes at most.
+#: Texts that take more than this part of their class's bytes come last.
 MOST_SHARE = 16
 
 
@@ -184,8 +184,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, use: Column
 
     Only rows of ``labels`` where ``use`` holds take part. The keys, at most 2 * per_class, are broadcast, first for the
     texts' sizes; whole texts are then chosen in the order of the digests while they fit in half of ``most_bytes`` for each
-    class, and fetched. A text that does not fit, or takes more than a MOST_SHARE-th of its class's bytes, is passed over and
-    the next ones go on; a class of such texts alone has the smallest of them that fit. Of repeated keys, one label and the
+    class, and fetched. A text that does not fit is passed over and the next ones go on; texts that take more than a
+    MOST_SHARE-th of their class's bytes come after all others, the smallest first. Of repeated keys, one label and the
     smallest text count.
     """
     ranked = labels.where(use & F.col("doc_id").isNotNull()).select("doc_id", F.col(target).alias("label"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("at"))
@@ -202,9 +202,9 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, use: Column
     chosen = []
     for label in (0, 1):
         own = sorted((r for r in sizes if ids[r.doc_id][0] == label), key=lambda r: (ids[r.doc_id][1], r.doc_id))
-        short = [r for r in own if r.size <= most_bytes // (2 * MOST_SHARE)]
+        long_ = most_bytes // (2 * MOST_SHARE)
         left = most_bytes // 2
-        for r in short or sorted(own, key=lambda r: r.size):
+        for r in sorted(own, key=lambda r: r.size if r.size > long_ else 0):
             if r.size <= left:
                 left -= r.size
                 chosen.append((r.doc_id, r.size, r.told, label))
