@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waybill.operators import chains, greedy, rounds, routes, sequences, shapes
+from waybill.operators import chains, greedy, rounds, routes, sequences, shapes, snapping
 from waybill.plans.lines import CALL
 from waybill.plans.places import POINTS_SQL, points
 from waybill.plans.registry import query
@@ -191,3 +191,16 @@ def q_section_bounds(t):
     stops = F.filter("calls", lambda x, i: (i % 2 == 0) | (i == F.size("calls") - 1))
     both = lists.where("size(calls) > 1").select("l_orderkey", stops.alias("stops"), sections.alias("sections"))
     return both.select("l_orderkey", F.array_join(chains.section_bounds(F.col("stops"), F.col("sections")).cast("array<string>"), ",").alias("bounds"))
+
+
+@query(f"""
+WITH RECURSIVE p AS (SELECT *, row_number() OVER (ORDER BY label, vec_id) AS k FROM ({POINTS_SQL})),
+r AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS vec_id, NULL::BIGINT AS rep, []::STRUCT(vec_id BIGINT, x DOUBLE, y DOUBLE)[] AS leaders
+  UNION ALL SELECT p.k, p.vec_id, coalesce(hit, p.vec_id), CASE WHEN hit IS NULL THEN list_append(leaders, {{'vec_id': p.vec_id, 'x': p.x, 'y': p.y}}) ELSE leaders END
+  FROM r JOIN p ON p.k = r.k + 1, LATERAL (SELECT list_filter(r.leaders, lambda l: pow((p.x - l.x) * cos(radians(p.y)) * 111320, 2) + pow((p.y - l.y) * 110574, 2) <= 16000000.0)[1].vec_id AS hit) z)
+SELECT vec_id, rep FROM r WHERE k > 0
+""")
+def q_snapped(t):
+    """Vertices of all paths, path by path, snapped to the first representative within four kilometres."""
+    own = points(t).withColumn("at", F.struct("label", "vec_id"))
+    return snapping.snapped(own, "x", "y", "at", 4000.0).select("vec_id", F.col("rep.vec_id").alias("rep"))
