@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waybill.functions import text
-from waybill.operators import periods, relations, shapes
+from waybill.operators import periods, relations, search, shapes
 from waybill.sources import files
 
 
@@ -134,6 +134,28 @@ def test_folded_names(spark):
     assert [r[0] for r in names.select(text.line_name(F.col("n"))).collect()] == ["東海道線", "線", "山手線", None]
 
 
+def test_station_match_keys(spark):
+    d = spark.createDataFrame([("大宮（埼玉県）",), ("三ヶ日駅",), ("駅",), ("ﾆﾂ井",), ("A - B・C [x]",), ("(only)",), ("鐵道 ()",), (None,), ("俱利伽羅",)], "n string")
+    got = [r[0] for r in d.select(text.match_key(F.col("n"))).collect()]
+    assert got == ["大宮", "三ケ日", "駅", "二ツ井", "abc", "(only)", "鉄道()", None, "倶利伽羅"]
+    assert [tuple(r) for r in d.limit(1).select(*text.qualified(F.col("n"))).collect()] == [("大宮", "埼玉県")]
+    assert [r[0] for r in d.where("n like '鐵%'").select(text.variant_key(F.col("n"))).collect()] == ["铁道"]
+    assert text.words_by_script("JR線 新宿ㄱ駅2") == ["JR", "線", "新宿", "ᄀ", "駅", "2"]
+
+
+def test_journey_search(spark):
+    rows = [
+        (1, "jp", ["op1"], ["快速 東京", None], "2026-01-02"), (2, "jp", ["op2"], ["JR East"], None), (3, "jp", [], ["JR East 2"], None), (4, "fr", None, ["Jr east"], None),
+        (5, "jp", None, None, "2026-01-03"), (6, "jp", ["op1", "op2"], ["東京 特急"], None), (7, None, ["op1"], ["East", "JR"], None), (8, "jp", ["op2"], ["新宿 1-2"], None),
+    ]
+    d = spark.createDataFrame(rows, "id int, region string, operator_ids array<string>, fields array<string>, date string")
+    operators = spark.createDataFrame([("jp", "op1", "JR East"), ("jp", "op1", "JR東"), ("fr", "op9", "Metro")], "region string, id string, name string")
+    found = lambda q: sorted(r.id for r in search.journeys(d, q, operators, plain=["date"], synonyms=[["特急", "特快", "limited express"]]).collect())
+    assert found(" jr EAST ") == [1, 4, 6]  # operators alone decide in jp; words of two fields don't add up
+    assert found("东京") == [1, 6] and found("2026-01") == [1, 5] and found("") == list(range(1, 9)) and found("!?") == []
+    assert found("Limited Express") == [6] and found("特急東京") == [] and found("東京 特快") == [6] and found("12") == [] and found("1/2") == [8]
+
+
 def plain_dp(points, eps):
     def far(p, a, b):
         dx, dy = b[0] - a[0], b[1] - a[1]

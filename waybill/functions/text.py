@@ -30,9 +30,8 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: None if text is None else unicodedata.normalize("NFKC", text))
 
 
-@F.pandas_udf(T.StringType())
-def search_key(texts: pd.Series) -> pd.Series:
-    """NFKC, lower case, Latin letters without marks, hiragana as katakana, no punctuation; digits keep a gap between numbers."""
+def _folding():
+    """The folding of one text; made here so that tasks get it by value."""
 
     def one(text):
         if text is None:
@@ -45,7 +44,22 @@ def search_key(texts: pd.Series) -> pd.Series:
         plain = unicodedata.normalize("NFC", "".join(out))
         return re.sub(r"(?<=(\d))[\W_]+(?=(\d))|[\W_]+", lambda m: " " if m[1] else "", plain)
 
-    return texts.map(one)
+    return one
+
+
+_FOLD = _folding()
+
+
+@F.pandas_udf(T.StringType())
+def search_key(texts: pd.Series) -> pd.Series:
+    """NFKC, lower case, Latin letters without marks, hiragana as katakana, no punctuation; digits keep a gap between numbers."""
+    return texts.map(_FOLD)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def search_keys(lists: pd.Series) -> pd.Series:
+    """``search_key`` of each text of an array."""
+    return lists.map(lambda texts: None if texts is None else [_FOLD(t) for t in texts])
 
 
 def fold_ascii(text: Column) -> Column:
@@ -135,3 +149,53 @@ def line_name(value: Column) -> Column:
 def utf16_key(value: Column) -> Column:
     """A key whose order is that of the text's UTF-16 code units."""
     return F.encode(value, "UTF-16BE")
+
+
+#: Characters and those that stand for them in a search.
+_VARIANTS = {
+    "鉄": "铁", "鐵": "铁", "営": "营", "広": "广", "浜": "滨", "沢": "泽", "関": "关", "県": "县", "気": "气", "発": "发", "図": "图", "線": "线",
+    "東": "东", "電": "电", "車": "车", "臺": "台", "桜": "樱", "竜": "龙", "戸": "户", "楽": "乐", "渋": "涩", "円": "圆", "黒": "黑", "徳": "德",
+    "歩": "步", "経": "经", "塩": "盐", "辺": "边", "恵": "惠", "横": "横", "浅": "浅", "駒": "驹", "舘": "馆", "館": "馆", "庁": "厅", "区": "区",
+    "蔵": "藏", "ヶ": "ケ", "ヵ": "ケ",
+}
+
+#: Spellings of one character in station names, and katakana that look like kanji.
+_SPELLINGS = {
+    "ヶ": "ケ", "ヵ": "カ", "俱": "倶", "髙": "高", "濱": "浜", "濵": "浜", "瀨": "瀬", "鉃": "鉄", "鐵": "鉄",
+    "ニ": "二", "カ": "力", "ロ": "口", "エ": "工", "オ": "才", "タ": "夕", "ト": "卜", "ハ": "八",
+}
+
+
+def _replaced(text: Column, table: dict[str, str]) -> Column:
+    return F.translate(text, "".join(table), "".join(table.values()))
+
+
+def variant_key(value: Column) -> Column:
+    """``search_key`` in which variants of one character are equal. General traditional characters stay as they are."""
+    return _replaced(search_key(value), _VARIANTS)
+
+
+def variant_keys(values: Column) -> Column:
+    """``variant_key`` of each text of an array."""
+    return F.transform(search_keys(values), lambda v: _replaced(v, _VARIANTS))
+
+
+def qualified(value: Column) -> tuple[Column, Column]:
+    """``name (qualifier)`` or ``name [qualifier]`` as its two parts, in NFKC; the qualifier is null where either has no letter or digit."""
+    whole = F.trim(nfkc(value))
+    name, inner = r"^(.*)[(]([^(]*)[)]$|^(.*)[\[]([^\[]*)[\]]$", r"[\p{L}\p{N}]"
+    part = lambda a, b: F.trim(F.concat(F.regexp_extract(whole, name, a), F.regexp_extract(whole, name, b)))
+    both = part(1, 3).rlike(inner) & part(2, 4).rlike(inner)
+    return F.when(both, part(1, 3)).otherwise(whole), F.when(both, part(2, 4))
+
+
+def match_key(value: Column) -> Column:
+    """The key of a station's recorded name: without qualifier, blanks, dots, dashes and a trailing 駅, with one spelling and lower case."""
+    bare = _replaced(F.regexp_replace(qualified(value)[0], "[ \u30fb\uff65\\-\u2010-\u2015]", ""), _SPELLINGS)
+    return F.lower(F.when((F.char_length(bare) > 1) & bare.endswith("駅"), F.substring(bare, F.lit(1), F.char_length(bare) - 1)).otherwise(bare))
+
+
+def words_by_script(query: str) -> list[str]:
+    """A query's words: parted at white space and where Hangul, other East Asian letters and the rest meet."""
+    scripts = "[\u1100-\u11ff\u3130-\u318f\uac00-\ud7af]+|[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+|[^\\s\u1100-\u11ff\u3130-\u318f\uac00-\ud7af\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+"
+    return re.findall(scripts, unicodedata.normalize("NFKC", query))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waybill.functions import text as texts
+
 
 def best(df: DataFrame, rank: Column, order: list, most: int) -> DataFrame:
     """The rows with a rank, best first, at most so many; ``place`` counts them. The limit comes before the numbering."""
@@ -49,3 +51,47 @@ def longest_prefix(df: DataFrame, text: str, names: DataFrame, name: str) -> Dat
     cut = df.withColumn("_p", F.explode(F.transform(ends, lambda i: F.substring(F.col(text), F.lit(1), i))))
     met = cut.join(names.select(F.col(name).alias("_p")).distinct(), "_p")
     return met.groupBy(*df.columns).agg(F.max_by("_p", F.length("_p")).alias("name"))
+
+
+def journeys(df: DataFrame, query: str, operators: DataFrame, fields: str = "fields", plain: list[str] | None = None, synonyms: list[list[str]] | None = None) -> DataFrame:
+    """The journeys that answer a query. ``df`` has region, operator_ids and ``fields``, an array of texts.
+
+    Where the query is in the name of an operator (region, id, name) of the journey's region, only the operators decide: one of
+    them must be among operator_ids. Elsewhere a field must hold the whole query, or all its words, folded and with
+    ``synonyms`` (lists of equal names); or one of the ``plain`` columns (dates, ids) holds it as written, in any case. A
+    blank query is answered by all, one of marks alone by none.
+    """
+    needle = query.strip()
+    if not needle:
+        return df
+    spark = df.sparkSession
+    names = [n for group in synonyms or [] for n in group]
+    asked = [needle, *texts.words_by_script(needle), *names]
+    folded = [r.k for r in spark.createDataFrame([(i, w) for i, w in enumerate(asked)], "i int, w string").select("i", texts.variant_key(F.col("w")).alias("k")).orderBy("i").collect()]
+    whole, words, keys = folded[0], [w for w in folded[1 : len(asked) - len(names)] if w], iter(folded[len(asked) - len(names) :])
+    if not whole:
+        return df.where(F.lit(False))
+    equal = [[next(keys) for _ in group] for group in synonyms or []]
+
+    def held(value: Column, word: str) -> Column:
+        out = value.contains(word)
+        for other in sorted({word.replace(n, m) for group in equal for n in group if n and n in word for m in group} - {word}):
+            out = out | value.contains(other)
+        return out
+
+    def field_hit(value: Column) -> Column:
+        out = held(value, whole)
+        if words and words != [whole]:
+            every = F.lit(True)
+            for w in words:
+                every = every & held(value, w)
+            out = out | every
+        return out
+
+    named = operators.where(texts.variant_key(F.col("name")).contains(whole)).groupBy("region").agg(F.array_agg("id").alias("_asked"))
+    joined = df.join(named, "region", "left").withColumn("_folded", texts.variant_keys(F.col(fields)))
+    by_text = F.exists("_folded", field_hit)
+    for c in plain or []:
+        by_text = by_text | F.coalesce(F.lower(F.col(c).cast("string")).contains(needle.lower()), F.lit(False))
+    hit = F.when(F.col("_asked").isNotNull(), F.arrays_overlap("operator_ids", "_asked")).otherwise(by_text)
+    return joined.where(F.coalesce(hit, F.lit(False))).select(*df.columns)

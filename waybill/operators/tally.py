@@ -59,3 +59,13 @@ def means_of_known(df: DataFrame, keys: list[str], value: Column, known: Column,
         F.round(F.avg(F.when(known, value)), digits).alias("mean_known"),
         F.round(F.sum(value), 2).alias("total"),
     )
+
+
+def inferred(df: DataFrame, tiers: list[tuple[str, list[str], DataFrame]], value: str) -> DataFrame:
+    """``df`` with ``value``, the most frequent one of the first tier (name, keys, known rows) that knows its keys, and the tier's name as ``source``."""
+    out = df
+    for i, (_, keys, known) in enumerate(tiers):
+        out = out.join(modal(known.where(F.col(value).isNotNull()), keys, value).select(*keys, F.col("modal").alias(f"_v{i}")), keys, "left")
+    found = [F.col(f"_v{i}") for i in range(len(tiers))]
+    source = F.coalesce(*[F.when(v.isNotNull(), name) for v, (name, _, _) in zip(found, tiers)])
+    return out.select(*df.columns, F.coalesce(*found).alias(value), source.alias("source"))

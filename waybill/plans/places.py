@@ -293,3 +293,29 @@ SELECT concat(a5.id, '>', b5.id) AS ids, round(a5.km + b5.km, 2) AS km FROM a5,
 def q_topk_legs(t):
     leg = lambda k: t.lineitem.where(F.col("l_linenumber") == k).groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.min("l_extendedprice"), 2).alias("km"))
     return graph.best_legs([leg(1), leg(2)], 5).select(F.array_join("ids", ">").alias("ids"), F.round("km", 2).alias("km"))
+
+
+_ASKED = ("000000003", "build 1-urgent", "1996-01")
+
+
+@query("""
+WITH j AS (SELECT o_orderkey, r_name, strftime(o_orderdate::DATE, '%Y-%m-%d') AS day, regexp_replace(lower(o_orderpriority || ' ' || c_mktsegment), '[^a-z0-9]+', '', 'g') AS f, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS g
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey),
+q AS (SELECT unnest(['000000003', 'build 1-urgent', '1996-01']) AS query), w AS (SELECT query, regexp_replace(query, '[^a-z0-9]+', '', 'g') AS whole, list_transform(string_split(query, ' '), lambda x: regexp_replace(x, '[^a-z0-9]+', '', 'g')) AS words FROM q),
+o AS (SELECT query, r_name, s_suppkey FROM w JOIN supplier ON contains(regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g'), whole) AND query NOT LIKE '____-%' JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+r AS (SELECT DISTINCT query, r_name FROM o), h AS (SELECT DISTINCT query, l_orderkey, r_name FROM o JOIN lineitem ON l_suppkey = s_suppkey),
+t AS (SELECT query, o_orderkey, r_name, contains(day, query) OR (query NOT LIKE '____-%' AND len(list_filter([f, g], lambda x: contains(x, whole) OR len(list_filter(words, lambda y: NOT contains(x, y))) = 0)) > 0) AS hit FROM j, w)
+SELECT t.query, o_orderkey FROM t LEFT JOIN r ON r.query = t.query AND r.r_name = t.r_name LEFT JOIN h ON h.query = t.query AND h.l_orderkey = o_orderkey AND h.r_name = t.r_name
+WHERE CASE WHEN r.query IS NOT NULL THEN h.query IS NOT NULL ELSE hit END
+""")
+def q_journey_search(t):
+    """Journeys that answer three queries: by the operators that a query names in the journey's region, elsewhere by texts and dates."""
+    regions = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))
+    ridden = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("operator_ids"))
+    own = t.orders.join(t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left").join(regions, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    own = own.join(ridden, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    fields = F.array(F.concat(F.col("o_orderpriority"), F.lit(" "), F.col("c_mktsegment")), F.col("c_name"))
+    own = own.select("o_orderkey", "region", "operator_ids", fields.alias("fields"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    operators = t.supplier.join(regions, F.col("s_nationkey") == F.col("n_nationkey")).select("region", F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    found = [search.journeys(own, asked, operators, plain=["day"]).select(F.lit(asked).alias("query"), "o_orderkey") for asked in _ASKED]
+    return found[0].unionByName(found[1]).unionByName(found[2])
