@@ -1,6 +1,7 @@
 """Readers and writers on files made here; rules that SQL does not check."""
 
 import json
+import math
 import zipfile
 
 import pytest
@@ -177,7 +178,15 @@ def plain_dp(points, eps):
 
 
 def test_polylines(spark):
+    """Against the plain recursion on points in metres; the first latitude sets the scale."""
     path = [(float(k), float((k * 37) % 11) / 4) for k in range(60)]
-    d = spark.createDataFrame([("p", k, x, y) for k, (x, y) in enumerate(path)] + [("q", 0, 1.0, 1.0)], "label string, k int, x double, y double")
-    got = shapes.simplified(d, ["label"], "k", "x", "y", 0.7)
-    assert {r.k for r in got.where("label = 'p'").collect()} == plain_dp(path, 0.7)
+    north = [(10 + k * 0.001, 60 + ((k * 29) % 17) * 0.0004) for k in range(80)]
+    same = [(5.0, 5.0)] * 4 + [(5.0, 6.0), (5.0, 5.0)]
+    d = spark.createDataFrame([(n, k, x, y) for n, p in (("p", path), ("n", north), ("s", same), ("q", [(1.0, 1.0)])) for k, (x, y) in enumerate(p)] + [("q", 1, None, 2.0)], "label string, k int, x double, y double")
+    for tolerance in (200.0, 78_000.0):
+        got = shapes.simplified(d, ["label"], "k", "x", "y", tolerance).collect()
+        for name, points in (("p", path), ("n", north), ("s", same)):
+            scale = 111_320 * math.cos(math.radians(points[0][1]))
+            assert {r.k for r in got if r.label == name} == plain_dp([(x * scale, y * 111_320) for x, y in points], tolerance), (name, tolerance)
+        assert [r.k for r in got if r.label == "q"] == [0]
+    assert shapes.simplified(d, ["label"], "k", "x", "y", 0.0).count() == d.count() - 1

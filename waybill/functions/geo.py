@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,22 +47,37 @@ def box_distance(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1:
     return F.sqrt(F.pow(F.greatest(x0 - px, F.lit(0.0), px - x1), 2) + F.pow(F.greatest(y0 - py, F.lit(0.0), py - y1), 2))
 
 
-def kept_places(x, y, tolerance: float) -> list[int]:
-    n = len(x)
-    if tolerance <= 0 or n <= 2:
-        return list(range(n))
-    kept, open_ = {0, n - 1}, [(0, n - 1)]
-    while open_:
-        a, b = open_.pop()
-        dx, dy = x[b] - x[a], y[b] - y[a]
+def kept_places(lon: np.ndarray, lat: np.ndarray, tolerance_m: float) -> np.ndarray:
+    """Places of the points that a path keeps when others lie within the tolerance of the kept ones' lines: both ends, and of a
+    stretch the farthest point beyond it, of equal ones the first. Without a tolerance all stay.
+
+    All stretches of one depth are measured together, as arrays. Degrees are scaled by the first point's latitude, both by
+    the same length.
+    """
+    n = len(lon)
+    if n < 3 or tolerance_m <= 0:
+        return np.arange(n)
+    unit = KM_A_DEGREE_EAST * 1000
+    x, y = np.asarray(lon, float) * unit * np.cos(np.radians(lat[0])), np.asarray(lat, float) * unit
+    kept = np.zeros(n, bool)
+    kept[[0, -1]] = True
+    low, high = np.array([0]), np.array([n - 1])
+    while len(low):
+        inner = high - low - 1
+        first = np.cumsum(inner) - inner
+        span = np.repeat(np.arange(len(low)), inner)
+        at = np.arange(len(span)) - first[span] + low[span] + 1
+        dx, dy = x[high] - x[low], y[high] - y[low]
         square = dx * dx + dy * dy
-        far, at = -1.0, -1
-        for i in range(a + 1, b):
-            t = min(1.0, max(0.0, ((x[i] - x[a]) * dx + (y[i] - y[a]) * dy) / square)) if square else 0.0
-            d = ((x[i] - x[a] - t * dx) ** 2 + (y[i] - y[a] - t * dy) ** 2) ** 0.5
-            if d > far:
-                far, at = d, i
-        if far > tolerance:
-            kept.add(at)
-            open_ += [(a, at), (at, b)]
-    return sorted(kept)
+        px, py = x[at] - x[low][span], y[at] - y[low][span]
+        along = np.clip((px * dx[span] + py * dy[span]) / np.where(square > 0, square, 1)[span], 0, 1)
+        d = np.hypot(px - along * dx[span], py - along * dy[span])
+        far = np.maximum.reduceat(d, first)
+        tops = np.flatnonzero(d == far[span])
+        best = at[tops[np.unique(span[tops], return_index=True)[1]]]
+        cut = far > tolerance_m
+        kept[best[cut]] = True
+        low, high = np.concatenate([low[cut], best[cut]]), np.concatenate([best[cut], high[cut]])
+        wide = high - low > 1
+        low, high = low[wide], high[wide]
+    return np.flatnonzero(kept)

@@ -67,14 +67,15 @@ def inside(x: Column, y: Column, x0: float, y0: float, x1: float, y1: float) ->
     return x.between(x0, x1) & y.between(y0, y1)
 
 
-def simplified(df: DataFrame, keys: list[str], order: str, x: str, y: str, tolerance: float) -> DataFrame:
-    """(keys, order) of the points that a path keeps. A path's points are one group, as the recursion needs its ends."""
+def simplified(df: DataFrame, keys: list[str], order: str, x: str, y: str, tolerance_m: float) -> DataFrame:
+    """(keys, order) of the points that a path keeps, in degrees and metres. A path's points are one group, as the recursion
+    needs its ends. Points without coordinates go."""
 
     def kept(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, ignore_index=True)
-        return pdf.loc[geo.kept_places(pdf[x].tolist(), pdf[y].tolist(), tolerance), [*keys, order]]
+        return pdf.loc[geo.kept_places(pdf[x].to_numpy(), pdf[y].to_numpy(), tolerance_m), [*keys, order]]
 
-    own = df.select(*keys, order, x, y)
+    own = df.select(*keys, order, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.select(*keys, order).schema)
     return own.groupBy(*keys).applyInPandas(kept, schema)
 
