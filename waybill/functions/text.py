@@ -199,3 +199,16 @@ def words_by_script(query: str) -> list[str]:
     """A query's words: parted at white space and where Hangul, other East Asian letters and the rest meet."""
     scripts = "[\u1100-\u11ff\u3130-\u318f\uac00-\ud7af]+|[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+|[^\\s\u1100-\u11ff\u3130-\u318f\uac00-\ud7af\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+"
     return re.findall(scripts, unicodedata.normalize("NFKC", query))
+
+
+def station_code(code: Column) -> Column:
+    """A station's code without the parts that vary between its records; fixed values are the networks' marks."""
+    parts = F.split(code, "-")
+    n, at = F.size(parts), lambda k: F.try_element_at(parts, F.lit(k))
+    return (
+        F.when(n < 3, code)
+        .when(at(-2).isin("MTR", "LR", "MLM"), F.concat_ws("-", at(-2), at(-1)))
+        .when(at(1) == "TRAM", F.concat(F.lit("TRAM-"), at(-1)))
+        .when(at(2) == "NETWORK", F.concat_ws("-", at(1), F.array_join(F.slice(parts, F.lit(3), F.greatest(n - 2, F.lit(0))), "-")))
+        .otherwise(code)
+    )

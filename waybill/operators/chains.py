@@ -159,3 +159,26 @@ def edge_walk(points: DataFrame, edges: DataFrame, journey: str, metres: Callabl
 
     schema = T.StructType.fromDDL(f"{journey} {kinds[journey]}, seq int, kind string, a {kinds['place']}, b {kinds['place']}, m double, mask int")
     return lists.select(journey, "points", "known").mapInArrow(walk, schema)
+
+
+def ride_sections(stops: Column, sections: Column) -> Column:
+    """A journey's sections to keep: the recorded ones if they are one chain through all its stops, else one a pair of stops.
+
+    Structs as in ``section_bounds``, from_code, from_name, to_code, to_name, as texts; each comes back with ``recorded``, its
+    place among the recorded ones. For a pair the section in its place comes first, then the first that fits it; where
+    none does, one is made of the stops' own codes and names, and recorded is null. Fewer than two stops have none.
+    """
+    sides = ("from_code", "from_name", "to_code", "to_name")
+    known = F.transform(sections, lambda s, i: F.struct(*[s[c].alias(c) for c in sides], i.alias("recorded")))
+
+    def fits(s: Column, a: Column, b: Column) -> Column:
+        return same_station(s["from_code"], s["from_name"], a["code"], a["name"]) & same_station(s["to_code"], s["to_name"], b["code"], b["name"])
+
+    def one(b: Column, i: Column) -> Column:
+        a = F.get(stops, i)
+        made = F.struct(a["code"].alias("from_code"), a["name"].alias("from_name"), b["code"].alias("to_code"), b["name"].alias("to_name"), F.lit(None).cast("int").alias("recorded"))
+        in_place = F.filter(known, lambda s: (s["recorded"] == i) & fits(s, a, b))
+        return F.coalesce(F.get(in_place, F.lit(0)), F.get(F.filter(known, lambda s: fits(s, a, b)), F.lit(0)), made)
+
+    pairs = F.transform(F.slice(stops, F.lit(2), F.greatest(F.size(stops) - 1, F.lit(0))), one)
+    return F.when(section_bounds(stops, sections).isNotNull(), known).otherwise(pairs)
