@@ -81,3 +81,29 @@ def kept_places(lon: np.ndarray, lat: np.ndarray, tolerance_m: float) -> np.ndar
         wide = high - low > 1
         low, high = low[wide], high[wide]
     return np.flatnonzero(kept)
+
+
+def decimal_text(x: Column, digits: int = 7) -> Column:
+    """A number rounded to ``digits`` decimals (ties to even) as JSON writers give a double: 5.0, -0.25, 1.5e-05; zero has no sign."""
+    units = (F.bround(x, digits).try_cast(f"decimal(30,{digits})") * 10**digits).cast("long")
+    size = F.abs(units)
+    fraction = F.rtrim(F.lpad((size % 10**digits).cast("string"), digits, "0"), F.lit("0"))
+    plain = F.concat(((size - size % 10**digits) / 10**digits).cast("long").cast("string"), F.lit("."), F.when(fraction == "", "0").otherwise(fraction))
+    shown = F.rtrim(size.cast("string"), F.lit("0"))
+    mantissa = F.concat(F.substring(shown, 1, 1), F.when(F.length(shown) > 1, F.concat(F.lit("."), F.substring(shown, 2, digits))).otherwise(""))
+    small = F.concat(mantissa, F.lit("e-"), F.lpad((digits + 1 - F.length(size.cast("string"))).cast("string"), 2, "0"))
+    # writers turn to powers of ten below 0.0001
+    text = F.when((size > 0) & (size < 10 ** (digits - 4)), small).otherwise(plain)
+    return F.concat(F.when(units < 0, "-").otherwise(""), text)
+
+
+def undirected_json(points: Column) -> Column:
+    """Points (lon, lat) as JSON in seven decimals, in that of both directions whose text comes first."""
+    texts = F.transform(points, lambda p: F.concat(F.lit("["), decimal_text(p["lon"]), F.lit(","), decimal_text(p["lat"]), F.lit("]")))
+    joined = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
+    return F.least(joined(texts), joined(F.reverse(texts)))
+
+
+def geometry_id(geometry: Column) -> Column:
+    """The id of a line of either direction, from its JSON."""
+    return F.concat(F.lit("geom-"), F.substring(F.sha2(geometry, 256), 1, 32))

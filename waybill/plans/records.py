@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waybill.functions import clock, masks, text
+from waybill.functions import clock, geo, masks, text
 from waybill.plans.registry import query
 
 
@@ -162,3 +162,20 @@ def q_available_dates(t):
     """The days that have journeys, undated ones last."""
     day = F.when(F.col("o_orderkey") % 11 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
     return t.orders.select(day.alias("day")).distinct().orderBy(F.asc_nulls_last("day")).select(F.coalesce("day", F.lit("undated")).alias("day"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, '[' || (((l_partkey * 7919) % 4001 - 2000) / 1e7)::VARCHAR || ',' || (l_suppkey * 12345 / 1e7 - l_linenumber)::DECIMAL(18, 7)::DOUBLE::VARCHAR || ']' AS c FROM lineitem),
+s AS (SELECT l_orderkey, '[' || string_agg(c, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || ']' AS f, '[' || string_agg(c, ',' ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) || ']' AS b FROM p GROUP BY 1)
+SELECT l_orderkey, 'geom-' || left(sha256(least(f, b)), 32) AS id, f <= b AS forward FROM s
+""")
+def q_geometry_ids(t):
+    """Ids of lines in seven decimals, the same in both directions; coordinates of all sizes, below 0.0001 and negative ones too."""
+    key = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    own = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(key)).alias("p"))
+    lon = lambda v: ((v["l_partkey"] * 7919) % 4001 - 2000) / F.lit(1e7)
+    lat = lambda v: v["l_suppkey"] * 12345 / F.lit(1e7) - v["l_linenumber"]
+    points = F.transform("p", lambda v: F.struct(lon(v).alias("lon"), lat(v).alias("lat")))
+    own = own.withColumn("points", points).withColumn("geometry", geo.undirected_json(F.col("points")))
+    first = F.concat(F.lit("[["), geo.decimal_text(F.col("points")[0]["lon"]), F.lit(","), geo.decimal_text(F.col("points")[0]["lat"]), F.lit("]"))
+    return own.select("l_orderkey", geo.geometry_id(F.col("geometry")).alias("id"), F.startswith("geometry", first).alias("forward"))
