@@ -18,6 +18,9 @@ from waybill.llm.common import crc_mod, read
 #: Labelled documents a language, at most, and characters of them that its automaton holds.
 DOCS_A_LANGUAGE = 60
 CHARS_A_LANGUAGE = 24_000
+#: Characters of all languages together, at most: they share them where there are more than 256. An automaton takes about 33
+#: bytes a character, so a model is broadcast with 200 MB at most.
+MOST_CHARS = 256 * CHARS_A_LANGUAGE
 #: Letters with an id of their own; further ones share the ids that are left.
 OWN_LETTERS = 200
 LETTERS = 254
@@ -195,17 +198,24 @@ class Model:
         return names, np.concatenate(scores)
 
 
+def shares(lengths: list[int], chars: int) -> list[int]:
+    """Characters that texts of these lengths, short ones first, are given of ``chars``: short ones all, the others what is left evenly."""
+    given: list[int] = []
+    for k, n in enumerate(lengths):
+        given.append(min(n, (chars - sum(given)) // (len(lengths) - k)))
+    return given
+
+
 def fit(texts: dict[str, list[str]], chars: int = CHARS_A_LANGUAGE) -> Model:
     """An automaton a language, of ``chars`` characters at most, shared among its texts: short ones are taken whole, of the
     others a span each of what is left for them, from a place that the text's digest draws."""
     used: dict[str, list[str]] = {}
     for language in sorted(texts):
-        left, used[language] = chars, []
-        for k, t in enumerate(sorted(texts[language], key=lambda t: (len(t), t))):
-            share = min(len(t), left // (len(texts[language]) - k))
+        used[language] = []
+        own = sorted(texts[language], key=lambda t: (len(t), t))
+        for t, share in zip(own, shares([len(t) for t in own], chars)):
             at = zlib.crc32(t.encode("utf-8", "surrogatepass")) % (len(t) - share + 1)
             used[language].append(t[at : at + share])
-            left -= share
     model = Model(letter_ids([t for own in used.values() for t in own]), [], [], [])
     for language, own in used.items():
         code, _ = model.codes([" ".join(own)])
@@ -216,23 +226,42 @@ def fit(texts: dict[str, list[str]], chars: int = CHARS_A_LANGUAGE) -> Model:
     return model
 
 
-def train(docs: DataFrame, use: Column, per_language: int = DOCS_A_LANGUAGE) -> Model:
-    """A model of at most ``per_language`` documents of each language, those whose key's digest is smallest, where ``use`` holds."""
+def train(docs: DataFrame, use: Column, per_language: int = DOCS_A_LANGUAGE, chars: int = CHARS_A_LANGUAGE, most_chars: int = MOST_CHARS) -> Model:
+    """A model of at most ``per_language`` documents of each language, those whose key's digest is smallest, where ``use`` holds.
+
+    Only lengths and then the spans that ``fit`` takes come to the driver, ``chars`` characters a language and ``most_chars``
+    of all languages, however long the drawn documents are.
+    """
     own = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     at = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
     counts = own.groupBy("lang").count().collect()
     texts: dict[str, list[str]] = {}
+    chars = min(chars, most_chars // max(1, len(counts)))
     if counts:
         spark = docs.sparkSession
         # about four times as many as needed pass, so that the ranking below is over few rows of any language
         most = [(r.lang, min(1 << 32, (4 * per_language << 32) // r["count"] + 1)) for r in counts]
         bound = spark.createDataFrame(most, "lang string, most long")
         drawn = own.select("doc_id", "lang", "text", at.alias("at")).join(F.broadcast(bound), "lang").where("at < most")
-        first = drawn.groupBy("lang", "at").agg(F.min_by("text", "doc_id").alias("text"))
-        ranked = first.selectExpr("lang", "text", "row_number() over (partition by lang order by at) as k").where(F.col("k") <= per_language)
-        for r in ranked.orderBy("lang", "k").collect():
-            texts.setdefault(r.lang, []).append(r.text)
-    return fit(texts)
+        size, crc = F.length("text").cast("long"), F.crc32(F.col("text").cast("binary"))
+        # rows of one key by length and digest, so that reruns draw the same text
+        first = drawn.groupBy("lang", "at").agg(F.min(F.struct("doc_id", size.alias("size"), crc.alias("crc"))).alias("d"))
+        ranked = first.selectExpr("lang", "at", "d.doc_id", "d.size", "d.crc", "row_number() over (partition by lang order by at) as k").where(F.col("k") <= per_language)
+        chosen: dict[str, list] = {}
+        for r in ranked.orderBy("lang", "size", "at").collect():
+            chosen.setdefault(r.lang, []).append(r)
+        spans = []
+        for rows in chosen.values():
+            for r, share in zip(rows, shares([r.size for r in rows], chars)):
+                spans.append((r.lang, r.at, r.doc_id, r.size, r.crc, r.crc % (r.size - share + 1) + 1, share))
+        wanted = spark.createDataFrame(spans, f"lang string, at long, doc_id {own.schema['doc_id'].dataType.simpleString()}, size long, crc long, start int, share int")
+        same = [F.col(f"d.{c}") == F.col(f"w.{c}") for c in ("lang", "at", "size", "crc")] + [F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))]
+        told = own.select("doc_id", "lang", "text", at.alias("at")).join(F.broadcast(wanted.select("lang", "at").distinct()), ["lang", "at"], "left_semi")
+        met = told.withColumns({"size": size, "crc": crc}).alias("d").join(F.broadcast(wanted).alias("w"), same)
+        cut = met.groupBy("w.lang", "w.at").agg(F.min(F.substring("d.text", F.col("w.start"), F.col("w.share"))).alias("span"))
+        for r in cut.orderBy("lang", "at").collect():
+            texts.setdefault(r.lang, []).append(r.span)
+    return fit(texts, chars)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
