@@ -87,14 +87,10 @@ def unique_window(df: DataFrame, keys: list[str], at: str, kind: str, start: str
 
 def run_lengths(items: Column) -> Column:
     """An array as structs of value and n for its runs of equal items."""
-    first = F.array().cast("array<struct<value:string,n:int>>")
-
-    def step(out: Column, x: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["value"].alias("value"), (last["n"] + 1).alias("n"))))
-        return F.when((F.size(out) > 0) & last["value"].eqNullSafe(x), longer).otherwise(F.array_append(out, F.struct(x.alias("value"), F.lit(1).alias("n"))))
-
-    return F.aggregate(items, first, step)
+    n = F.size(items)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | ~F.get(items, i).eqNullSafe(F.get(items, i - 1)))
+    return F.zip_with(starts, F.array_append(F.slice(starts, 2, n), n), lambda a, b: F.struct(F.get(items, a).alias("value"), (b - a).alias("n")))
 
 
 def expanded(lengths: Column) -> Column:

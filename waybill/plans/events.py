@@ -224,13 +224,13 @@ def q_tz_shift(t):
     return t.events.select("event_id", F.date_format(utc, "yyyy-MM-dd").alias("utc_day"), F.date_format(tokyo, "yyyy-MM-dd").alias("tokyo_day"), (utc != tokyo).alias("differs"))
 
 
-@query(RUNS_SQL + "SELECT user_id, string_agg(event_type || '*' || n, ',' ORDER BY run) AS encoded, sum(n)::BIGINT AS n, true AS same FROM g GROUP BY 1")
+@query(RUNS_SQL + "SELECT user_id, string_agg(event_type || '*' || n, ',' ORDER BY run) AS encoded, sum(n)::BIGINT AS n, (SELECT string_agg(event_type, ',' ORDER BY ts) FROM events e WHERE e.user_id = g.user_id) AS expanded FROM g GROUP BY 1")
 def q_rle(t):
     items = sequences.in_order(t.events, ["user_id"], ["ts"], "event_type", "items")
     own = items.withColumn("rle", sequences.run_lengths(F.col("items")))
     return own.select(
         "user_id", F.array_join(F.transform("rle", lambda r: F.concat_ws("*", r["value"], r["n"].cast("string"))), ",").alias("encoded"),
-        F.size("items").cast("long").alias("n"), (sequences.expanded(F.col("rle")) == F.col("items")).alias("same"),
+        F.size("items").cast("long").alias("n"), F.array_join(sequences.expanded(F.col("rle")), ",").alias("expanded"),
     )
 
 
@@ -290,12 +290,14 @@ def q_midnight_carry(t):
     return sequences.carried(own, ["user_id"], ["ts", "event_id"], "m").select("event_id", F.col("carried").alias("clock"))
 
 
-@query("""SELECT event_id, (props->>'$.k')::BIGINT AS k, json_keys(props)[1] AS keys, len(json_keys(props))::INT AS n_keys, 0 AS unknown FROM events""")
+@query("""SELECT event_id, (props->>'$.k')::BIGINT AS k, json_keys(props)[1] AS keys, len(json_keys(props))::INT AS n_keys, CASE WHEN event_type IN ('purchase', 'click', 'view') THEN 0 ELSE len(json_keys(props))::INT END AS unknown FROM events""")
 def q_json_scalars(t):
+    """Scalars of JSON texts, and how many of their keys the row's type does not allow."""
     keys = F.json_object_keys("props")
+    allowed = F.when(F.col("event_type").isin("purchase", "click", "view"), F.array(F.lit("k"))).otherwise(F.array().cast("array<string>"))
     return t.events.select(
         "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get(keys, F.lit(0)).alias("keys"), F.size(keys).alias("n_keys"),
-        F.size(F.array_except(keys, F.array(F.lit("k")))).alias("unknown"),
+        F.size(F.array_except(keys, allowed)).alias("unknown"),
     )
 
 

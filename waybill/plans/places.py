@@ -77,18 +77,19 @@ def q_section_caps(t):
 
 
 @query("""
-WITH n AS (SELECT p_partkey, p_type, CASE WHEN p_size = 50 THEN NULL WHEN p_size % 10 = 0 THEN 900 + p_size // 10 WHEN p_size % 10 = 1 THEN 100 + p_size // 10 WHEN p_size % 10 = 2 THEN 1400 ELSE p_size % 10 END AS n FROM part)
-SELECT p_partkey, coalesce(n IN (0, 1, 2, 5, 7, 12) OR n BETWEEN 100 AND 117 OR n BETWEEN 900 AND 906 OR n = 1400, false) AS rail,
-  CASE WHEN n = 0 OR n BETWEEN 900 AND 906 THEN 'tram' WHEN n = 1 THEN 'metro' WHEN n = 2 OR n BETWEEN 100 AND 117 THEN 'rail' WHEN n = 5 THEN 'cable' WHEN n IN (7, 1400) THEN 'funicular' ELSE 'rail' END AS kind,
-  CASE WHEN regexp_matches(p_type, '^(STANDARD|ECONOMY)') THEN 'local' WHEN regexp_matches(p_type, 'BRASS|STEEL') THEN 'express' ELSE 'other' END AS service FROM n
+WITH n AS (SELECT p_partkey, p_type, CASE WHEN p_size = 50 THEN NULL WHEN p_size % 10 = 0 THEN 900 + p_size // 10 WHEN p_size % 10 = 1 THEN 100 + p_size // 10 WHEN p_size % 10 = 2 THEN 1400 WHEN p_size % 10 = 3 THEN 398 + p_size // 10 WHEN p_size % 10 = 4 THEN 12 WHEN p_size % 10 = 6 THEN 403 + p_size // 10 ELSE p_size % 10 END AS n FROM part)
+SELECT p_partkey, coalesce(n IN (0, 1, 2, 5, 7, 12) OR n BETWEEN 100 AND 117 OR n BETWEEN 400 AND 405 OR n BETWEEN 900 AND 906 OR n = 1400, false) AS rail,
+  CASE WHEN n = 0 OR n BETWEEN 900 AND 906 THEN 'tram' WHEN n = 1 OR n BETWEEN 400 AND 405 THEN 'metro' WHEN n = 2 OR n BETWEEN 100 AND 117 THEN 'rail' WHEN n = 5 THEN 'cable' WHEN n IN (7, 1400) THEN 'funicular' WHEN n = 12 THEN 'monorail' ELSE 'rail' END AS kind,
+  CASE WHEN regexp_matches(p_type, '^(STANDARD|ECONOMY)') THEN 'local' WHEN regexp_matches(p_type, '^SM|MO$') THEN 'express' ELSE 'other' END AS service FROM n
 """)
 def q_route_type(t):
     size = F.col("p_size")
     code = (
         F.when(size == 50, "x").when(size % 10 == 0, F.concat(F.lit(" "), (900 + F.floor(size / 10)).cast("string"))).when(size % 10 == 1, (100 + F.floor(size / 10)).cast("string"))
-        .when(size % 10 == 2, "1400").otherwise((size % 10).cast("string"))
+        .when(size % 10 == 2, "1400").when(size % 10 == 3, (398 + F.floor(size / 10)).cast("string")).when(size % 10 == 4, "12").when(size % 10 == 6, (403 + F.floor(size / 10)).cast("string"))
+        .otherwise((size % 10).cast("string"))
     )
-    service = masks.first_rule([(F.col("p_type").rlike("^(STANDARD|ECONOMY)"), "local"), (F.col("p_type").rlike("BRASS|STEEL"), "express")], "other")
+    service = masks.first_rule([(F.col("p_type").rlike("^(STANDARD|ECONOMY)"), "local"), (F.col("p_type").rlike("^SM|MO$"), "express")], "other")
     return t.part.select("p_partkey", masks.is_rail_route(code).alias("rail"), masks.route_kind(code).alias("kind"), service.alias("service"))
 
 
@@ -102,11 +103,22 @@ def q_tokens(t):
     return t.part.select("p_partkey", F.array_join(words, " ").alias("tokens"), text.matches(fields, "anchor", {"anchor": ["bolt"]}).alias("hit"))
 
 
-@query("""SELECT p_partkey, p_brand AS name, 'JP' AS cc, p_type AS line FROM part""")
+@query(r"""
+WITH n AS (SELECT p_brand AS n FROM part UNION SELECT p_brand || ' ' || p_type FROM part WHERE p_size > 45),
+w AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand || 's (JP, ' || p_type || ')' WHEN 1 THEN p_brand || ' ' || p_type WHEN 2 THEN p_brand || '(' || p_type || ')' ELSE p_brand || ' ' || p_type || ' (TW, ' || p_name || ')' END AS whole FROM part)
+SELECT p_partkey, arg_max(n, length(n)) AS name, regexp_extract(whole, '^(.*) \(([A-Z]{2}), ([^()]*)\)$', 2) AS cc, regexp_extract(whole, '^(.*) \(([A-Z]{2}), ([^()]*)\)$', 3) AS line
+FROM w JOIN n ON whole = n OR starts_with(whole, n || ' ') OR starts_with(whole, n || '(') GROUP BY p_partkey, whole
+""")
 def q_prefix_match(t):
-    whole = F.concat(F.col("p_brand"), F.lit(" (JP, "), F.col("p_type"), F.lit(")"))
+    """The longest name that leads a text, up to a blank, a bracket or the end; a name that goes on in the text is none."""
+    brand, kind, key = F.col("p_brand"), F.col("p_type"), F.col("p_partkey") % 4
+    whole = (
+        F.when(key == 0, F.concat(brand, F.lit("s (JP, "), kind, F.lit(")"))).when(key == 1, F.concat(brand, F.lit(" "), kind)).when(key == 2, F.concat(brand, F.lit("("), kind, F.lit(")")))
+        .otherwise(F.concat(brand, F.lit(" "), kind, F.lit(" (TW, "), F.col("p_name"), F.lit(")")))
+    )
     own = t.part.select("p_partkey", whole.alias("whole"))
-    found = search.longest_prefix(own, "whole", t.part.select("p_brand"), "p_brand")
+    names = t.part.select(brand.alias("name_")).union(t.part.where("p_size > 45").select(F.concat(brand, F.lit(" "), kind)))
+    found = search.longest_prefix(own, "whole", names, "name_")
     _, cc, line = text.reference(F.col("whole"))
     return found.select("p_partkey", "name", cc.alias("cc"), line.alias("line"))
 
