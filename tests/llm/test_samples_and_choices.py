@@ -1,9 +1,11 @@
 """Bounded samples behind long texts, one row of repeated ones whatever their order, and licences that no template sentence spells out."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from waybill.llm import common, licenses, ngram_join, quality
+from waybill.llm import common, licenses, ngram_join, quality, toxicity
 
 
 def test_long_texts_are_passed_over(spark):
@@ -65,3 +67,13 @@ def test_licences_in_short_and_heads(spark):
     assert model.refused >= licenses.REFUSED - 0.01
     docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
     assert {r.text: r.licences for r in licenses.scan(docs, model).collect()} == said
+
+
+def test_toxic_terms_alike_in_slices_of_any_size(monkeypatch):
+    column = pa.array(["you stupid clown! ", None, "", "a vile river " * 500, "trash!! " * 40] * 30, pa.string())
+    terms = np.unique(np.concatenate([toxicity._lexicon_terms(line) for line in toxicity.LEXICONS]))
+    found = []
+    for size in (1, 700, 1 << 20):
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        found.append(toxicity._present(column, terms))
+    assert found[0].any() and all(np.array_equal(found[0], x) for x in found)

@@ -30,6 +30,8 @@ LEXICONS = (
 )
 #: Leading bytes of words that are terms beside whole words: inflected forms share them.
 STEMS = (4, 5, 6, 7)
+#: Bytes of texts that are looked through at once; a longer text is looked through whole.
+SLICE = 1 << 20
 
 
 def _terms(words: Words) -> list[np.ndarray]:
@@ -49,7 +51,7 @@ def _lexicon_terms(line: str) -> np.ndarray:
 def _present(column: pa.Array, terms: np.ndarray) -> np.ndarray:
     """For each text, which of the sorted ``terms`` it holds; and in a last column the share of words with ``!``."""
     parts = []
-    for _, n, data, offsets in text_slices(column):
+    for _, n, data, offsets in text_slices(column, most=SLICE):
         words = Words(data, offsets, APART)
         owner = np.repeat(np.arange(n), words.counts)
         x = np.zeros((n, len(terms) + 1), np.float32)
