@@ -3,7 +3,7 @@
 import math
 import random
 
-from waybill.operators import shapes
+from waybill.operators import greedy, shapes
 
 
 def places(n, seed):
@@ -43,3 +43,23 @@ def test_nearest_segment_in_a_crowd(spark):
             assert p not in got
         else:
             assert got[p][0] == s and abs(got[p][1] - d) < 1e-12
+
+
+def _pairs(seed):
+    rnd = random.Random(seed)
+    rows = [(i, i % 2, rnd.gauss(0, 0.01), rnd.gauss(0, 0.01)) for i in range(160)]
+    rows += [(i + 1000, i // 2 % 2, x, y) for i, _, x, y in rows[:60]] + [(2000 + i, i % 2, 1 + i / 16, 1.0) for i in range(12)]
+    a, b = ([(i, x, y) for i, s, x, y in rows if s == k] for k in (0, 1))
+    near = sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), i, j) for i, x, y in a for j, u, v in b)
+    return a, b, [p for p in near if p[0] <= 0.25]
+
+
+def test_one_to_one_in_a_crowd(spark):
+    a, b, near = _pairs(5)
+    want, used = [], (set(), set())
+    for d, i, j in near:
+        if i not in used[0] and j not in used[1]:
+            want.append((i, j, d))
+            used[0].add(i), used[1].add(j)
+    left, right = (spark.createDataFrame(rows, "id int, x double, y double") for rows in (a, b))
+    assert sorted(map(tuple, greedy.one_to_one_near(left, right, 0.25).collect())) == sorted(want)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.operators import rounds
+from waybill.operators import rounds, shapes
 
 
 def first_kept(rows: DataFrame, beats: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -107,6 +109,30 @@ def one_to_one(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
     return out
 
 
+def plane(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
+
+
+def one_to_one_near(a: DataFrame, b: DataFrame, limit: float, crowd: int = 4) -> DataFrame:
+    """``one_to_one`` of all pairs of ``a`` and ``b`` (id, x, y) at most ``limit`` apart, without making them all.
+
+    The pass takes near pairs first: so those within a short reach are settled before any longer pair is made, and of points that
+    are taken none is made. Points at one place pair up by rank, as the pass would. The reach begins where few points of
+    both sides share a cell and goes on fourfold, among the points that are left.
+    """
+    same = Window.partitionBy("x", "y").orderBy("id")
+    left, right = (rounds.settled(df.select("id", "x", "y").where(shapes.finite("x", "y")).withColumn("_k", F.row_number().over(same))) for df in (a, b))
+    taken = [rounds.settled(left.withColumnRenamed("id", "left").join(right.withColumnRenamed("id", "right"), ["x", "y", "_k"]).select("left", "right", F.lit(0.0).alias("distance")))]
+    level = None
+    while True:
+        left, right = (rounds.settled(df.join(taken[-1].select(F.col(side).alias("id")), "id", "left_anti").select("id", "x", "y")) for df, side in ((left, "left"), (right, "right")))
+        if level == 0 or left.isEmpty() or right.isEmpty():
+            break
+        level = shapes.fine_level(left, right, limit, crowd) if level is None else max(level - 2, 0)
+        taken.append(rounds.settled(one_to_one(rounds.settled(pairs_near(left, right, limit / 2**level)))))
+    return reduce(DataFrame.unionByName, taken)
+
+
 def nearest_once(pairs: DataFrame) -> DataFrame:
     """Each left's nearest right (of equal ones the smallest) proposes; each right takes its nearest proposal. Who loses stays alone."""
     proposal = pairs.groupBy("left").agg(F.min(F.struct("distance", "right")).alias("p")).select("left", "p.right", "p.distance")
