@@ -63,3 +63,18 @@ def test_one_to_one_in_a_crowd(spark):
             used[0].add(i), used[1].add(j)
     left, right = (spark.createDataFrame(rows, "id int, x double, y double") for rows in (a, b))
     assert sorted(map(tuple, greedy.one_to_one_near(left, right, 0.25).collect())) == sorted(want)
+
+
+def test_nearest_once_in_a_crowd(spark):
+    a, b, near = _pairs(6)
+    b = [*b, (0, 0.5, 0.5)]  # an id that is on both sides
+    a = [*a, (5000, 0.5, 0.45)]
+    near = sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), i, j) for i, x, y in a for j, u, v in b)
+    mine, theirs = {}, {}
+    for d, i, j in near:
+        if d <= 0.25:
+            mine.setdefault(i, (d, j))
+    for i, (d, j) in mine.items():
+        theirs[j] = min(theirs.get(j, (d, i)), (d, i))
+    left, right = (spark.createDataFrame(rows, "id int, x double, y double") for rows in (a, b))
+    assert sorted(map(tuple, greedy.nearest_once_near(left, right, 0.25).collect())) == sorted((i, j, d) for j, (d, i) in theirs.items())

@@ -133,6 +133,12 @@ def one_to_one_near(a: DataFrame, b: DataFrame, limit: float, crowd: int = 4) ->
     return reduce(DataFrame.unionByName, taken)
 
 
+def nearest_once_near(a: DataFrame, b: DataFrame, limit: float) -> DataFrame:
+    """``nearest_once`` of all pairs of ``a`` and ``b`` (id, x, y) at most ``limit`` apart, of which only each left's nearest is made."""
+    found = shapes.nearest(a, b, "id", "id", "x", "y", limit, plane, one_table=False)
+    return nearest_once(found.select(F.col("id").alias("left"), F.col("other").alias("right"), "distance"))
+
+
 def nearest_once(pairs: DataFrame) -> DataFrame:
     """Each left's nearest right (of equal ones the smallest) proposes; each right takes its nearest proposal. Who loses stays alone."""
     proposal = pairs.groupBy("left").agg(F.min(F.struct("distance", "right")).alias("p")).select("left", "p.right", "p.distance")
