@@ -100,18 +100,22 @@ def roots(df: DataFrame, id_: str, parent: str, most_rounds: int = 40) -> DataFr
 def alike_sets(df: DataFrame, owner: str, item: str, share: int, of: int) -> DataFrame:
     """(a, b, common, nx, ny) of owners a < b whose sets share at least ``share`` / ``of`` of the larger one's items.
 
-    Only the rarest items of each set are joined on: sets that are alike enough share one of them, so a common item
-    brings no pairs by itself.
+    Sets that must share two items or more share two of their rarest: these meet by pairs of them, so neither a common item
+    nor one that is rare only within its set brings pairs by itself. Sets for which one item may do meet by each of their items as well.
     """
     own = df.select(F.col(owner).alias("k"), F.col(item).alias("i")).where("k is not null and i is not null").distinct()
     ranked = own.join(own.groupBy("i").agg(F.count("*").alias("df")), "i")
     sets = ranked.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "i"))).alias("s")).select("k", F.col("s.i").alias("s"), F.size("s").alias("n"))
-    rare = sets.select("k", "s", "n", F.explode(F.slice("s", 1, (F.col("n") - F.ceil(F.lit(share) * F.col("n") / F.lit(of)) + 1).cast("int"))).alias("i"))
+    need = F.ceil(F.lit(share) * F.col("n") / F.lit(of))
+    lead = F.slice("s", 1, F.least(F.col("n"), F.col("n") - F.greatest(need, F.lit(2)) + 2).cast("int"))
+    two = F.flatten(F.transform(lead, lambda x, p: F.transform(F.slice(lead, p + 2, F.size(lead)), lambda y: F.struct(x.alias("i"), y.alias("j")))))
+    one = F.when(need <= 1, F.transform("s", lambda x: F.struct(x.alias("i"), F.lit(None).cast(own.schema["i"].dataType).alias("j"))))
+    rare = sets.select("k", "s", "n", F.explode(F.concat(two, F.coalesce(one, F.slice(two, 1, 0)))).alias("c")).select("k", "s", "n", "c.i", "c.j")
     x, y = rare.alias("x"), rare.alias("y")
-    met = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.k") < F.col("y.k")) & (F.least("x.n", "y.n") * of >= F.greatest("x.n", "y.n") * share))
+    met = x.join(y, (F.col("x.i") == F.col("y.i")) & F.col("x.j").eqNullSafe(F.col("y.j")) & (F.col("x.k") < F.col("y.k")) & (F.least("x.n", "y.n") * of >= F.greatest("x.n", "y.n") * share))
     common = F.size(F.array_intersect("x.s", "y.s")).cast("long")
-    both = met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), common.alias("common"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")).distinct()
-    return both.where(F.col("common") * of >= F.greatest("nx", "ny") * share)
+    both = met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), common.alias("common"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")).where(F.col("common") * of >= F.greatest("nx", "ny") * share)
+    return both.distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
