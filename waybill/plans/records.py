@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waybill.functions import clock, geo, masks, text
+from waybill.operators import rounds
 from waybill.plans.registry import query
 
 
@@ -97,13 +98,14 @@ SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 11 = 0 THEN 'no_date' E
 """)
 def q_draft_issues(t):
     """All issues of each draft in a fixed order, and whether one of them forbids saving it."""
-    dated = t.orders.select("o_orderkey", "o_orderdate")
-    calls = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_shipdate").join(dated, "o_orderkey")
-    by = calls.groupBy("o_orderkey").agg(
-        F.count("*").alias("calls"), F.bool_or(F.col("l_shipdate") < F.col("o_orderdate") + F.expr("interval 3 day")).alias("early"), (F.count_distinct("l_linenumber") < F.count("*")).alias("twice")
-    )
+    dated = rounds.dealt(t.orders.select("o_orderkey", "o_orderdate"), "o_orderkey")
+    lines = rounds.dealt(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_shipdate"), "o_orderkey")
+    # lines by number first, so that neither distinct numbers nor lines are held or joined
+    numbers = lines.groupBy("o_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.min("l_shipdate").alias("first"))
+    by = numbers.groupBy("o_orderkey").agg(F.sum("n").alias("calls"), F.min("first").alias("first"), (F.count("l_linenumber") < F.sum("n")).alias("twice"))
+    early = F.col("first") < F.col("o_orderdate") + F.expr("interval 3 day")
     undated, few = F.col("o_orderkey") % 11 == 0, F.coalesce("calls", F.lit(0)) < 2
-    issues = [F.when(undated, "no_date"), F.when(few, "too_few_calls"), F.when(F.col("early"), "ends_before_start"), F.when(F.col("twice"), "repeated_call")]
+    issues = [F.when(undated, "no_date"), F.when(few, "too_few_calls"), F.when(early, "ends_before_start"), F.when(F.col("twice"), "repeated_call")]
     return dated.join(by, "o_orderkey", "left").select("o_orderkey", F.concat_ws(",", *issues).alias("issues"), (undated | few).alias("blocks"))
 
 
