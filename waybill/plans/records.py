@@ -34,7 +34,7 @@ def q_country_errors(t):
     """Edges of each country; one with an unusable row has none and one recorded error, and leaves the others as they are."""
     places = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("country"), (F.col("s_nationkey") % 4 == 0).alias("strict"))
     own = t.lineitem.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select("country", "l_partkey", "l_suppkey", F.when(F.col("strict") & (F.col("l_extendedprice") < 5000), F.col("l_orderkey")).alias("bad"))
-    by = own.groupBy("country", "l_partkey", "l_suppkey").agg(F.min("bad").alias("bad")).groupBy("country").agg(F.count("*").alias("n"), F.min("bad").alias("bad"))
+    by = rounds.dealt(own, "l_partkey", "l_suppkey").groupBy("country", "l_partkey", "l_suppkey").agg(F.min("bad").alias("bad")).groupBy("country").agg(F.count("*").alias("n"), F.min("bad").alias("bad"))
     error = F.concat(F.lit("short edge of "), F.col("bad").cast("string"))
     return by.select("country", F.when(F.col("bad").isNull(), F.col("n")).otherwise(0).alias("edges"), F.coalesce(error, F.lit("")).alias("error"))
 
