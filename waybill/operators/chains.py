@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from waybill.operators import rounds
+
 
 def cheapest_chain(candidates: DataFrame, journey: str) -> DataFrame:
     """(journey, cost, chain): the cheapest chain of one candidate a layer in which each begins where the one before ends.
@@ -134,18 +136,19 @@ def walked(points: list, known: dict[tuple, tuple[float, int]], metres: Callable
             base, mask, open_m = i, 0 if open_m > bridge else mask, 0.0
 
 
-def edge_walk(points: DataFrame, edges: DataFrame, journey: str, metres: Callable[[object, object], float], bridge: float) -> DataFrame:
+def edge_walk(points: DataFrame, edges: DataFrame, journey: str, metres: Callable[[object, object], float], bridge: float, few: int = 200_000) -> DataFrame:
     """(journey, seq, kind, a, b, m, mask): ``walked`` for each journey of ``points`` (journey, pos, place) over ``edges`` (a, b, m, mask), a <= b.
 
-    A journey meets only the edges both of whose ends are among its places, found by two joins; its points and those edges
-    are one row, and rows go to Python in Arrow batches. Journeys of one point have no rows; points without a place are passed over.
+    A journey meets only the edges both of whose ends are among its places: the pairs of its places look them up, where they stand if
+    edges are ``few`` and so broadcast, else by a shuffle of the pairs. Its points and those edges are one row, and rows go to Python in Arrow batches. Journeys of one point have no rows; points without a place are passed over.
     """
     own = points.where(F.col("place").isNotNull()).select(journey, "pos", "place")
-    places = own.select(journey, "place").distinct()
-    first = places.join(edges, F.col("place") == F.col("a")).select(journey, "a", "b", "m", "mask")
-    known = first.join(places.select(journey, F.col("place").alias("b")), [journey, "b"]).select(journey, "a", "b", "m", "mask")
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
     lists = own.groupBy(journey).agg(F.array_sort(F.collect_list(F.struct("pos", "place")))["place"].alias("points"))
+    edges = rounds.settled(edges.select("a", "b", "m", "mask"))
+    ends = lists.select(journey, F.array_distinct("points").alias("_p")).select(journey, "_p", F.explode("_p").alias("a"))
+    pairs = ends.select(journey, "a", F.explode(F.filter("_p", lambda x: x > F.col("a"))).alias("b"))
+    known = pairs.join(F.broadcast(edges) if edges.count() <= few else edges, ["a", "b"])
     lists = lists.join(known.groupBy(journey).agg(F.collect_list(F.struct("a", "b", "m", "mask")).alias("known")), journey, "left")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
