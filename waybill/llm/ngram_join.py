@@ -30,6 +30,8 @@ MOST_SEEN = 100_000
 LEADS = 2
 OWN_LEADS = 4
 CROWD = 16
+#: Tokens before one in its group's prefix that go with it, so that a pair isn't made again at each token it shares.
+BEFORE = 4
 #: Longs of a set's parity bitmap, at most, and of those, how many go with each shingle of a prefix.
 BITMAP, BESIDE = 256, 8
 _NO_ID = -(1 << 63)
@@ -280,12 +282,17 @@ def _led(placed: DataFrame, percent: int) -> DataFrame:
     return met.select(F.greatest("x.gid", "y.gid").alias("ga"), F.least("x.gid", "y.gid").alias("gb")).distinct()
 
 
-def _met(placed: DataFrame, percent: int) -> DataFrame:
-    """(ga, gb) of groups of different components, or without one, that share a shingle of ``placed``, if sizes and bitmaps allow a link.
+def _meetings(placed: DataFrame, percent: int) -> DataFrame:
+    """(ga, gb), some more than once, of groups of different components, or without one, that share a shingle of ``placed``, if sizes and bitmaps allow a link.
 
     Of each list, the rows of its largest component are paired only with the other rows: among themselves none can link
     what is not linked yet, so a component of very many near copies costs no pairs of its own.
+
+    A pair is left to an earlier token if both groups have one among the BEFORE tokens before this one, early ones first: there
+    the same conditions hold, so each pair is made at the first of its shared tokens and, of those after it, at few.
     """
+    own = Window.partitionBy("gid").orderBy(F.desc("early"), "token").rowsBetween(-BEFORE, -1)
+    placed = placed.withColumn("before", F.collect_list("token").over(own))
     within = Window.partitionBy("token")
     top = F.max(F.struct("grown", "comp"))
     rare = placed.where("not common").withColumn("top", top.over(within).getField("comp"))
@@ -303,9 +310,9 @@ def _met(placed: DataFrame, percent: int) -> DataFrame:
         lower = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") < F.col("y.gid")))
         early = F.when(lower, F.col("x.early")).otherwise(F.col("y.early"))
         alike = (F.col("y.n") * 100 >= F.col("x.n") * percent) & (F.col("x.n") * 100 >= F.col("y.n") * percent)
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & once & apart & early & alike & may_link_early("x", "y", percent))
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & once & apart & early & alike & ~F.arrays_overlap("x.before", "y.before") & may_link_early("x", "y", percent))
         found.append(met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")))
-    return found[0].unionByName(found[1]).distinct()
+    return found[0].unionByName(found[1])
 
 
 def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -375,7 +382,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         )
     )
 
-    group_pairs = table(_met(live.drop("lead", "df").join(of_group, "gid"), percent))
+    group_pairs = table(_meetings(live.drop("lead", "df").join(of_group, "gid"), percent).distinct())
     own = of_group.where("comp is null").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     ca = of_class.select(F.col("gid").alias("ga"), F.col("cid").alias("a"), F.col("comp").alias("comp_a"), F.struct("n", "bits").alias("p"))
     cb = of_class.select(F.col("gid").alias("gb2"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.struct("n", "bits").alias("q"))
