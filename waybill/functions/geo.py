@@ -85,7 +85,11 @@ def kept_places(lon: np.ndarray, lat: np.ndarray, tolerance_m: float) -> np.ndar
 
 def decimal_text(x: Column, digits: int = 7) -> Column:
     """A number rounded to ``digits`` decimals (ties to even) as JSON writers give a double: 5.0, -0.25, 1.5e-05; zero has no sign."""
-    units = (F.bround(x, digits).try_cast(f"decimal(30,{digits})") * 10**digits).cast("long")
+    exact = (F.bround(x, digits).try_cast(f"decimal(30,{digits})") * 10**digits).cast("long")
+    # degrees are exact enough as doubles, but for those near a tie
+    scaled = x.cast("double") * 10**digits
+    sure = (F.abs(scaled) < 2e9) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-5)
+    units = F.when(sure, F.rint(scaled).cast("long")).otherwise(exact)
     size = F.abs(units)
     fraction = F.rtrim(F.lpad((size % 10**digits).cast("string"), digits, "0"), F.lit("0"))
     plain = F.concat(((size - size % 10**digits) / 10**digits).cast("long").cast("string"), F.lit("."), F.when(fraction == "", "0").otherwise(fraction))
@@ -97,9 +101,18 @@ def decimal_text(x: Column, digits: int = 7) -> Column:
     return F.concat(F.when(units < 0, "-").otherwise(""), text)
 
 
+def point_json(lon: Column, lat: Column) -> Column:
+    """A point as JSON in seven decimals."""
+    return F.concat(F.lit("["), decimal_text(lon), F.lit(","), decimal_text(lat), F.lit("]"))
+
+
 def undirected_json(points: Column) -> Column:
     """Points (lon, lat) as JSON in seven decimals, in that of both directions whose text comes first."""
-    texts = F.transform(points, lambda p: F.concat(F.lit("["), decimal_text(p["lon"]), F.lit(","), decimal_text(p["lat"]), F.lit("]")))
+    return undirected_texts(F.transform(points, lambda p: point_json(p["lon"], p["lat"])))
+
+
+def undirected_texts(texts: Column) -> Column:
+    """The same of points that are JSON already."""
     joined = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
     return F.least(joined(texts), joined(F.reverse(texts)))
 

@@ -173,11 +173,12 @@ SELECT l_orderkey, 'geom-' || left(sha256(least(f, b)), 32) AS id, f <= b AS for
 """)
 def q_geometry_ids(t):
     """Ids of lines in seven decimals, the same in both directions; coordinates of all sizes, below 0.0001 and negative ones too."""
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    own = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(key)).alias("p"))
-    lon = lambda v: ((v["l_partkey"] * 7919) % 4001 - 2000) / F.lit(1e7)
-    lat = lambda v: v["l_suppkey"] * 12345 / F.lit(1e7) - v["l_linenumber"]
-    points = F.transform("p", lambda v: F.struct(lon(v).alias("lon"), lat(v).alias("lat")))
-    own = own.withColumn("points", points).withColumn("geometry", geo.undirected_json(F.col("points")))
-    first = F.concat(F.lit("[["), geo.decimal_text(F.col("points")[0]["lon"]), F.lit(","), geo.decimal_text(F.col("points")[0]["lat"]), F.lit("]"))
+    lon = ((F.col("l_partkey") * 7919) % 4001 - 2000) / F.lit(1e7)
+    lat = F.col("l_suppkey") * 12345 / F.lit(1e7) - F.col("l_linenumber")
+    key = ["l_linenumber", "l_partkey", "l_suppkey"]
+    # texts are made row by row, after the shuffle, where code is generated for them
+    rows = rounds.dealt(t.lineitem.select("l_orderkey", *key), "l_orderkey").withColumn("text", geo.point_json(lon, lat))
+    own = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*key, "text")))["text"].alias("texts"))
+    own = own.withColumn("geometry", geo.undirected_texts(F.col("texts")))
+    first = F.concat(F.lit("["), F.get("texts", F.lit(0)))
     return own.select("l_orderkey", geo.geometry_id(F.col("geometry")).alias("id"), F.startswith("geometry", first).alias("forward"))
