@@ -26,19 +26,20 @@ def cheapest_chain(candidates: DataFrame, journey: str) -> DataFrame:
     whole = F.col("of") == F.size("layers")
 
     def labels(of: Column) -> Column:
-        """Of labels that end at one place the least stays."""
-        return F.filter(of, lambda x: ~F.exists(of, lambda y: (y["b"] == x["b"]) & (F.struct(y["cost"], y["chain"]) < F.struct(x["cost"], x["chain"]))))
+        """Of labels that end at one place the least stays: one look at the labels for each place."""
+        ends = F.array_compact(F.array_distinct(F.transform(of, lambda x: x["b"])))
+        return F.transform(ends, lambda b: F.array_min(F.filter(of, lambda x: x["b"] == b)))
 
     def step(state: Column, layer: Column) -> Column:
         def longer(c: Column) -> Column:
             ways = F.transform(F.filter(state, lambda s: s["b"] == c["a"]), lambda s: F.struct((s["cost"] + c["cost"]).alias("cost"), F.array_append(s["chain"], c["id"]).alias("chain"), c["b"].alias("b")))
             return F.array_min(ways)
 
-        grown = F.array_distinct(F.array_compact(F.transform(layer["c"], longer)))
+        grown = F.transform(layer["c"], longer)
         return F.get(F.transform(F.array(grown), labels), F.lit(0))
 
     first = F.transform(F.get("layers", F.lit(0))["c"], lambda c: F.struct(c["cost"].alias("cost"), F.array(c["id"]).alias("chain"), c["b"].alias("b")))
-    state = F.get(F.transform(F.array(F.array_distinct(first)), labels), F.lit(0))
+    state = F.get(F.transform(F.array(first), labels), F.lit(0))
     done = journeys.where(whole).select(journey, F.array_min(F.aggregate(F.slice("layers", F.lit(2), F.size("layers")), state, step)).alias("best"))
     return done.where("best is not null").select(journey, "best.cost", "best.chain")
 
