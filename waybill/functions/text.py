@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,14 +15,24 @@ from pyspark.sql import types as T
 _KANA = str.maketrans("ヶヵゖゕ", "ケカけか")
 
 
-@F.pandas_udf(T.StringType())
-def station_key(names: pd.Series) -> pd.Series:
+#: Texts that are Python objects at once; of a batch only Arrow's bytes stay.
+AT_ONCE = 64
+
+
+def _each(texts: pa.Array, one) -> pa.Array:
+    """``one`` of each text, a few at a time: memory follows a batch's bytes, not its texts as objects."""
+    parts = [pa.array([one(t) for t in texts.slice(i, AT_ONCE).to_pylist()], pa.string()) for i in range(0, len(texts), AT_ONCE)]
+    return pa.concat_arrays(parts or [pa.array([], pa.string())])
+
+
+@F.arrow_udf(T.StringType())
+def station_key(names: pa.Array) -> pa.Array:
     """NFKC, without white space, with small ka and ke as large ones; null is the empty text."""
 
     def one(text):
         return "" if text is None else re.sub(r"\s+", "", unicodedata.normalize("NFKC", text).strip()).translate(_KANA)
 
-    return names.map(one)
+    return _each(names, one)
 
 
 @F.pandas_udf(T.StringType())
@@ -50,10 +61,10 @@ def _folding():
 _FOLD = _folding()
 
 
-@F.pandas_udf(T.StringType())
-def search_key(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def search_key(texts: pa.Array) -> pa.Array:
     """NFKC, lower case, Latin letters without marks, hiragana as katakana, no punctuation; digits keep a gap between numbers."""
-    return texts.map(_FOLD)
+    return _each(texts, _FOLD)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
