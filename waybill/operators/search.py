@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.functions import text as texts
+from waybill.operators import rounds
 
 
 def best(df: DataFrame, rank: Column, order: list, most: int) -> DataFrame:
@@ -42,15 +43,18 @@ def homonyms(df: DataFrame, key: Column, id_: str) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.count_distinct(id_).alias("ids")).where("ids > 1")
 
 
-def longest_prefix(df: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+def longest_prefix(df: DataFrame, text: str, names: DataFrame, name: str, few: int = 100_000) -> DataFrame:
     """Each text with the longest name that it begins with and that an end, a space or a bracket follows.
 
-    Names meet texts by the prefixes at such places, an equi-join however many names there are.
+    Names meet texts by the prefixes at such places, an equi-join however many names there are; ``few`` names are broadcast,
+    so that texts that share a short name stay where they are. Of a name only its length goes on; partitions follow the texts.
     """
+    known = rounds.settled(names.select(F.col(name).alias("_p")).distinct())
     ends = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: (i == F.length(text)) | F.substring(F.col(text), i + 1, F.lit(1)).isin(" ", "("))
     cut = df.withColumn("_p", F.explode(F.transform(ends, lambda i: F.substring(F.col(text), F.lit(1), i))))
-    met = cut.join(names.select(F.col(name).alias("_p")).distinct(), "_p")
-    return met.groupBy(*df.columns).agg(F.max_by("_p", F.length("_p")).alias("name"))
+    met = cut.join(F.broadcast(known) if known.count() <= few else known, "_p").select(*df.columns, F.length("_p").alias("_n"))
+    found = rounds.dealt(met, *df.columns, count=df.count()).groupBy(*df.columns).agg(F.max("_n").alias("_n"))
+    return found.select(*df.columns, F.substring(F.col(text), F.lit(1), F.col("_n")).alias("name"))
 
 
 def journeys(df: DataFrame, query: str, operators: DataFrame, fields: str = "fields", plain: list[str] | None = None, synonyms: list[list[str]] | None = None) -> DataFrame:
