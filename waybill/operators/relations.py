@@ -31,7 +31,7 @@ def multiset_match(old: DataFrame, new: DataFrame, keys: list[str], id_: str) ->
 def cascade(old: DataFrame, new: DataFrame, id_: str, stages: list[tuple[str, list[str]]]) -> DataFrame:
     """(old_id, new_id, stage): each stage pairs, in order of id within equal keys, what the stages before left.
 
-    What no stage pairs has a null on the other side.
+    What no stage pairs has a null on the other side. The joins are merges by hint: none sends a side to the driver to broadcast it.
     """
     left, right, out = old, new, None
     for name, keys in stages:
@@ -40,10 +40,10 @@ def cascade(old: DataFrame, new: DataFrame, id_: str, stages: list[tuple[str, li
         same = F.col("a._k") == F.col("b._k")
         for k in keys:
             same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-        found = a.alias("a").join(b.alias("b"), same).select("old_id", "new_id", F.lit(name).alias("stage"))
+        found = rounds.settled(a.alias("a").join(b.hint("merge").alias("b"), same).select("old_id", "new_id", F.lit(name).alias("stage")))
         out = found if out is None else out.union(found)
-        left = left.join(found.select(F.col("old_id").alias(id_)), id_, "left_anti")
-        right = right.join(found.select(F.col("new_id").alias(id_)), id_, "left_anti")
+        left = left.join(found.select(F.col("old_id").alias(id_)).hint("merge"), id_, "left_anti")
+        right = right.join(found.select(F.col("new_id").alias(id_)).hint("merge"), id_, "left_anti")
     rest = left.select(F.col(id_).alias("old_id"), F.lit(None).cast("long").alias("new_id"), F.lit("removed").alias("stage"))
     more = right.select(F.lit(None).cast("long").alias("old_id"), F.col(id_).alias("new_id"), F.lit("added").alias("stage"))
     return out.union(rest).union(more)

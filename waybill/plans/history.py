@@ -95,7 +95,7 @@ def q_three_stage_match(t):
     old, new = own, own.select((F.col("id") + 1_000_000_000_000).alias("id"), now(4, "p_name"), now(3, "p_brand"), now(2, "p_type"), "p_size")
     pairs = relations.cascade(old, new, "id", [(name, keys.split(", ")) for name, keys in STAGES])
     side = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), *[F.col(c).alias(f"_{n}_{c}") for c in fields])
-    both = pairs.join(side(old, "old"), "old_id", "left").join(side(new, "new"), "new_id", "left")
+    both = pairs.join(side(old, "old").hint("merge"), "old_id", "left").join(side(new, "new").hint("merge"), "new_id", "left")
     differ = F.array_join(F.array_compact(F.array(*[F.when(~F.col(f"_old_{c}").eqNullSafe(F.col(f"_new_{c}")), c) for c in fields])), ",")
     paired = F.col("old_id").isNotNull() & F.col("new_id").isNotNull()
     return both.select(F.coalesce("old_id", F.lit(-1)).alias("old_id"), F.coalesce("new_id", F.lit(-1)).alias("new_id"), "stage", F.when(paired, differ).otherwise("").alias("changed"))
