@@ -75,17 +75,18 @@ def without_overlap(sets: DataFrame, part: int = 4, of: int = 5, few: int = 2048
     that shares part / of its items with one that stays. ``id`` and (group, place) are unique, items not null. With part = of it drops contained sets.
 
     Of equal sets of a group all but the first go, whether that one stays or not. A group whose other sets hold ``few`` items at most
-    is then a row of its own and folded in order; larger ones are settled in rounds of joins.
+    is then a row of its own and folded in order; in larger ones each set is such a row, and they are settled in rounds of joins.
+    What is written is what stays of the former and the sets of the latter, so rows that come by group are not dealt again.
     """
     nth = F.row_number().over(Window.partitionBy("group", F.sort_array(F.array_distinct("items"))).orderBy("place"))
     held = F.sum(F.size("items") + 1).over(Window.partitionBy("group"))
-    firsts = rounds.settled(sets.withColumn("_nth", nth).where("_nth = 1").drop("_nth").withColumn("_held", held))
+    firsts = sets.withColumn("_nth", nth).where("_nth = 1").drop("_nth").withColumn("_many", held > few)
     row = F.struct("place", *[c for c in sets.columns if c not in ("group", "place")])
-    lists = firsts.where(F.col("_held") <= few).groupBy("group").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    lists = firsts.groupBy("group", "_many", F.when(F.col("_many"), F.col("place")).alias("_alone")).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
     goes = lambda kept, x: F.exists(kept, lambda k: F.size(F.array_intersect(x["items"], k["items"])) * of >= F.size(F.array_distinct(x["items"])) * part)
     stay = F.aggregate(F.slice("_rows", 2, F.size("_rows")), F.slice("_rows", 1, 1), lambda kept, x: F.when(goes(kept, x), kept).otherwise(F.array_append(kept, x)))
-    out = lists.select("group", F.inline(stay)).select(*sets.columns)
-    many = firsts.where(F.col("_held") > few).select(*sets.columns)
+    found = rounds.settled(lists.select("group", "_many", F.inline(stay)).select(*sets.columns, "_many"))
+    out, many = (found.where(c).select(*sets.columns) for c in ("not _many", "_many"))
     return out if many.isEmpty() else out.unionByName(many.join(first_kept(many, overlapping(many, part, of)), "id", "left_semi").select(*sets.columns))
 
 
